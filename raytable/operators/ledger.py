@@ -100,12 +100,12 @@ def mad_displacement(df: DataFrame, by: list[str], dx: Column, dy: Column, scale
                      maximum: float | None = None) -> DataFrame:
     """Distance to the group's median displacement against median + k * max(1.4826 MAD, floor)."""
     df = df.withColumn("_dx", dx).withColumn("_dy", dy)
-    live = df.filter("accepted").select(*by, "_dx", "_dy")
+    live = materialize(df.select(*by, "_dx", "_dy", "accepted")).filter("accepted")
     mx = median(live, by, F.col("_dx"), "_mdx").withColumnRenamed("_n", "_live")
     my = median(live, by, F.col("_dy"), "_mdy").drop("_n")
     df = attach(attach(df, mx, by), my, by)
     df = df.withColumn("_res", F.hypot(F.col("_dx") - F.col("_mdx"), F.col("_dy") - F.col("_mdy")))
-    spread = median_mad(df.filter("accepted"), by, F.col("_res")).drop("_n")
+    spread = median_mad(materialize(df.select(*by, "_res", "accepted")).filter("accepted"), by, F.col("_res")).drop("_n")
     df = attach(df, spread, by)
     limit = F.col("median") + scale * F.greatest(MAD_TO_SIGMA * F.col("mad"), F.lit(float(floor)))
     ok = F.col("_res") <= limit
@@ -120,7 +120,8 @@ def coplanarity_filter(df: DataFrame, by: list[str], residual: Column, scale: fl
                        maximum: float | None = None) -> DataFrame:
     """Centred residual filter; groups with fewer than three valid residuals keep their valid rows only."""
     df = df.withColumn("_cop", residual)
-    valid = df.filter(F.col("accepted") & F.col("_cop").isNotNull())
+    # pinned before filtering: a predicate on the residual must not be pushed into its own expression
+    valid = materialize(df.select(*by, "_cop", "accepted")).filter(F.col("accepted") & F.col("_cop").isNotNull())
     stats = median_mad(valid, by, F.col("_cop")).withColumnRenamed("_n", "_valid")
     df = attach(df, stats, by)
     limit = scale * F.greatest(MAD_TO_SIGMA * F.col("mad"), F.lit(float(floor)))

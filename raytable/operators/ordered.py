@@ -34,12 +34,12 @@ def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str = "rn",
               slices: int | None = None) -> DataFrame:
     """Exact 1-based row number per key (and optionally the key's row count). ``order`` must be unique per key."""
     s = slice_rows(df, by, order, slices)
-    offs = _carry(s, by, _n=F.count(F.lit(1)))
-    offs = offs.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)))
+    offs = _carry(s, by, _cnt=F.count(F.lit(1)))
+    offs = offs.withColumn("_before", F.coalesce(F.sum("_cnt").over(_earlier(by)), F.lit(0)))
     if total:
-        offs = offs.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
+        offs = offs.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*by)))
     local = s.withColumn("_local", F.row_number().over(Window.partitionBy(*by, SLICE).orderBy(*order)))
-    out = local.join(offs.drop("_n"), by + [SLICE]).withColumn(name, F.col("_local") + F.col("_before"))
+    out = local.join(offs.drop("_cnt"), by + [SLICE]).withColumn(name, F.col("_local") + F.col("_before"))
     return out.drop("_local", "_before", SLICE)
 
 
@@ -47,12 +47,12 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, n
                 total: str | None = None, slices: int | None = None) -> DataFrame:
     """Inclusive running sum per key in ``order``."""
     s = slice_rows(df.withColumn("_v", value), by, order, slices)
-    offs = _carry(s, by, _n=F.sum("_v"))
-    offs = offs.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0)))
+    offs = _carry(s, by, _cnt=F.sum("_v"))
+    offs = offs.withColumn("_before", F.coalesce(F.sum("_cnt").over(_earlier(by)), F.lit(0)))
     if total:
-        offs = offs.withColumn(total, F.sum("_n").over(Window.partitionBy(*by)))
+        offs = offs.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*by)))
     w = Window.partitionBy(*by, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = s.withColumn("_local", F.sum("_v").over(w)).join(offs.drop("_n"), by + [SLICE])
+    out = s.withColumn("_local", F.sum("_v").over(w)).join(offs.drop("_cnt"), by + [SLICE])
     return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_v", "_local", "_before", SLICE)
 
 
@@ -78,8 +78,8 @@ def gap_sessions(df: DataFrame, by: list[str], value: str, order: list[str], tol
     s = slice_rows(df, by, [value] + order, slices)
     s = _lag_sliced(s, by, [value] + order, value, "_prev_value")
     s = s.withColumn("_new", F.coalesce((F.col(value) - F.col("_prev_value") > tolerance), F.lit(True)).cast("long"))
-    offs = _carry(s, by, _n=F.sum("_new"))
-    offs = offs.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(by)), F.lit(0))).drop("_n")
+    offs = _carry(s, by, _cnt=F.sum("_new"))
+    offs = offs.withColumn("_before", F.coalesce(F.sum("_cnt").over(_earlier(by)), F.lit(0))).drop("_cnt")
     w = Window.partitionBy(*by, SLICE).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_local", F.sum("_new").over(w)).join(offs, by + [SLICE])
     return s.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before", "_new", "_prev_value", SLICE)

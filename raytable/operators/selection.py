@@ -35,9 +35,9 @@ def select_evidence(df: DataFrame, by: list[str], id_col: str, score: str, movin
     radial = sum(((F.col(c) - 0.5) * (F.col(c) - 0.5) for c in ("_u_mx", "_u_my", "_u_rx", "_u_ry")), F.lit(0.0))
     z = z.withColumn("_key", F.struct((-(quality + weight * radial)).alias("s"), F.col(id_col).alias("i")))
     big = z.filter(F.col("_n") > cap)
-    winners = (big.groupBy(*by, F.explode(F.array(F.struct(F.lit("m").alias("side"), F.col("_cell_m").alias("cell")),
-                                                  F.struct(F.lit("r").alias("side"), F.col("_cell_r").alias("cell")))).alias("_c"))
-               .agg(F.min("_key").alias("_key")).select(*by, "_key").distinct().withColumn("_kind", F.lit(0)))
+    cells = F.array(F.struct(F.lit("m").alias("side"), F.col("_cell_m").alias("cell")),
+                    F.struct(F.lit("r").alias("side"), F.col("_cell_r").alias("cell")))
+    winners = (big.select(*by, "_key", F.explode(cells).alias("_c")).groupBy(*by, "_c").agg(F.min("_key").alias("_key")).select(*by, "_key").distinct().withColumn("_kind", F.lit(0)))
     leaders = (big.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_key"))).filter(F.col("_rn") <= cap)
                .select(*by, "_key").withColumn("_kind", F.lit(1)))
     picks = []

@@ -123,14 +123,14 @@ _E0, _ROWS = G._ecef_scalar(*SITE), G._enu_rows(SITE[0], SITE[1])
 
 
 @query("geo_07_geodetic_enu", "fx_dem", sql=f"""
-with g as (select r, c, radians(40+r/cast(4096 as double)) as la, radians(-105+c/cast(4096 as double)) as lo, 1600+coalesce(up,0) as h from fx_dem),
+with g as (select r, c, radians(40+r*0.00024) as la, radians(-105+c*0.00024) as lo, 1600.00013+coalesce(up,0) as h from fx_dem),
 n as (select *, 6378137.0/sqrt(1-{G.WGS84_E2!r}*sin(la)*sin(la)) as n from g),
 e as (select *, (n+h)*cos(la)*cos(lo)-({_E0[0]!r}) as ex, (n+h)*cos(la)*sin(lo)-({_E0[1]!r}) as ey, (n*{1 - G.WGS84_E2!r}+h)*sin(la)-({_E0[2]!r}) as ez from n)
 select r, c, {', '.join(f"round(({w[0]!r})*ex+({w[1]!r})*ey+({w[2]!r})*ez,3)+0.0 as {k}" for k, w in zip(('e', 'n', 'u'), _ROWS))},
  round(degrees(la),6) as lat, round(degrees(lo),6) as lon, round(h,4) as h from e""")
 def _(dem):
-    df = dem.withColumn("h0", 1600 + F.coalesce("up", F.lit(0.0)))
-    df = G.geodetic_to_enu(df, 40 + F.col("r") / 4096.0, -105 + F.col("c") / 4096.0, F.col("h0"), SITE)
+    df = dem.withColumn("h0", 1600.00013 + F.coalesce("up", F.lit(0.0)))
+    df = G.geodetic_to_enu(df, 40 + F.col("r") * 0.00024, -105 + F.col("c") * 0.00024, F.col("h0"), SITE)
     df = G.enu_to_geodetic(df, Vec.field("enu"), SITE)
     return df.select("r", "c", *((F.round(f"enu.{a}", 3) + F.lit(0.0)).alias(n) for a, n in zip("xyz", "enu")),
                      F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("h", 4).alias("h"))
