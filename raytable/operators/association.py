@@ -44,18 +44,19 @@ def consolidate_observations(ends: DataFrame, pixel: float = 0.25, origin: float
         ((F.min("view") == F.max("view")) & (F.min("pass") == F.max("pass"))).alias("_one"),
         F.max(F.col("visibility") == "visible").alias("_vis"), F.max(F.col("visibility") == "occluded").alias("_occ"),
         F.when(F.min("visibility") == F.max("visibility"), F.min("visibility")).alias("_same"),
-        F.count(F.lit(1)).alias("occurrences"), F.count_distinct("record_id").alias("record_count"), F.count_distinct("pair_id").alias("pair_count"))
+        F.count(F.lit(1)).alias("occurrences"), F.size(F.collect_set("pair_id")).cast("bigint").alias("pair_count"))
     means = with_vec(means, "_u", Vec.prefixed("_s").unit())
     for c in "xyz":
         means = means.withColumn(f"d{c}", F.col(f"_u.{c}"))
-    means = materialize(means.drop("_sx", "_sy", "_sz", "_u"))
-    back = means.select("node", *(F.col(c).alias("m_" + c) for c in ("row", "col", *RAY)))
-    dev = unit.join(back, "node")
-    spread = dev.groupBy("node").agg(
+    means = means.drop("_sx", "_sy", "_sz", "_u")
+    carried = [c for c in means.columns if c != "node"]
+    # the means travel through the second aggregation, so they are computed once and nothing is shuffled twice
+    dev = unit.select("node", "row", "col", "ox", "oy", "oz", "_d").join(means.select("node", *(F.col(c).alias("m_" + c) for c in carried)), "node")
+    out = dev.groupBy("node").agg(
         F.max(F.hypot(F.col("row") - F.col("m_row"), F.col("col") - F.col("m_col"))).alias("_px"),
         F.max((Vec.prefixed("o") - Vec.prefixed("m_o")).norm()).alias("_om"),
-        F.max(acos_degrees(Vec.field("_d").dot(Vec.prefixed("m_d")))).alias("_ang"))
-    out = means.join(spread, "node")
+        F.max(acos_degrees(Vec.field("_d").dot(Vec.prefixed("m_d")))).alias("_ang"),
+        *(F.first("m_" + c).alias(c) for c in carried))
     ok = (F.col("_one") & (F.col("_px") <= pixel) & (F.col("_om") <= origin) & (F.col("_ang") <= direction) & ~(F.col("_vis") & F.col("_occ")))
     visibility = (F.when(F.col("_same").isNotNull(), F.col("_same")).when(F.col("_occ"), "conflicting").when(F.col("_vis"), "visible").otherwise("unknown"))
     return (out.withColumn("consistent", ok).withColumn("visibility", visibility)

@@ -86,7 +86,7 @@ def spanning_forest(edges: DataFrame, order: list[Column], u: str = "u", v: str
 
 def track_spanning_tree(edges: DataFrame, order: list[Column], track: str = "track_id") -> DataFrame:
     """Tree edges per track with ``tree_state``: ok, or disconnectedTrack when nodes-1 edges do not exist."""
-    scoped = edges.withColumn("_u", F.struct(track, "u")).withColumn("_v", F.struct(track, "v"))
+    scoped = edges.withColumn("_u", F.struct(track, F.col("u").alias("n"))).withColumn("_v", F.struct(track, F.col("v").alias("n")))
     tree = spanning_forest(scoped, order, "_u", "_v")
     nodes = edges.select(track, F.explode(F.array("u", "v")).alias("n")).distinct().groupBy(track).agg(F.count(F.lit(1)).alias("node_count"))
     out = edges.join(tree, "edge_id", "left_semi")
@@ -144,30 +144,40 @@ def reconcile(edges: DataFrame, scope: list[str], order: list[Column], edge_id:
 
 # --- order-dependent clustering -----------------------------------------------------------
 
-def _scan(coords: list[str], tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+PATCH_ROWS = 50_000
+
+
+def _scan(by: list[str], coords: list[str], tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    dims = range(len(coords))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(coords, kind="mergesort")
-        pts, weight = pdf[coords].to_numpy(float), pdf["_w"].to_numpy(float)
-        centre, mass, first, out = [], [], [], np.empty(len(pts), int)
-        lead = pts[:, 0]
-        active: list[int] = []  # clusters that a later point (leading coordinate only grows) can still reach
+        pdf = pdf.sort_values([*by, "_patch", *coords], kind="mergesort")
+        pts = list(zip(*(pdf[c].tolist() for c in coords)))
+        weights, patches = pdf["_w"].tolist(), list(zip(*(pdf[c].tolist() for c in [*by, "_patch"])))
+        centre, mass, first, local, out = [], [], [], [], []
+        active: list[int] = []  # clusters a later point can still reach: the leading coordinate only grows
+        patch, start = None, 0
         for i, p in enumerate(pts):
-            active = [k for k in active if lead[i] - centre[k][0] <= tolerance]
-            hit, near = -1, np.inf
+            if patches[i] != patch:
+                patch, start, active = patches[i], len(centre), []
+            active = [k for k in active if p[0] - centre[k][0] <= tolerance]
+            hit, near = -1, float("inf")
             for k in active:
-                d = float(np.sqrt(((centre[k] - p) ** 2).sum()))
+                c = centre[k]
+                d = sum((c[j] - p[j]) ** 2 for j in dims) ** 0.5
                 if d < near:
                     hit, near = k, d
             if hit < 0 or near > tolerance:
                 hit = len(centre)
-                centre.append(p.copy()); mass.append(0.0); first.append(i); active.append(hit)
-            mass[hit] += weight[i]
-            centre[hit] = centre[hit] + (p - centre[hit]) * (weight[i] / mass[hit])
-            out[i] = hit
-        pdf["_local"] = out
-        for j, c in enumerate(coords):
-            pdf[f"_f{j}"] = pts[np.asarray(first)[out], j]
-            pdf[f"_m{j}"] = np.asarray(centre)[out, j]
+                centre.append(p); mass.append(0.0); first.append(p); local.append(hit - start); active.append(hit)
+            mass[hit] += weights[i]
+            share = weights[i] / mass[hit]
+            centre[hit] = tuple(centre[hit][j] + (p[j] - centre[hit][j]) * share for j in dims)
+            out.append(hit)
+        pdf["_local"] = [local[h] for h in out]
+        for j in dims:
+            pdf[f"_f{j}"] = [first[h][j] for h in out]
+            pdf[f"_m{j}"] = [centre[h][j] for h in out]
         return pdf
 
     return run
@@ -183,32 +193,40 @@ def leader_clusters(points: DataFrame, by: list[str], coords: list[str], toleran
     size = 2.0 * tolerance
     merged = points.groupBy(*by, *coords).agg(F.count(F.lit(1)).alias("_w"))
     cell = F.array(*(F.floor(F.col(c) / size).cast("bigint") for c in coords))
-    merged = materialize(merged.withColumn("_cell", cell))
-    occupied = merged.select(*by, "_cell").distinct()
+    merged = merged.withColumn("_cell", cell)
+    # patches only group the scan, so a 64-bit cell number is enough: a collision would merely scan two patches together
+    number_of = lambda cell: F.xxhash64(*by, cell)
+    merged = materialize(merged.withColumn("_node", number_of(F.col("_cell"))))
+    occupied = merged.select("_node").distinct()
     steps = [o for o in np.ndindex(*(3,) * len(coords))]
     ahead = [tuple(x - 1 for x in o) for o in steps if tuple(x - 1 for x in o) > (0,) * len(coords)]
-    shift = F.array(*(F.array(*(F.lit(x) for x in o)) for o in ahead))
-    near = occupied.select(*by, "_cell", F.explode(shift).alias("_o")).select(
-        *by, F.col("_cell").alias("_from"), F.transform("_cell", lambda x, i: x + F.element_at("_o", (i + 1).cast("int"))).alias("_cell"))
-    links = near.join(occupied, by + ["_cell"]).select(F.struct(*by, F.col("_from").alias("cell")).alias("u"), F.struct(*by, F.col("_cell").alias("cell")).alias("v"))
-    loops = occupied.select(F.struct(*by, F.col("_cell").alias("cell")).alias("u"), F.struct(*by, F.col("_cell").alias("cell")).alias("v"))
-    patch = components(links.unionByName(loops)).select("node.*", F.col("component.cell").alias("_patch")).withColumnRenamed("cell", "_cell")
-    placed = materialize(merged.join(patch, by + ["_cell"]).drop("_cell"))
+    shift = F.array(*(F.array(*(F.lit(x).cast("bigint") for x in o)) for o in ahead))
+    near = merged.select(*by, "_cell", "_node").distinct().select(*by, "_cell", F.col("_node").alias("u"), F.explode(shift).alias("_o"))
+    near = near.select("u", number_of(F.zip_with("_cell", "_o", lambda a, b: a + b)).alias("_node"))
+    links = near.join(occupied, "_node").select("u", F.col("_node").alias("v"))
+    patch = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_patch"))
+    merged = merged.join(patch, "_node", "left").withColumn("_patch", F.coalesce("_patch", "_node"))
+    placed = materialize(merged.drop("_cell", "_node"))
     sizes = placed.groupBy(*by, "_patch").agg(F.count(F.lit(1)).alias("_size"))
     sized = placed.join(sizes, by + ["_patch"])
     alone = sized.filter("_size = 1").drop("_size").withColumn("_local", F.lit(0).cast("long"))
     for j, c in enumerate(coords):
         alone = alone.withColumn(f"_f{j}", F.col(c)).withColumn(f"_m{j}", F.col(c))
-    many = sized.filter("_size > 1").drop("_size").withColumn("_patch", F.array_join("_patch", ","))
+    many = sized.filter("_size > 1").drop("_size")
+    scan = _scan(by, coords, tolerance)
     extra = [T.StructField("_local", T.LongType())]
     for j in range(len(coords)):
         extra += [T.StructField(f"_f{j}", T.DoubleType()), T.StructField(f"_m{j}", T.DoubleType())]
-    out = many.groupBy(*by, "_patch").applyInPandas(_scan(coords, tolerance), T.StructType(many.schema.fields + extra))
-    joined = materialize(out.unionByName(alone.withColumn("_patch", F.array_join("_patch", ","))))
+    # small patches share a bucket, so Python is entered once per bucket and not once per patch
+    buckets = max(8, many.count() // PATCH_ROWS + 1)
+    bucket = F.pmod(F.xxhash64(*by, "_patch"), F.lit(buckets))
+    out = many.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(
+        lambda pdf: scan(pdf.drop(columns="_bucket")), T.StructType(many.schema.fields + extra))
+    joined = materialize(out.unionByName(alone))
     firsts = [f"_f{j}" for j in range(len(coords))]
     heads = joined.select(*by, "_patch", "_local", *firsts).distinct()
-    ranked = rank_rows(heads, by, firsts, number)
-    labelled = joined.join(ranked.drop(*firsts), by + ["_patch", "_local"]).select(
+    ranked = rank_rows(heads, by, firsts, number).select(*by, "_patch", "_local", number)
+    labelled = joined.join(ranked, by + ["_patch", "_local"]).select(
         *by, *coords, number, *(F.col(f"_m{j}").alias(f"centre_{c}") for j, c in enumerate(coords)))
     return points.join(labelled, by + coords)
 

@@ -38,9 +38,9 @@ def rank_rows(df: DataFrame, by: list[str], order: list[str], name: str = "rn",
     offs = offs.withColumn("_before", F.coalesce(F.sum("_cnt").over(_earlier(by)), F.lit(0)))
     if total:
         offs = offs.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*by)))
-    local = s.withColumn("_local", F.row_number().over(Window.partitionBy(*by, SLICE).orderBy(*order)))
-    out = local.join(offs.drop("_cnt"), by + [SLICE]).withColumn(name, F.col("_local") + F.col("_before"))
-    return out.drop("_local", "_before", SLICE)
+    local = s.withColumn("_within", F.row_number().over(Window.partitionBy(*by, SLICE).orderBy(*order)))
+    out = local.join(offs.drop("_cnt"), by + [SLICE]).withColumn(name, F.col("_within") + F.col("_before"))
+    return out.drop("_within", "_before", SLICE)
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, name: str,
@@ -52,8 +52,8 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, n
     if total:
         offs = offs.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*by)))
     w = Window.partitionBy(*by, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = s.withColumn("_local", F.sum("_v").over(w)).join(offs.drop("_cnt"), by + [SLICE])
-    return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_v", "_local", "_before", SLICE)
+    out = s.withColumn("_within", F.sum("_v").over(w)).join(offs.drop("_cnt"), by + [SLICE])
+    return out.withColumn(name, F.col("_within") + F.col("_before")).drop("_v", "_within", "_before", SLICE)
 
 
 def _lag_sliced(s: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -81,8 +81,8 @@ def gap_sessions(df: DataFrame, by: list[str], value: str, order: list[str], tol
     offs = _carry(s, by, _cnt=F.sum("_new"))
     offs = offs.withColumn("_before", F.coalesce(F.sum("_cnt").over(_earlier(by)), F.lit(0))).drop("_cnt")
     w = Window.partitionBy(*by, SLICE).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_local", F.sum("_new").over(w)).join(offs, by + [SLICE])
-    return s.withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before", "_new", "_prev_value", SLICE)
+    s = s.withColumn("_within", F.sum("_new").over(w)).join(offs, by + [SLICE])
+    return s.withColumn(name, F.col("_within") + F.col("_before")).drop("_within", "_before", "_new", "_prev_value", SLICE)
 
 
 def last_known(df: DataFrame, by: list[str], order: list[str], value: str, name: str, forward: bool = True,
@@ -98,5 +98,5 @@ def last_known(df: DataFrame, by: list[str], order: list[str], value: str, name:
     w = Window.partitionBy(*by, SLICE).orderBy(*order)
     local = (F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward
              else F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return (s.withColumn("_local", local).join(carry, by + [SLICE])
-            .withColumn(name, F.coalesce("_local", "_carried")).drop("_local", "_carried", SLICE))
+    return (s.withColumn("_within", local).join(carry, by + [SLICE])
+            .withColumn(name, F.coalesce("_within", "_carried")).drop("_within", "_carried", SLICE))

@@ -53,12 +53,12 @@ def score_pairs(pairs: DataFrame, geometry: Column | None = None, radiometric: C
     """Seven-term quality of a candidate pair; unknown geometry and radiometry count one half."""
     sep = F.abs(F.col("position_b") - F.col("position_a"))
     same = F.col("pass_id_a") == F.col("pass_id_b")
-    near = 1 / sep
+    near = F.try_divide(F.lit(1.0), sep)
     temporal = F.when(same, near).otherwise(F.greatest(near, F.lit(0.75)))
     geo = F.lit(0.5) if geometry is None else F.coalesce(geometry, F.lit(0.5))
     rad = F.lit(0.5) if radiometric is None else F.coalesce(radiometric, F.lit(0.5))
     quality = 0.30 * F.col("overlap") + 0.20 * geo + 0.15 * temporal + 0.15 * rad + 0.10 * near + 0.05 * 0.5 + 0.05 * 0.5
-    return (pairs.withColumn("pair_id", pair_id(F.col("view_a"), F.col("view_b"))).withColumn("separation", sep).withColumn("same_pass", same)
+    return (pairs.withColumn("pair_id", pair_id(F.col("view_a"), F.col("view_b"), checked=False)).withColumn("separation", sep).withColumn("same_pass", same)
             .withColumn("quality", quality).withColumn("cost", (F.col("pixel_count_a") + F.col("pixel_count_b")) / 1e6))
 
 

@@ -24,3 +24,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the operators count on: AQE, and skew-join splitting even before a grouped step."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from raytable.runtime import tune
+
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
                "pages benchmark labels conversations").split()
 
@@ -136,6 +138,7 @@ def query(name: str, *inputs: str, sql: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
             return fn(*(table(spark, sf_dir, i) for i in inputs))
 
         if name in QUERIES:

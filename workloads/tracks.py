@@ -10,6 +10,7 @@ from raytable.operators import graph as GR
 from raytable.operators import ledger as L
 from raytable.operators import points as P
 from raytable.operators import summaries as M
+from raytable.runtime import materialize
 
 from .base import query
 
@@ -49,7 +50,8 @@ LIMITS = dict(angle=2.5, texture=0.1, navigation=0.2, radiometric=0.2)
 
 def checked(r):
     obs = A.consolidate_observations(A.endpoints(r))
-    return L.precheck(A.with_pair_geometry(A.attach_consistency(r, obs)), **LIMITS)
+    # pinned: a later filter on the verdict must not be pushed into the geometry expressions
+    return materialize(L.precheck(A.with_pair_geometry(A.attach_consistency(r, obs)), **LIMITS))
 
 
 @query("flt_07_precheck", "fx_records", sql=f"with {CHECK} select record_id, reason, case when reason='' then 'candidate' else 'rejected' end as state from chk")
