@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,11 @@ def fixed_width(df: DataFrame, profile: list[tuple[Column, str, int, str]], name
 
 
 def _field(kind: str, width: int, fmt: str):
+    decimals = re.search(r"\.(\d+)f$", fmt)
+
     def field(v: Column) -> Column:
+        if decimals:  # ties go to the even digit, as in C formatting
+            v = F.bround(v, int(decimals.group(1)))
         text = v.cast("string") if kind == "s" else F.format_string(fmt, v)
         fits = F.assert_true(F.length(text) <= width, f"a field exceeds width {width}").isNull()
         return F.when(fits, F.rpad(text, width, " ") if kind == "s" else F.lpad(text, width, " "))
