@@ -43,7 +43,7 @@ def mesh(d):
     return d.select("r", "c", (2.0 * F.col("c") + 0.5).alias("px"), (2.0 * F.col("r") + 0.25).alias("py"))
 
 
-MAPPING = "mp as (select y as out_r, x as out_c, (y-0.25)/2 as src_r, (x-0.5)/2 as src_c from (select unnest(range(1,126)) as x) cross join (select unnest(range(1,(select 2*max(r)+1 from fx_dem))) as y))"
+MAPPING = "mp as (select y as out_r, x as out_c, (y-0.25)/2 as src_r, (x-0.5)/2 as src_c from (select unnest(range(1,127)) as x) cross join (select unnest(range(1,(select 2*max(r)+1 from fx_dem))) as y))"
 
 
 @query("ras_02_inverse_map", "fx_dem")

@@ -203,11 +203,11 @@ def _(s):
 
 
 @query("snk_02_fixed_width", "fx_samples", sql="""
-select record_id, rpad('M'||model_id,5,' ')||lpad(printf('%+.4f',x),9,' ')||lpad(printf('%+.4f',y),9,' ')||lpad(printf('%.2f',z),6,' ')||lpad(printf('%.1f',x),5,' ')||lpad(printf('%.1f',-x),5,' ') as record from fx_samples""")
+select record_id, rpad('M'||model_id,5,' ')||lpad(printf('%+.4f',x),9,' ')||lpad(printf('%+.4f',y),9,' ')||lpad(printf('%.2f',z),6,' ')||lpad(printf('%.1f',x),5,' ')||lpad(printf('%.1f',1-x),5,' ') as record from fx_samples""")
 def _(s):
     t = s.withColumn("x", F.round("x", 6))
     prof = [(F.concat(F.lit("M"), "model_id"), "s", 5, ""), (F.col("x"), "n", 9, "%+.4f"), (F.col("y"), "n", 9, "%+.4f"), (F.col("z"), "n", 6, "%.2f"),
-            (F.array(F.col("x"), -F.col("x")), "n", 5, "%.1f")]
+            (F.array(F.col("x"), 1 - F.col("x")), "n", 5, "%.1f")]
     return K.fixed_width(t, prof).select("record_id", "record")
 
 
