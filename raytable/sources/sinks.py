@@ -38,7 +38,8 @@ def _field(kind: str, width: int, fmt: str):
 
     def field(v: Column) -> Column:
         if decimals:  # ties go to the even digit, as in C formatting
-            v = F.bround(v, int(decimals.group(1)))
+            r = F.bround(v, int(decimals.group(1)))
+            v = F.when((v < 0) & (r == 0), F.lit(-0.0)).otherwise(r)  # a rounded-away negative keeps its sign
         text = v.cast("string") if kind == "s" else F.format_string(fmt, v)
         fits = F.assert_true(F.length(text) <= width, f"a field exceeds width {width}").isNull()
         return F.when(fits, F.rpad(text, width, " ") if kind == "s" else F.lpad(text, width, " "))
