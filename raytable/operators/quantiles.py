@@ -49,11 +49,12 @@ def pctl(df: DataFrame, by: list[str], value: Column, wanted: dict[str, tuple[fl
         F.percentile_approx("_v", edges, accuracy).alias("_q"))
     joined = keyed.join(sketch, by) if by else keyed.crossJoin(F.broadcast(sketch))
     out = None
-    # A probability's bracket is widened to the extremes near 0 and 1, where rank offsets of one matter.
+    # Near 0 and 1, and in groups so small that the bracket spans only a few ranks, the bracket reaches the extremes.
+    few = F.col("_n") * eps < 6
     brackets = []
     for i, p in enumerate(probs):
-        lo = F.col("_lo") if p - eps <= 0 else F.col("_q")[2 * i]
-        hi = F.col("_hi") if p + eps >= 1 else F.col("_q")[2 * i + 1]
+        lo = F.col("_lo") if p - eps <= 0 else F.when(few, F.col("_lo")).otherwise(F.col("_q")[2 * i])
+        hi = F.col("_hi") if p + eps >= 1 else F.when(few, F.col("_hi")).otherwise(F.col("_q")[2 * i + 1])
         brackets.append((lo, hi))
     tagged = joined.withColumn("_in", F.lit(False))
     for lo, hi in brackets:
