@@ -37,26 +37,27 @@ def consolidate_observations(ends: DataFrame, pixel: float = 0.25, origin: float
     All aggregates combine before the shuffle; the largest deviation needs the means back (second pass).
     """
     unit = with_vec(ends, "_d", Vec.prefixed("d").unit())
-    means = unit.groupBy("node").agg(
-        F.min("view").alias("view_id"), F.min("pass").alias("pass_id"), F.min("obs").alias("obs_id"),
+    # the node names its view and feature, so they are keys; text values are gathered as (tiny) sets, which stay hash aggregates
+    means = unit.groupBy("node", F.col("view").alias("view_id"), F.col("obs").alias("obs_id")).agg(
         F.avg("row").alias("row"), F.avg("col").alias("col"), *(F.avg(f"o{c}").alias(f"o{c}") for c in "xyz"),
         *(F.avg(f"_d.{c}").alias(f"_s{c}") for c in "xyz"), F.max("confidence").alias("confidence"), F.min("nav").alias("nav"),
-        ((F.min("view") == F.max("view")) & (F.min("pass") == F.max("pass"))).alias("_one"),
-        F.max(F.col("visibility") == "visible").alias("_vis"), F.max(F.col("visibility") == "occluded").alias("_occ"),
-        F.when(F.min("visibility") == F.max("visibility"), F.min("visibility")).alias("_same"),
+        F.array_sort(F.collect_set("pass")).alias("_passes"), F.array_sort(F.collect_set("visibility")).alias("_states"),
         F.count(F.lit(1)).alias("occurrences"), F.size(F.collect_set("pair_id")).cast("bigint").alias("pair_count"))
     means = with_vec(means, "_u", Vec.prefixed("_s").unit())
     for c in "xyz":
         means = means.withColumn(f"d{c}", F.col(f"_u.{c}"))
     means = means.drop("_sx", "_sy", "_sz", "_u")
     carried = [c for c in means.columns if c != "node"]
-    # the means travel through the second aggregation, so they are computed once and nothing is shuffled twice
+    # the means travel as keys of the second aggregation: computed once, never shuffled again
     dev = unit.select("node", "row", "col", "ox", "oy", "oz", "_d").join(means.select("node", *(F.col(c).alias("m_" + c) for c in carried)), "node")
-    out = dev.groupBy("node").agg(
+    out = dev.groupBy("node", *("m_" + c for c in carried)).agg(
         F.max(F.hypot(F.col("row") - F.col("m_row"), F.col("col") - F.col("m_col"))).alias("_px"),
         F.max((Vec.prefixed("o") - Vec.prefixed("m_o")).norm()).alias("_om"),
-        F.max(acos_degrees(Vec.field("_d").dot(Vec.prefixed("m_d")))).alias("_ang"),
-        *(F.first("m_" + c).alias(c) for c in carried))
+        F.max(acos_degrees(Vec.field("_d").dot(Vec.prefixed("m_d")))).alias("_ang"))
+    out = out.select("node", *(F.col("m_" + c).alias(c) for c in carried), "_px", "_om", "_ang")
+    has = lambda s: F.array_contains("_states", s)
+    out = (out.withColumn("pass_id", F.get("_passes", F.lit(0))).withColumn("_one", F.size("_passes") == 1).withColumn("_vis", has("visible")).withColumn("_occ", has("occluded"))
+           .withColumn("_same", F.when(F.size("_states") == 1, F.get("_states", F.lit(0)))).drop("_passes", "_states"))
     ok = (F.col("_one") & (F.col("_px") <= pixel) & (F.col("_om") <= origin) & (F.col("_ang") <= direction) & ~(F.col("_vis") & F.col("_occ")))
     visibility = (F.when(F.col("_same").isNotNull(), F.col("_same")).when(F.col("_occ"), "conflicting").when(F.col("_vis"), "visible").otherwise("unknown"))
     return (out.withColumn("consistent", ok).withColumn("visibility", visibility)

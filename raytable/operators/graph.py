@@ -22,21 +22,27 @@ def _checksum(df: DataFrame, *cols: str):
     return row["n"], row["h"]
 
 
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Order-preserving 64-bit number per distinct node ``a``, so that loops compare longs instead of strings or structs."""
+    return materialize(nodes.repartitionByRange("a").sortWithinPartitions("a").select("a", F.monotonically_increasing_id().alias("i")))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", node: str = "node", component: str = "component") -> DataFrame:
     """Connected components: one row per node with its smallest reachable node.
 
     Alternating star contraction: each round attaches every node to the smallest node it sees, so long chains
     shrink geometrically. Hubs are safe: minima combine before the shuffle and AQE splits skewed joins.
     """
-    raw = edges.select(F.col(u).alias("a"), F.col(v).alias("b"))
-    nodes = raw.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    e = materialize(raw.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    raw = materialize(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).distinct())
+    ids = _numbered(raw.select(F.explode(F.array("a", "b")).alias("a")).distinct())
+    pairs = (raw.filter("a <> b").join(ids, "a").select("b", F.col("i").alias("x")).join(ids.select(F.col("a").alias("b"), F.col("i").alias("y")), "b"))
+    e = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
     before = None
     for _ in range(MAX_ROUNDS):
         # neighbours larger than a node move to the smallest node that node knows
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # smaller neighbours and the node itself move to the smallest of them
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
@@ -47,7 +53,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", node: str = "node",
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(e, "a", "left").select(F.col("a").alias(node), F.coalesce("b", "a").alias(component))
+    roots = ids.join(e.withColumnRenamed("a", "i"), "i", "left").select("a", F.coalesce("b", "i").alias("r"))
+    names = ids.select(F.col("i").alias("r"), F.col("a").alias("c"))
+    return roots.join(names, "r").select(F.col("a").alias(node), F.col("c").alias(component))
 
 
 def spanning_forest(edges: DataFrame, order: list[Column], u: str = "u", v: str = "v", edge_id: str = "edge_id") -> DataFrame:

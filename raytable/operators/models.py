@@ -76,8 +76,11 @@ def inside_domain(*normalized: str) -> Column:
 def rational_project(points: DataFrame, models: DataFrame, x: str = "x", y: str = "y", z: str = "z", by: str = "model_id") -> DataFrame:
     """Row and column of normalised ground points through two cubic ratios of the joined model (rn, rd, cn, cd)."""
     df = points.join(models.select(by, "rn", "rd", "cn", "cd"), by)
-    for c in ("rn", "rd", "cn", "cd"):
-        df = polynomial(df, c, x, y, z, "_" + c, exponents(3))
+    terms = monomials(F.col(x), F.col(y), F.col(z), exponents(3))
+    # monomials once, shared by the four polynomials
+    df = df.withColumns({f"_t{i}": t for i, t in enumerate(terms)})
+    dot = lambda c: sum((F.get(F.col(c), F.lit(i)) * F.col(f"_t{i}") for i in range(len(terms))), F.lit(0.0))
+    df = df.withColumns({"_" + c: dot(c) for c in ("rn", "rd", "cn", "cd")}).drop(*(f"_t{i}" for i in range(len(terms))))
     return (df.withColumn("row", F.try_divide(F.col("_rn"), F.col("_rd"))).withColumn("col", F.try_divide(F.col("_cn"), F.col("_cd")))
             .drop("_rn", "_rd", "_cn", "_cd", "rn", "rd", "cn", "cd"))
 

@@ -31,3 +31,5 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # small id sets per key stay in the hash map; the default falls back to sorting after 128 keys
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000")
