@@ -39,7 +39,7 @@ pipe as (select b.*, m2 and (live<3 or res<=mr+1.5*greatest(1.4826*mad,0.25)) as
  left join m1t using (moving_view, reference_view) left join m2t using (moving_view, reference_view))"""
 
 
-@query("flt_01_filter_pipeline", "fx_matches", sql=f"""
+@query("flt_01_filter_stages", "fx_matches", sql=f"""
 with {PIPE} select record_id, m1 as s1, m2 as s2, m3 as s3, case when m3 then 'accepted' else 'rejected' end as state,
  case when not m1 then 'descriptorScore' when not m2 then 'ratio' when not m3 then 'nativeDisplacement' else '' end as first_rejected_stage from pipe""")
 def _(m):
