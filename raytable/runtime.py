@@ -7,12 +7,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse.
+
+    A machine-local folder is only taken on a local master (as in tests); on a cluster it is refused.
+    """
+    conf = spark.sparkContext.getConf()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if spark.sparkContext.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse.rstrip("/") + "/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a local one only if none is configured."""
+    """Return the checkpoint folder of the session, setting it where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_dir(spark))
     return sc.getCheckpointDir()
 
 
