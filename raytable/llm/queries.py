@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, sharding
+import corpus_pipeline
+
+from . import decontaminate, jaccard, line_dedup, packing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,11 +39,26 @@ def op3(documents):
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_ngram_jaccard_join", "documents")
+def op5(documents):
+    return jaccard.join_components(documents)
+
+
 @query("op6_decontamination", "documents", "benchmark")
 def op6(documents, benchmark):
     return decontaminate.report(documents, benchmark)
 
 
+@query("op7_line_dedup", "documents")
+def op7(documents):
+    return line_dedup.report(documents)
+
+
 @query("op10_sharding", "documents")
 def op10(documents):
     return sharding.shard(documents)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
