@@ -30,6 +30,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def once(function, returns: str):
+    """Arrow UDF that the optimizer may not copy: a filter on its result must not run it again."""
+    return F.arrow_udf(function, returns).asNondeterministic()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as bytes; null is empty."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]

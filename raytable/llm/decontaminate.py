@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_chunks, utf8
+from .common import once, prepare, text_chunks, utf8
 
 WINDOW = 13
 HEAD = 2048  # end positions scanned by one head
@@ -171,7 +171,7 @@ def _pass(block, window: int):
                 items.append(sorted(names))
         return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["n_words", "hit", "items"])
 
-    return F.arrow_udf(scan, HITS)
+    return once(scan, HITS)
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -216,7 +216,7 @@ def _counted(hits: pa.Array) -> pa.Array:
 
 
 def _counts(hits: str) -> Column:
-    return F.arrow_udf(_counted, "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>")(hits)
+    return once(_counted, "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string>")(hits)
 
 
 def contaminated(c: Column) -> Column:

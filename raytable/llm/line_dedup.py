@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, utf8
+from .common import id_text, once, prepare, utf8
 from .sharding import numbered
 
 MIN_WORDS = 50
@@ -141,7 +141,7 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
              .select(F.col("d").alias("_d"), F.col("t").alias("_t")).checkpoint(eager=True))
     marks = spans.join(twice.withColumn("_twice", F.lit(True)), ["_d", "_t"], "full_outer")
     out = keyed.join(marks, ["_d", "_t"], "left")
-    cut = F.arrow_udf(_cut, "string")(F.when(F.col("spans").isNotNull(), F.col("text").cast("string")), F.col("spans"))
+    cut = once(_cut, "string")(F.when(F.col("spans").isNotNull(), F.col("text").cast("string")), F.col("spans"))
     out = out.withColumn("_new", cut)
     once, again = out.filter("_twice is null").withColumn("_copy", F.lit(1)), out.filter("_twice")
     if twice.take(1):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, numbered, pair_names, prepare, text_chunks, utf8
+from .common import id_text, numbered, once, pair_names, prepare, text_chunks, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -88,7 +88,7 @@ def _count(text: pa.Array) -> pa.Array:
 
 def rule_statistics(text: Column) -> Column:
     """Struct of rule statistics of a text column."""
-    return F.arrow_udf(_count, f"struct<{STATISTICS.replace(', ', ',').replace(' ', ':')}>")(text)
+    return once(_count, f"struct<{STATISTICS.replace(', ', ',').replace(' ', ':')}>")(text)
 
 
 def base_failed(s: Column) -> Column:
@@ -173,20 +173,22 @@ def _scorer(forest: IsolationForest):
     return anomaly
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, clean_loss: float = CLEAN_LOSS):
-    """(forest, threshold). The forest sees good labelled documents that pass the base rules, so short paths mean "unlike good ones".
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and rule statistics of every document, from one pass over the texts; written once, as fit and verdict both read it."""
+    return id_text(docs).select("doc_id", rule_statistics(F.col("text")).alias("_s")).select("doc_id", "_s.*").checkpoint(eager=True)
 
-    Labelled statistics are one pass over the texts with a label; the score histogram covers all of them.
-    """
+
+def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, clean_loss: float = CLEAN_LOSS):
+    """(forest, threshold). The forest sees good labelled documents that pass the base rules, so short paths mean "unlike good ones";
+    the score histogram covers all labelled documents that pass them."""
     marked = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    stats = (id_text(docs).join(marked, "doc_id").select("doc_id", "quality", rule_statistics(F.col("text")).alias("s"))
-             .select("doc_id", "quality", "s.*").filter(~base_failed_columns()).checkpoint(eager=True))
-    good = (stats.filter("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)).toPandas()
+    rows = stats.join(marked, "doc_id").filter(~base_failed_columns()).checkpoint(eager=True)
+    good = rows.filter("quality > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
     if not len(good):
         return None, float("inf")
     forest = IsolationForest(_features(good))
     names = [c.split()[0] for c in STATISTICS.split(", ")]
-    scored = stats.select("quality", F.least(F.lit(BINS - 1), F.floor(_scorer(forest)(F.struct(*names)) * BINS)).alias("bin"))
+    scored = rows.select("quality", F.least(F.lit(BINS - 1), F.floor(_scorer(forest)(F.struct(*names)) * BINS)).alias("bin"))
     counts = scored.groupBy("bin").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"), F.count(F.lit(1)).alias("n")).collect()
     return forest, _threshold(counts, clean_loss)
 
@@ -209,25 +211,26 @@ def _threshold(counts, clean_loss: float) -> float:
     return float((best[0] + best[-1]) // 2) / BINS  # the middle of a gap without rows
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with a struct column ``_rules``: statistics, base_failed, anomaly score and kept."""
-    prepare(docs.sparkSession)
-    forest, threshold = fit(docs, labels, sample_rows)
-    s = F.col("_rules")
-    out = docs.withColumn("_rules", rule_statistics(F.col("text").cast("string")))
-    score = _scorer(forest)(s) if forest else F.lit(0.0)
-    out = out.withColumn("_anomaly", score)
-    failed = base_failed(s)
-    return out.withColumn("_rules", s.withField("base_failed", failed).withField("anomaly", F.col("_anomaly"))
-                          .withField("kept", ~failed & (F.col("_anomaly") < threshold))).drop("_anomaly")
+def _anomaly(forest: IsolationForest | None, s: Column) -> Column:
+    return _scorer(forest)(s) if forest else F.lit(0.0)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass base rules and forest, with their columns as they were."""
-    return judge(docs, labels).filter("_rules.kept").drop("_rules")
+def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that pass base rules and forest, with their columns as they were. Statistics are computed again in the
+    filtering pass: cheaper than sending every text through a join with its verdict."""
+    prepare(docs.sparkSession)
+    forest, threshold = fit(statistics(docs), labels, sample_rows)
+    s = F.col("_rules")
+    passed = docs.withColumn("_rules", rule_statistics(F.col("text").cast("string"))).filter(~base_failed(s))
+    return passed.filter(_anomaly(forest, s) < threshold).drop("_rules")
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: base statistics and verdict."""
-    return judge(id_text(docs), labels).select("doc_id", "_rules.n_words", "_rules.word_chars", "_rules.n_symbols", "_rules.n_dup_lines",
-                                               "_rules.n_repeat_words", "_rules.base_failed", "_rules.kept", "_rules.anomaly")
+    prepare(docs.sparkSession)
+    stats = statistics(docs)
+    names = [c.split()[0] for c in STATISTICS.split(", ")]
+    forest, threshold = fit(stats, labels, sample_rows)
+    out = stats.withColumn("anomaly", _anomaly(forest, F.struct(*names))).withColumn("base_failed", base_failed_columns())
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      (~F.col("base_failed") & (F.col("anomaly") < threshold)).alias("kept"), "anomaly")
