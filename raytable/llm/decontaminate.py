@@ -175,16 +175,16 @@ def _pass(block, window: int):
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with struct ``_hits``: n_words, hit (packed mask of hit words), items (ids of occurring items, sorted as strings)."""
+    """``docs`` with struct ``__hits``: n_words, hit (packed mask of hit words), items (ids of occurring items, sorted as strings)."""
     spark = docs.sparkSession
     prepare(spark)
-    out = docs.withColumn("_hits", F.lit(None).cast(HITS))
+    out = docs.withColumn("__hits", F.lit(None).cast(HITS))
     for k, items in enumerate(list_or_empty(_blocks(benchmark, block_words))):
         if k:  # one pass per block; the machines of one block at a time in memory
             out = out.checkpoint(eager=True)
         block = spark.sparkContext.broadcast((_fingerprint(items), items))
 
-        out = out.withColumn("_hits", _pass(block, window)(F.col("text").cast("string"), "_hits"))
+        out = out.withColumn("__hits", _pass(block, window)(F.col("text").cast("string"), "__hits"))
     return out
 
 
@@ -226,11 +226,11 @@ def contaminated(c: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: words, hit words, occurring items and verdict."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    c = searched(slim, benchmark, window, block_words).select("doc_id", _counts("_hits").alias("_c"))
+    c = searched(slim, benchmark, window, block_words).select("doc_id", _counts("__hits").alias("_c"))
     return c.select("doc_id", "_c.*", contaminated(F.col("_c")).alias("contaminated"))
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
-    out = searched(docs, benchmark, window).withColumn("_hits", _counts("_hits"))
-    return out.filter(~contaminated(F.col("_hits"))).drop("_hits")
+    out = searched(docs, benchmark, window).withColumn("__hits", _counts("__hits"))
+    return out.filter(~contaminated(F.col("__hits"))).drop("__hits")

@@ -314,10 +314,10 @@ def join_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CE
 def keep_one(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """One document of each component, the one with the smallest id; columns as they were. Rows with a null id or no words stay."""
     marks = join_components(docs, size, per_cent).filter("doc_id is not null and n_shingles > 0")
-    ids = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_first")).checkpoint(eager=True)
-    gone = ids.filter("_first <> _id").select("_id")
-    again = ids.filter("_first = _id and _rows > 1").select("_id")
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    single = own.join(gone.unionByName(again), "_id", "left_anti")
-    repeated = own.join(again, "_id", "left_semi").dropDuplicates(["_id"])
-    return single.unionByName(repeated).drop("_id")
+    ids = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("_rows"), F.min("component_id").alias("_first")).checkpoint(eager=True)
+    gone = ids.filter("_first <> __id").select("__id")
+    again = ids.filter("_first = __id and _rows > 1").select("__id")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    single = own.join(gone.unionByName(again), "__id", "left_anti")
+    repeated = own.join(again, "__id", "left_semi").dropDuplicates(["__id"])
+    return single.unionByName(repeated).drop("__id")

@@ -33,7 +33,7 @@ NO_ID = -(1 << 63)
 
 
 def _key_columns(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    return docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__t", F.xxhash64(F.col("text").cast("string")))
 
 
 def _worded(text: bytes) -> list[tuple[int, bytes, int]]:
@@ -129,30 +129,30 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from ``text``, and a struct ``_dedup``: spans that went (in lines
+    """``docs`` with later copies of repeated line runs deleted from ``text``, and a struct ``__dedup``: spans that went (in lines
     with words), whether the row repeats another entirely, and whether words were there before and none are now."""
     prepare(docs.sparkSession)
     keyed = _key_columns(docs)
-    lines = keyed.select("_d", "_t", "text").mapInArrow(_lines(min_words), LINES).checkpoint(eager=True)
-    spans = (later_copies(lines, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("i", "size")).alias("spans"))
-             .select(F.col("d").alias("_d"), F.col("t").alias("_t"), "spans").checkpoint(eager=True))
+    lines = keyed.select("__d", "__t", "text").mapInArrow(_lines(min_words), LINES).checkpoint(eager=True)
+    spans = (later_copies(lines, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("i", "size")).alias("__spans"))
+             .select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__spans").checkpoint(eager=True))
     # rows equal in id and text share their positions; they have MIN_WORDS words if a window starts at line 0
     twice = (lines.filter("i = 0 and up > 0").groupBy("d", "t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-             .select(F.col("d").alias("_d"), F.col("t").alias("_t")).checkpoint(eager=True))
-    marks = spans.join(twice.withColumn("_twice", F.lit(True)), ["_d", "_t"], "full_outer")
-    out = keyed.join(marks, ["_d", "_t"], "left")
-    cut = once(_cut, "string")(F.when(F.col("spans").isNotNull(), F.col("text").cast("string")), F.col("spans"))
-    out = out.withColumn("_new", cut)
-    once, again = out.filter("_twice is null").withColumn("_copy", F.lit(1)), out.filter("_twice")
+             .select(F.col("d").alias("__d"), F.col("t").alias("__t")).checkpoint(eager=True))
+    marks = spans.join(twice.withColumn("__twice", F.lit(True)), ["__d", "__t"], "full_outer")
+    out = keyed.join(marks, ["__d", "__t"], "left")
+    cut = once(_cut, "string")(F.when(F.col("__spans").isNotNull(), F.col("text").cast("string")), F.col("__spans"))
+    out = out.withColumn("__new", cut)
+    single, again = out.filter("__twice is null").withColumn("__copy", F.lit(1)), out.filter("__twice")
     if twice.take(1):
-        number = F.row_number().over(Window.partitionBy("_d", "_t").orderBy(F.lit(1)))
-        out = once.unionByName(again.withColumn("_copy", number))
+        number = F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(1)))
+        out = single.unionByName(again.withColumn("__copy", number))
     else:
-        out = once
-    repeats = F.col("_copy") > 1
-    text = F.when(repeats, F.lit("")).when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("_new"))
-    state = F.struct(F.col("spans"), repeats.alias("repeats"), ((F.col("spans").isNotNull() | repeats) & ~_has_word(text)).alias("emptied"))
-    return out.withColumn("_dedup", state).withColumn("text", text).drop("_d", "_t", "spans", "_twice", "_new", "_copy")
+        out = single
+    repeats = F.col("__copy") > 1
+    text = F.when(repeats, F.lit("")).when(F.col("__spans").isNull(), F.col("text")).otherwise(F.col("__new"))
+    state = F.struct(F.col("__spans").alias("spans"), repeats.alias("repeats"), ((F.col("__spans").isNotNull() | repeats) & ~_has_word(text)).alias("emptied"))
+    return out.withColumn("__dedup", state).withColumn("text", text).drop("__d", "__t", "__spans", "__twice", "__new", "__copy")
 
 
 def _has_word(text: Column) -> Column:
@@ -162,9 +162,9 @@ def _has_word(text: Column) -> Column:
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: its text without later copies, how many windows went and whether nothing is left."""
     out = cleaned(id_text(docs), min_words)
-    return out.select("doc_id", "text", F.coalesce(F.size("_dedup.spans"), F.lit(0)).alias("n_windows"), F.col("_dedup.repeats").alias("repeats"), F.col("_dedup.emptied").alias("emptied"))
+    return out.select("doc_id", "text", F.coalesce(F.size("__dedup.spans"), F.lit(0)).alias("n_windows"), F.col("__dedup.repeats").alias("repeats"), F.col("__dedup.emptied").alias("emptied"))
 
 
 def without_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies deleted; a document of which nothing is left goes. Columns as they were."""
-    return cleaned(docs, min_words).filter("not _dedup.emptied").drop("_dedup").select(*docs.columns)
+    return cleaned(docs, min_words).filter("not __dedup.emptied").drop("__dedup").select(*docs.columns)

@@ -220,9 +220,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     filtering pass: cheaper than sending every text through a join with its verdict."""
     prepare(docs.sparkSession)
     forest, threshold = fit(statistics(docs), labels, sample_rows)
-    s = F.col("_rules")
-    passed = docs.withColumn("_rules", rule_statistics(F.col("text").cast("string"))).filter(~base_failed(s))
-    return passed.filter(_anomaly(forest, s) < threshold).drop("_rules")
+    s = F.col("__rules")
+    passed = docs.withColumn("__rules", rule_statistics(F.col("text").cast("string"))).filter(~base_failed(s))
+    return passed.filter(_anomaly(forest, s) < threshold).drop("__rules")
 
 
 def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
