@@ -101,9 +101,8 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def _cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
-    """(piece, start, length) in ids: full pieces, the first takes the rest."""
-    n = len(ids) // 4
+def _cut(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, start, length) of n ids: full pieces, the first takes the rest."""
     start, piece = 0, 0
     while start < n:
         length = (n % capacity or capacity) if piece == 0 else capacity
@@ -118,17 +117,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = Fals
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        enc, end = encoder(tokenizer, True), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
-                ids += end
-                for piece, start, length in _cut(ids, capacity):
-                    own = ids[4 * start: 4 * (start + length)]
-                    rows.append((doc_id, piece, start, length, zlib.crc32(own), part, int(seen[length]), *([np.frombuffer(own, "<u4")] if with_ids else [])))
-                    seen[length] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
+            doc_ids = batch.column(0).to_pylist()
+            for row, ids, borders in encoder(tokenizer, True).ids(batch.column(1), END_ID):
+                rows: list[tuple] = []
+                for k, (low, high) in enumerate(zip(borders, borders[1:]), row):
+                    for piece, start, length in _cut(int(high - low), capacity):
+                        own = ids[low + start: low + start + length]
+                        rows.append((doc_ids[k], piece, start, length, zlib.crc32(own), part, int(seen[length]), *([own] if with_ids else [])))
+                        seen[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int64())] * with_ids

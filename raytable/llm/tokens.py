@@ -1,88 +1,103 @@
-"""Token ids by a tokenizers file, memoised by text chunk.
+"""Token ids by a tokenizers file, memoised by piece of text.
 
-Both vocabularies split a text before they merge bytes, and a piece never reaches over the start of a run of the form
-"space, then a character that is not white space". A text without other space runs is therefore cut at its spaces and
-every distinct chunk is encoded once per worker; any other text goes to the library as a whole. Ids are those of
-``Tokenizer.encode(text, add_special_tokens=False)`` with special strings read as ordinary text.
+Both vocabularies split a text before they merge bytes. A cut mark goes where such a split is certain: before a space that
+stands alone, between a letter and a punctuation mark other than the apostrophe (in either order), and around a line end
+between a mark and a letter. A text with other runs of spaces goes to the library as a whole. Between two cuts the library
+works as it would inside the text, so ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with special
+strings read as plain text.
+
+Cutting and finding distinct pieces is Arrow's work, putting ids together numpy's; Python sees distinct pieces only.
 """
 
 from __future__ import annotations
 
-import gc
-import re
+import os
+import struct
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Chunks remembered per worker; later new chunks are encoded but not kept, so memory stays bounded.
-MEMO = 400_000
-_ODD_SPACE = re.compile(r" (?=\s|\Z)|\A\s")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import text_chunks
+
+PIECES = 400_000  # that a worker remembers; memory stays bounded
+CUT = "\x01"
+PART_BYTES = 8 << 20  # text put together at once
+_SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_ODD = f"^$|^{_SPACE}|{_SPACE} | {_SPACE}| $|{CUT}"
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_CUTS = [(f"({_LETTER})({_MARK})", rf"\1{CUT}\2"), (f"({_MARK})\n({_LETTER})", f"\\1{CUT}\n{CUT}\\2"), (f"({_MARK})({_LETTER})", rf"\1{CUT}\2")]
 _workers: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class Memo(dict):
+    """What was made first stays, up to a size: frequent keys come early."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def values_of(self, keys: list[str], make) -> list[bytes]:
+        values = list(map(self.get, keys))
+        missing = [k for k, v in enumerate(values) if v is None]
+        for k, v in zip(missing, make([keys[k] for k in missing]), strict=True):
+            values[k] = v
+        room = max(0, self.size - len(self))
+        self.update((keys[k], values[k]) for k in missing[:room])
+        return values
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. ``spaced`` says that a space belongs to the chunk after it."""
+    """Ids of texts. ``spaced`` says that a space belongs to the chunk after it, else white space is dropped."""
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.memo = spaced, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole = []
-        for i, t in enumerate(texts):
-            if not self.spaced:
-                cut.append((i, t.replace("\n", " ").split(" ")))
-            elif t and _ODD_SPACE.search(t) is None:
-                chunks = t.split(" ")
-                chunks[0] = " " + chunks[0]  # a first chunk has no space before it: marked by two
-                cut.append((i, chunks))
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        memo = self.memo
-        new = {c for _, chunks in cut for c in chunks if c not in memo}
-        if new:
-            new = list(new)
-            encoded = zip(new, self._encode([self._text(c) for c in new]), strict=True)
-            if len(memo) + len(new) <= MEMO:
-                memo.update(encoded)
-            else:
-                memo = _Layered(encoded, memo)
-        for i, chunks in cut:
-            out[i] = b"".join([memo[c] for c in chunks])
-        return out
-
-    def _text(self, chunk: str) -> str:
+        self.spaced, self.memo = spaced, Memo(PIECES)
+
+    def ids(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, borders of rows) for parts of a string column; null is empty and ``end`` closes every row."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_pylist()
+        for a, b in text_chunks([range(n) for n in sizes], PART_BYTES):
+            yield a, *self._part(texts.slice(a, b - a), end)
+
+    def _part(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        own = texts.take(pa.array(whole)).to_pylist()
+        texts = pc.if_else(odd, "", texts)
+        texts = pc.replace_substring(texts, " ", CUT + " " * self.spaced)
         if not self.spaced:
-            return chunk
-        return chunk[1:] if chunk.startswith(" ") else " " + chunk
-
-
-class _Layered(dict):
-    """The new chunks of one batch over the remembered ones."""
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", CUT))  # its vocabulary is lower case
+        for pattern, replacement in _CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, replacement)
+        lists = pc.split_pattern(texts, CUT)
+        first = lists.offsets.to_numpy().astype(np.int64)
+        first, flat = first - first[0], lists.flatten().dictionary_encode()
+        code = flat.indices.to_numpy().astype(np.int32)
+        values = self.memo.values_of(flat.dictionary.to_pylist(), self._encode)
+        code[first[whole]] = len(values) + np.arange(len(whole))
+        values += self._encode(own)
+        code = np.insert(code, first[1:], len(values))
+        values.append(struct.pack("<I", end))
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        table, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        count = size[code]
+        total = np.cumsum(count, dtype=np.int32)  # a part has fewer than 2**31 ids
+        ids = table[np.repeat(start[code] - (total - count), count) + np.arange(int(total[-1]), dtype=np.int32)]
+        return ids, np.concatenate([[0], total[first[1:] + np.arange(len(first) - 1)]])
 
-    def __init__(self, new, memo):
-        super().__init__(new)
-        self.memo = memo
-
-    def __missing__(self, key):
-        return self.memo[key]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder: Python workers are reused by later tasks, and so is its memo."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if (path, spaced) not in _workers:
-        gc.freeze()  # the memo holds no cycles; full collections would walk it again and again
         _workers[path, spaced] = Encoder(path, spaced)
     return _workers[path, spaced]
