@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, line_dedup, packing, quality_rules, sharding
+from . import decontaminate, jaccard, line_dedup, packing, quality_rules, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op7(documents):
     return line_dedup.report(documents)
 
 
+@query("op8_token_files", "documents")
+def op8(documents):
+    return token_files.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op10_sharding", "documents")
 def op10(documents):
     return sharding.shard(documents)
