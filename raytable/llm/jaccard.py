@@ -42,6 +42,7 @@ PER_CENT = 90
 #: Entries of the frequency table that steers the order, at most; rarer ones are left out.
 FREQUENT = 1 << 19
 FILTER_BITS = 1 << 25  # of the filter that spares texts without a candidate in the last pass; a full one spares none
+SALT = 1024  # sets that meet one copy of a hub
 _REMOVED = np.uint64(0x5BD1E9955BD1E995)  # marks tokens of the hub that a set lacks
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -209,17 +210,26 @@ def _frequencies(first: DataFrame) -> Frequencies:
 
 
 def _difference(batches):
-    """(hub, cls, n, own, n_hub, delta): own is the overlap with the hub, delta the tokens of one but not of both."""
+    """Rows sorted by (hub, salt) with the hub first: for each other set its overlap with the hub and, where the run has a
+    third set, the tokens of one but not of both."""
+    hub, h = None, np.zeros(0, np.uint64)
     for batch in batches:
         col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-        own, delta = [], []
-        for x, h in zip(col["tokens"].to_pylist(), col["hub_tokens"].to_pylist(), strict=True):
-            x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
-            added, removed = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
-            own.append(len(x) - len(added))
-            delta.append(_signed(np.concatenate([added, removed ^ _REMOVED])))
-        yield pa.RecordBatch.from_arrays([col["hub"], col["cls"], col["n"], pa.array(own, pa.int32()), col["n_hub"], pa.array(delta, pa.list_(pa.int64()))],
-                                         ["hub", "cls", "n", "own", "n_hub", "delta"])
+        rows, own, delta = [], [], []
+        for k, (g, x, crowd, tokens) in enumerate(zip(*(col[c].to_pylist() for c in ("hub", "id", "crowd", "tokens")), strict=True)):
+            tokens = np.frombuffer(tokens, np.uint64)
+            if g == x:
+                hub, h = g, tokens
+                continue
+            if g != hub:
+                raise ValueError("a set came before its hub")
+            added = np.setdiff1d(tokens, h, assume_unique=True)
+            rows.append(k)
+            own.append(len(tokens) - len(added))
+            delta.append(_signed(np.concatenate([added, np.setdiff1d(h, tokens, assume_unique=True) ^ _REMOVED])) if crowd > 2 else None)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([col["hub"].take(at), col["id"].take(at), col["n"].take(at), pa.array(own, pa.int32()), col["n_hub"].take(at),
+                                          pa.array(delta, pa.list_(pa.int64()))], ["hub", "id", "n", "own", "n_hub", "delta"])
 
 
 def _ceil_div(x: Column, by: int) -> Column:
@@ -227,66 +237,76 @@ def _ceil_div(x: Column, by: int) -> Column:
 
 
 def _runs(postings: DataFrame, per_cent: int) -> DataFrame:
-    """(hub, n_hub, cls, n): every set of a run of possible partners with the hub of the run."""
+    """(hub, n_hub, id, n, crowd): every set of a run of possible partners with the hub of the run; crowd is the largest run of both."""
     whole, part = 100 + per_cent, per_cent
     # the largest partner that an entry's position allows; the first common token of a pair obeys it on both sides
     p = postings.withColumn("most", F.floor((whole * (F.col("n") - F.col("pos")) - part * F.col("n")) / F.lit(part)).cast("int"))
     p = p.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / per_cent))).cast("int"))
-    block = p.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.max("most").alias("most"), F.min("n").alias("least"), F.max("n").alias("largest"),
-                                          F.min(F.struct((-F.col("copies")).alias("k"), "cls", "n")).alias("top"))
+    block = p.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.max("most").alias("most"), F.min("n").alias("least"),
+                                          F.min(F.struct((-F.col("copies")).alias("k"), "id", "n", "most")).alias("top"))
     by = Window.partitionBy("token").orderBy("band")  # bands per token: the logarithm of the largest size
-    # bands of 1/s: partners of a size lie at most two bands apart (one, and one for rounding at a border)
+    # partners lie in neighbouring bands (or two apart, by rounding at a border)
     near = F.coalesce(F.col("band") - F.lag("band").over(by) <= 2, F.lit(False)) & (F.col("least") <= F.max("most").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     block = block.withColumn("run", F.sum(F.when(near, 0).otherwise(1)).over(by))
     run = Window.partitionBy("token", "run")
     block = (block.withColumn("total", F.sum("c").over(run)).withColumn("hub", F.min("top").over(run)).withColumn("low", F.min("least").over(run))
              .filter((F.col("total") > 1) & (F.col("most") >= F.col("low"))))
-    pairs = p.join(block.select("token", "band", "hub", "low"), ["token", "band"]).filter((F.col("most") >= F.col("low")) & (F.col("hub.cls") != F.col("cls")))
-    return pairs.select(F.col("hub.cls").alias("hub"), F.col("hub.n").alias("n_hub"), "cls", "n").distinct()
+    pairs = p.join(block.select("token", "band", "hub", "low", "total"), ["token", "band"]).filter((F.col("most") >= F.col("low")) & (F.col("hub.id") != F.col("id")))
+    # in a run of two the positions of both must allow the pair itself
+    pairs = pairs.filter((F.col("total") > 2) | ((F.col("most") >= F.col("hub.n")) & (F.col("hub.most") >= F.col("n"))))
+    return pairs.groupBy(F.col("hub.id").alias("hub"), F.col("hub.n").alias("n_hub"), "id", "n").agg(F.max("total").alias("crowd"))
+
+
+def _with_hubs(docs: DataFrame, classes: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """Every set of a run compared with its hub. A hub with many sets is copied to one key per SALT of them."""
+    spark = docs.sparkSession
+    salts = runs.groupBy("hub", "n_hub").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    member = runs.join(salts.drop("n_hub"), "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+    head = salts.select("hub", "n_hub", F.col("hub").alias("id"), F.col("n_hub").alias("n"), F.lit(0).cast("long").alias("crowd"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    place = member.unionByName(head).join(classes.select("id", "cls"), "id").checkpoint(eager=True)
+    wanted = spark.sparkContext.broadcast(_class_filter(place.select("cls").distinct()))
+    sets = id_text(docs).mapInArrow(_sets_pass(size, wanted), SETS).groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    rows = sets.join(place, "cls").drop("cls").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("id") != F.col("hub"))
+    return rows.mapInArrow(_difference, "hub long, id long, n int, own int, n_hub int, delta array<long>")
 
 
 def _links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Links between classes (u, v) that span every component."""
-    spark = docs.sparkSession
-    entry = classes.select("cls", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
+    entry = classes.select("id", F.posexplode("prefix").alias("pos", "token"))
     shared = entry.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    postings = entry.join(shared, "token").checkpoint(eager=True)
+    postings = entry.join(shared, "token").join(classes.select("id", "n", "copies"), "id").checkpoint(eager=True)
     runs = _runs(postings, per_cent).checkpoint(eager=True)
-    need = runs.select(F.explode(F.array("hub", "cls")).alias("cls")).distinct().checkpoint(eager=True)
-    wanted = spark.sparkContext.broadcast(_class_filter(need))
-    sets = (id_text(docs).mapInArrow(_sets_pass(size, wanted), SETS).join(need, "cls", "left_semi")
-            .groupBy("cls").agg(F.first("tokens").alias("tokens")).checkpoint(eager=True))
-    hubs = sets.select(F.col("cls").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    diff = (runs.join(sets, "cls").join(hubs, "hub")
-            .mapInArrow(_difference, "hub binary, cls binary, n int, own int, n_hub int, delta array<long>").checkpoint(eager=True))
+    diff = _with_hubs(docs, classes, runs, size).checkpoint(eager=True)
     # doubled: linked with the hub if s <= n_hub; two sets of a run are linked if 2 (100 + p) * common >= s + s'
     whole, part = 100 + per_cent, per_cent
     diff = diff.withColumn("s", (2 * part * F.col("n") - 2 * whole * F.col("own") + whole * F.col("n_hub")).cast("long"))
     edge = (whole - 2 * part) * F.col("n_hub")  # s of a set that is just linked with its hub
     diff = diff.withColumn("open", F.col("s") > edge).withColumn("edge", edge.cast("long"))
-    direct = diff.filter(~F.col("open")).select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    direct = diff.filter(~F.col("open")).select(F.col("hub").alias("u"), F.col("id").alias("v"))
     return direct.unionByName(_between(diff, whole, part))
 
 
 def _between(diff: DataFrame, whole: int, part: int) -> DataFrame:
     """Links between two sets of a run of which at least one is not linked with the hub."""
+    diff = diff.filter("delta is not null")
     groups = diff.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).filter("m > 1 and any").select("hub")
     member = diff.join(groups, "hub").withColumn("size", F.size("delta"))
-    token = member.select("hub", "cls", "s", "edge", "open", "size", F.explode("delta").alias("token"))
+    token = member.select("hub", "id", "s", "edge", "open", "size", F.explode("delta").alias("token"))
     count = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     token = token.join(count, ["hub", "token"])
-    mine = Window.partitionBy("hub", "cls")
+    mine = Window.partitionBy("hub", "id")
     token = token.withColumn("k", F.row_number().over(mine.orderBy("c", "token")) + F.col("size") - F.count(F.lit(1)).over(mine))
     # common part needed at least: against any open partner, and for an open set against any partner at all
     token = token.withColumn("any_open", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("edge") + 1, 2 * whole)))
     token = token.withColumn("any_set", F.greatest(F.lit(1), _ceil_div(F.col("s") - F.col("edge"), 2 * whole)))
     token = token.filter((F.col("k") <= F.col("size") - F.col("any_open") + 1) | (F.col("open") & (F.col("k") <= F.col("size") - F.col("any_set") + 1)))
     token = token.checkpoint(eager=True)
-    index = token.filter(F.col("k") <= F.col("size") - F.col("any_open") + 1).select("hub", "token", F.col("cls").alias("v"), F.col("open").alias("v_open"))
-    probe = token.filter("open").filter(F.col("k") <= F.col("size") - F.col("any_set") + 1).select("hub", "token", F.col("cls").alias("u"))
+    index = token.filter(F.col("k") <= F.col("size") - F.col("any_open") + 1).select("hub", "token", F.col("id").alias("v"), F.col("open").alias("v_open"))
+    probe = token.filter("open").filter(F.col("k") <= F.col("size") - F.col("any_set") + 1).select("hub", "token", F.col("id").alias("u"))
     pairs = probe.join(index, ["hub", "token"]).filter((F.col("u") != F.col("v")) & (~F.col("v_open") | (F.col("u") < F.col("v")))).select("hub", "u", "v").distinct()
-    left = member.select("hub", F.col("cls").alias("u"), F.col("s").alias("s_u"), F.col("delta").alias("d_u"))
-    right = member.select("hub", F.col("cls").alias("v"), F.col("s").alias("s_v"), F.col("delta").alias("d_v"))
+    left = member.select("hub", F.col("id").alias("u"), F.col("s").alias("s_u"), F.col("delta").alias("d_u"))
+    right = member.select("hub", F.col("id").alias("v"), F.col("s").alias("s_v"), F.col("delta").alias("d_v"))
     both = pairs.join(left, ["hub", "u"]).join(right, ["hub", "v"])
     return both.filter(2 * whole * F.size(F.array_intersect("d_u", "d_v")) >= F.col("s_u") + F.col("s_v")).select("u", "v")
 
@@ -300,11 +320,12 @@ def join_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CE
     rows = first.filter("n >= 0").select("doc_id", "n", "cls")
     table = spark.sparkContext.broadcast(_frequencies(first))
     classes = (slim.mapInArrow(_prefix_pass(size, per_cent, table), PREFIX).groupBy("cls")
-               .agg(F.first("n").alias("n"), F.sum("copies").alias("copies"), F.first("prefix").alias("prefix")).checkpoint(eager=True))
+               .agg(F.first("n").alias("n"), F.sum("copies").alias("copies"), F.first("prefix").alias("prefix"))
+               .withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True))
     links = _links(docs, classes, size, per_cent).checkpoint(eager=True)
     rep = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     if links.take(1):
-        root = components(links).select(F.col("node").alias("cls"), "component")
+        root = components(links).select(F.col("node").alias("id"), "component").join(classes.select("id", "cls"), "id").drop("id")
         named = root.join(rep, "cls").groupBy("component").agg(F.min("rep").alias("low"))
         rep = rep.join(root.join(named, "component").select("cls", "low"), "cls", "left").select("cls", F.coalesce("low", "rep").alias("rep"))
     out = rows.join(rep, "cls", "left")
