@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, line_dedup, packing, quality_rules, sharding, token_files
+from . import decontaminate, jaccard, line_dedup, packing, pseudonyms, quality_rules, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op3(documents):
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_pii_pseudonyms", "documents")
+def op4(documents):
+    return pseudonyms.report(documents)
+
+
 @query("op5_ngram_jaccard_join", "documents")
 def op5(documents):
     return jaccard.join_components(documents)

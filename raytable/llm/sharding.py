@@ -28,9 +28,7 @@ def _round(half: Column, key: int, n: int, size: int) -> Column:
 
 def feistel(x: Column, left: int, right: int, key: int) -> Column:
     """Keyed permutation of 0 .. left*right-1: halves (x div right, x mod right) take turns."""
-    a, b = F.floor(x / right).cast("long") if left * right < 1 << 52 else F.expr("0"), x % right
-    if left * right >= 1 << 52:  # beyond the whole numbers a double holds
-        a = ((x - b) / right).cast("long")
+    a, b = F.call_function("div", x, F.lit(right)), x % right
     for n in range(0, ROUNDS, 2):
         a = (a + _round(b, key, n, left)) % left
         b = (b + _round(a, key, n + 1, right)) % right
