@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, line_dedup, packing, pseudonyms, quality_rules, sharding, token_files
+from . import decontaminate, jaccard, license_scan, line_dedup, packing, pseudonyms, quality_rules, sharding, token_files, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op1(documents, labels):
     return quality_rules.report(documents, labels)
 
 
+@query("op2_license_scan", "documents")
+def op2(documents):
+    return license_scan.report(documents)
+
+
 @query("op3_best_fit_packing", "documents")
 def op3(documents):
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +69,11 @@ def op8(documents):
     return token_files.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op9_quality_classifier", "documents")
+def op9(documents):
+    return weak_labels.report(documents)
+
+
 @query("op10_sharding", "documents")
 def op10(documents):
     return sharding.shard(documents)
