@@ -3,10 +3,11 @@
 Equal sets form one class first, so copies never meet each other. Distinct sets are joined exactly at a similarity of
 ``PER_CENT``:
 
-1. Index lists. Tokens (64-bit names of shingles) have one global order, rare ones first by an estimate from word and
-   shingle counts; the order only steers the work, any order is right. A set enters the lists of its prefix tokens with
-   position and size. Entries form blocks by size; an entry's position bounds the size of a partner, and blocks without a
-   possible partner are skipped as a whole.
+1. Index lists. Tokens (64-bit names of shingles) have one global order, rare ones first. Their counts come from one exchange
+   of 40-bit fingerprints by hash range; each range leaves fixed-size bitmaps of tokens seen 2, 8 and 64 times. Bitmaps may take
+   a rare token for a common one, never the reverse: an unshared token needs no list, and any order is right. A set enters
+   the lists of its shared prefix tokens with position and size. Entries form blocks by size; an entry's position bounds the
+   size of a partner, and blocks without a possible partner are skipped as a whole.
 2. Answers from a hub. Every other set x of a run of blocks is compared with one hub h of the run (the set with most
    copies). With o = |x and h|, the overlap of two sets x, y of the run is o_x + o_y - |h| + (common part of their differences
    from h): the answers of similar sets follow from those of the hub, and only differences need to be looked at.
@@ -39,70 +40,124 @@ from .common import Numbering, id_text, mix64, prepare, text_chunks, utf8
 
 SHINGLE = 3
 PER_CENT = 90
-#: Entries of the frequency table that steers the order, at most; rarer ones are left out.
-FREQUENT = 1 << 19
 FILTER_BITS = 1 << 25  # of the filter that spares texts without a candidate in the last pass; a full one spares none
 SALT = 1024  # sets that meet one copy of a hub
 _REMOVED = np.uint64(0x5BD1E9955BD1E995)  # marks tokens of the hub that a set lacks
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-FIRST = "doc_id long, n int, cls binary, token long, seen long"
-PREFIX = "cls binary, n int, copies long, prefix array<long>"
+LEVELS = (2, 8, 64)  # counts that the order of tokens tells apart
+LEVEL_BITS = 1 << 26  # of each level's bitmap over all ranges; a full one only makes the order coarser
+COUNTS = "span long, names binary"
+BITMAPS = "span long, " + ", ".join(f"level{k} binary" for k in range(len(LEVELS)))
+ROWS = "doc_id long, n int, cls binary, entries array<struct<pos:int,token:long>>"
 SETS = "cls binary, tokens binary"
 
 
-class Frequencies:
-    """Log2 counts (in quarters) of frequent words and shingles by 64-bit name."""
+class Shared:
+    """How common a token is, by range of its top bits: bitmaps with two bits a token."""
 
-    def __init__(self, token: np.ndarray, seen: np.ndarray, words: int):
-        order = np.argsort(token)
-        self.token, self.quarters = token[order], np.minimum(4 * np.log2(np.maximum(seen[order], 1)), 250).astype(np.int16)
-        self.total = 4 * np.log2(max(words, 2))
+    def __init__(self, range_bits: int, rows):
+        self.shift, self.bits = np.uint64(64 - range_bits), LEVEL_BITS >> range_bits
+        self.maps = [np.zeros((1 << range_bits, self.bits // 8), np.uint8) for _ in LEVELS]
+        for r in rows:
+            for k, m in enumerate(self.maps):
+                m[r["span"]] = np.frombuffer(r[f"level{k}"], np.uint8)
+        self.maps = [m.ravel() for m in self.maps]
 
-    def of(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.token):
-            return np.zeros(len(names), np.int16)
-        at = np.minimum(np.searchsorted(self.token, names), len(self.token) - 1)
-        return np.where(self.token[at] == names, self.quarters[at], 0).astype(np.int16)
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for a token of one set; higher, the more common."""
+        base = (tokens >> self.shift) * np.uint64(self.bits)
+        level = np.zeros(len(tokens), np.int8)
+        at = [(base + p).astype(np.int64) for p in _places(tokens & _LOW, self.bits)]
+        for m in self.maps:
+            level += np.logical_and.reduce([(m[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in at]).astype(np.int8)
+        return level
 
 
-def _word_name(words: Iterator[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64)
+_LOW = np.uint64((1 << 40) - 1)
 
 
-def token_sets(texts: list[bytes], size: int, frequencies: Frequencies | None = None):
-    """For each text its distinct tokens, sorted, and with ``frequencies`` their order class; then word counts per chunk.
+def _places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return names % np.uint64(bits), mix64(names + np.uint64(1)) % np.uint64(bits)
 
-    Yields (index, tokens, classes) for every text and (-1, word names, counts) once per chunk.
-    """
+
+def _counts_pass(size: int, range_bits: int):
+    """Names of the distinct tokens of a batch by range, as often as distinct sets have them (64 times at most)."""
+
+    def run(batches):
+        for batch in batches:
+            distinct = {_class_of(tokens): tokens for _, tokens in token_sets(utf8(batch.column(1)), size) if len(tokens)}
+            tokens, count = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, int))
+            tokens = np.repeat(tokens, np.minimum(count, LEVELS[-1]))
+            names = np.ascontiguousarray(tokens, "<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            span, first = np.unique(tokens >> np.uint64(64 - range_bits), return_index=True)
+            cuts = [*first.tolist(), len(tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array(span.astype(np.int64)), pa.array([names[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["span", "names"])
+
+    return run
+
+
+def _bitmap_pass(range_bits: int):
+    """Bitmaps of each range, from rows sorted by range."""
+    bits = LEVEL_BITS >> range_bits
+
+    def close(span: int, parts: list[bytes]) -> list:
+        raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        names, count = np.unique(wide.view("<u8").ravel(), return_counts=True)
+        row = [span]
+        for least in LEVELS:
+            flags = np.zeros(bits, np.uint8)
+            for p in _places(names[count >= least], bits):
+                flags[p.astype(np.int64)] = 1
+            row.append(np.packbits(flags, bitorder="little").tobytes())
+        return row
+
+    def run(batches):
+        span, parts = None, []
+        for batch in batches:
+            rows = []
+            for s, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != span and parts:
+                    rows.append(close(span, parts))
+                    parts = []
+                span = s
+                parts.append(names)
+            if rows:
+                yield _bitmap_batch(rows)
+        if parts:
+            yield _bitmap_batch([close(span, parts)])
+
+    return run
+
+
+def _bitmap_batch(rows: list[list]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], [c.split()[0] for c in BITMAPS.split(", ")])
+
+
+def token_sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, distinct tokens in ascending order) of every text."""
     none = np.zeros(0, np.uint64)
     for a, b in text_chunks(texts):
         number = Numbering()
         rows = [t.translate(_UPPER).split() for t in texts[a:b]]
         flat = np.fromiter((number[w] for r in rows for w in r), np.int64)
-        names = _word_name(iter(number))
-        yield -1, names, np.bincount(flat, minlength=len(names)) if len(flat) else none
-        word = names[flat] if len(flat) else none
+        names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+        word = names[flat]
         shingle = word[: max(0, len(word) - size + 1)].copy()
         for k in range(1, size):
             shingle = mix64(shingle + np.uint64(k)) + word[k: k + len(shingle)]
         shingle = mix64(shingle)
-        classes = None
-        if frequencies is not None:
-            own = frequencies.of(names ^ _REMOVED)[flat].astype(np.int32) if len(flat) else np.zeros(0, np.int32)
-            expected = own[: len(shingle)].copy()
-            for k in range(1, size):
-                expected += own[k: k + len(shingle)]
-            classes = np.maximum(expected - int((size - 1) * frequencies.total), frequencies.of(shingle))
         at = 0
         for i, r in enumerate(rows, a):
             if not r:
-                yield i, none, none
+                yield i, none
             elif len(r) < size:
-                yield i, np.array([xxhash.xxh3_64_intdigest(b"\0".join(r), seed=len(r))], np.uint64), np.zeros(1, np.int32)
+                yield i, np.array([xxhash.xxh3_64_intdigest(b"\0".join(r), seed=len(r))], np.uint64)
             else:
-                tokens, first = np.unique(shingle[at: at + len(r) - size + 1], return_index=True)
-                yield i, tokens, classes[at + first] if classes is not None else none
+                yield i, np.unique(shingle[at: at + len(r) - size + 1])
             at += len(r)
 
 
@@ -114,53 +169,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def _first_pass(size: int):
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), utf8(batch.column(1))
-            n, cls = np.zeros(len(texts), np.int32), [None] * len(texts)
-            words: list[tuple[np.ndarray, np.ndarray]] = []
-            distinct: dict[bytes, np.ndarray] = {}
-            for i, tokens, counts in token_sets(texts, size):
-                if i < 0:
-                    words.append((tokens, counts))
-                    continue
-                n[i], cls[i] = len(tokens), _class_of(tokens)
-                if cls[i]:
-                    distinct[cls[i]] = tokens
-            rows = len(texts)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(cls, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], NAMES)
-            seen = [(names[c >= 8] ^ _REMOVED, c[c >= 8]) for names, c in words if len(names)]
-            if distinct:
-                tokens, c = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                seen.append((tokens[c >= 3], c[c >= 3]))
-            seen.append((np.zeros(1, np.uint64), np.array([sum(int(c.sum()) for _, c in words)])))  # token 0: all words
-            for token, c in seen:
-                rows = len(token)
-                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.array(np.full(rows, -1, np.int32)), pa.nulls(rows, pa.binary()),
-                                                  pa.array(_signed(token)), pa.array(c.astype(np.int64))], NAMES)
-
-    NAMES = ["doc_id", "n", "cls", "token", "seen"]
-    return run
+def _rows_pass(size: int, per_cent: int, table):
+    """A row per document; the first of a class in a batch carries the index entries of its shared prefix tokens."""
 
-
-def _prefix_pass(size: int, per_cent: int, table):
     def run(batches):
-        frequencies = table.value
+        shared = table.value
         for batch in batches:
-            found: dict[bytes, list] = {}
-            for i, tokens, classes in token_sets(utf8(batch.column(1)), size, frequencies):
-                if i < 0 or not len(tokens):
-                    continue
-                cls, n = _class_of(tokens), len(tokens)
-                if cls in found:
-                    found[cls][1] += 1
+            texts = utf8(batch.column(1))
+            n, cls, entries, found = np.zeros(len(texts), np.int32), [None] * len(texts), [None] * len(texts), set()
+            for i, tokens in token_sets(texts, size):
+                n[i], cls[i] = len(tokens), _class_of(tokens)
+                if cls[i] is None or cls[i] in found:
                     continue
-                keep = n + (-n * per_cent) // 100 + 1
-                found[cls] = [n, 1, _signed(tokens[np.lexsort((tokens, classes))[:keep]])]
-            cols = list(zip(*found.values(), strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
-                                              pa.array(cols[2], pa.list_(pa.int64()))], ["cls", "n", "copies", "prefix"])
+                found.add(cls[i])
+                level = shared.level(tokens)
+                order = np.lexsort((tokens, level))[: n[i] + (-int(n[i]) * per_cent) // 100 + 1]
+                pos = np.flatnonzero(level[order])
+                entries[i] = [{"pos": p, "token": t} for p, t in zip(pos.tolist(), _signed(tokens[order[pos]]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(entries, pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.int64())])))],
+                                             ["doc_id", "n", "cls", "entries"])
 
     return run
 
@@ -170,8 +197,8 @@ def _sets_pass(size: int, wanted):
         bits = wanted.value
         for batch in batches:
             found: dict[bytes, bytes] = {}
-            for i, tokens, _ in token_sets(utf8(batch.column(1)), size):
-                if i >= 0 and len(tokens):
+            for _, tokens in token_sets(utf8(batch.column(1)), size):
+                if len(tokens):
                     cls = _class_of(tokens)
                     bit = int.from_bytes(cls[:8], "little") % FILTER_BITS
                     if bits[bit >> 3] >> (bit & 7) & 1:
@@ -194,19 +221,12 @@ def _class_filter(classes: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def _frequencies(first: DataFrame) -> Frequencies:
-    """The most frequent words and shingles, FREQUENT at most."""
-    seen = first.filter("n = -1").groupBy("token").agg(F.sum("seen").alias("seen")).checkpoint(eager=True)
-    sizes = seen.groupBy(F.floor(F.log2("seen")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()
-    least, room = 2, FREQUENT
-    for k, c in sorted(((r["k"], r["c"]) for r in sizes if r["k"] is not None), reverse=True):
-        room -= c
-        if room < 0:
-            least = 2 ** (k + 1)
-            break
-    rows = seen.filter((F.col("seen") >= least) | (F.col("token") == 0)).toPandas()
-    token, count = rows["token"].to_numpy(np.int64).view(np.uint64), rows["seen"].to_numpy(np.int64)
-    return Frequencies(token[token != 0], count[token != 0], int(count[token == 0].sum()))
+def _shared_tokens(slim: DataFrame, size: int) -> Shared:
+    """Bitmaps of common tokens. The number of ranges follows the number of input partitions, so a range stays small; what
+    comes to the driver has a fixed size."""
+    range_bits = min(20, max(6, slim.rdd.getNumPartitions().bit_length() + 6))
+    spans = slim.mapInArrow(_counts_pass(size, range_bits), COUNTS).repartition("span").sortWithinPartitions("span")
+    return Shared(range_bits, spans.mapInArrow(_bitmap_pass(range_bits), BITMAPS).collect())
 
 
 def _difference(batches):
@@ -273,7 +293,7 @@ def _with_hubs(docs: DataFrame, classes: DataFrame, runs: DataFrame, size: int)
 
 def _links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Links between classes (u, v) that span every component."""
-    entry = classes.select("id", F.posexplode("prefix").alias("pos", "token"))
+    entry = classes.select("id", F.explode("entries").alias("e")).select("id", "e.pos", "e.token")
     shared = entry.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     postings = entry.join(shared, "token").join(classes.select("id", "n", "copies"), "id").checkpoint(eager=True)
     runs = _runs(postings, per_cent).checkpoint(eager=True)
@@ -316,19 +336,18 @@ def join_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CE
     spark = docs.sparkSession
     prepare(spark)
     slim = id_text(docs)
-    first = slim.mapInArrow(_first_pass(size), FIRST).checkpoint(eager=True)
-    rows = first.filter("n >= 0").select("doc_id", "n", "cls")
-    table = spark.sparkContext.broadcast(_frequencies(first))
-    classes = (slim.mapInArrow(_prefix_pass(size, per_cent, table), PREFIX).groupBy("cls")
-               .agg(F.first("n").alias("n"), F.sum("copies").alias("copies"), F.first("prefix").alias("prefix"))
+    table = spark.sparkContext.broadcast(_shared_tokens(slim, size))
+    rows = slim.mapInArrow(_rows_pass(size, per_cent, table), ROWS).checkpoint(eager=True)
+    classes = (rows.filter("cls is not null").groupBy("cls")
+               .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("entries", ignorenulls=True).alias("entries"), F.min("doc_id").alias("rep"))
                .withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True))
     links = _links(docs, classes, size, per_cent).checkpoint(eager=True)
-    rep = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    rep = classes.select("cls", "rep")
     if links.take(1):
         root = components(links).select(F.col("node").alias("id"), "component").join(classes.select("id", "cls"), "id").drop("id")
         named = root.join(rep, "cls").groupBy("component").agg(F.min("rep").alias("low"))
         rep = rep.join(root.join(named, "component").select("cls", "low"), "cls", "left").select("cls", F.coalesce("low", "rep").alias("rep"))
-    out = rows.join(rep, "cls", "left")
+    out = rows.select("doc_id", "n", "cls").join(rep, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("component_id"))
 
 
