@@ -18,7 +18,14 @@ def _blocks(df: DataFrame, by: list[str], id_col: str, vector: str, tag: str) ->
     d = df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one-row count
     d = d.withColumn(f"_blk_{tag}", F.pmod(F.xxhash64(id_col), F.col("_nb")))
     row = F.struct(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    return d.groupBy(*by, f"_blk_{tag}").agg(F.array_sort(F.collect_list(row)).alias(f"_{tag}"))
+    return d.groupBy(*by, f"_blk_{tag}").agg(F.array_sort(F.collect_list(row)).alias(f"_{tag}"), F.max("_nb").alias(f"_n{tag}"))
+
+
+def _facing(blocks: DataFrame, other: DataFrame, by: list[str], tag: str, other_tag: str) -> DataFrame:
+    """Each block once for every block of the other side of its key, named by number, so that blocks meet in an equi-join."""
+    n = other.groupBy(*by).agg(F.max(f"_n{other_tag}").alias("_n")) if by else other.agg(F.max(f"_n{other_tag}").alias("_n")).filter("_n is not null")
+    d = blocks.join(n, by) if by else blocks.crossJoin(F.broadcast(n))  # one-row count
+    return d.select(*by, f"_blk_{tag}", f"_{tag}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)).alias(f"_blk_{other_tag}"))
 
 
 def _nearest_two(by: list[str]):
@@ -36,8 +43,10 @@ def _nearest_two(by: list[str]):
                 exact = ((va[:, None, :] - vb[near]) ** 2).sum(2)
                 head = {c: pdf[c].iloc[k] for c in by}
                 frames.append(pd.DataFrame({**head, "a": np.repeat(ia, take), "b": ib[near].ravel(), "d2": exact.ravel(), "rev": False}))
-                back = gram.argmin(0)
-                frames.append(pd.DataFrame({**head, "a": ia[back], "b": ib, "d2": ((va[back] - vb) ** 2).sum(1), "rev": True}))
+                take = min(4, gram.shape[0])
+                back = np.argpartition(gram, take - 1, axis=0)[:take]
+                exact = ((va[back] - vb[None, :, :]) ** 2).sum(2)
+                frames.append(pd.DataFrame({**head, "a": ia[back].ravel(), "b": np.tile(ib, take), "d2": exact.ravel(), "rev": True}))
             yield pd.concat(frames) if frames else pd.DataFrame(columns=[*by, "a", "b", "d2", "rev"])
 
     return run
@@ -50,11 +59,8 @@ def match_descriptors(a: DataFrame, b: DataFrame, by: list[str], id_col: str, ve
     Each block of ``a`` meets each block of ``b`` once as a matrix product in a task; only the nearest rows per
     descriptor leave the task and are merged by min aggregates.
     """
-    left, right = _blocks(a, by, id_col, vector, "a"), _blocks(b, by, id_col, vector, "b")
-    on = by or ["_all"]
-    if not by:
-        left, right = left.withColumn("_all", F.lit(0)), right.withColumn("_all", F.lit(0))
-    meet = left.join(right, on).repartition(*on, "_blk_a", "_blk_b")
+    left, right = materialize(_blocks(a, by, id_col, vector, "a")), materialize(_blocks(b, by, id_col, vector, "b"))
+    meet = _facing(left, right, by, "a", "b").join(_facing(right, left, by, "b", "a"), [*by, "_blk_a", "_blk_b"])
     key = a.schema[id_col].dataType.simpleString()
     heads = "".join(f"`{c}` {a.schema[c].dataType.simpleString()}, " for c in by)
     near = materialize(meet.select(*by, "_a", "_b").mapInPandas(_nearest_two(by), f"{heads}a {key}, b {key}, d2 double, rev boolean"))

@@ -148,9 +148,9 @@ WGT = """wt as (select *, confidence*nav/count(*) over (partition by track, pass
 bw as (select *, w0/avg(w0) over (partition by track) as w from wt)"""
 
 
-@query("win_09_base_weights", "fx_rays", sql=f"with {WGT} select obs_id, round(w,6) as w from bw")
+@query("win_09_base_weights", "fx_rays", sql=f"with {WGT} select obs_id, round(w,9) as w from bw")
 def _(r):
-    return P.base_weights(r, ["track"]).select("obs_id", r6(F.col("base_weight")).alias("w"))
+    return P.base_weights(r, ["track"]).select("obs_id", F.round("base_weight", 9).alias("w"))
 
 
 ISECT = WGT + """, uu as (select *, dx/sqrt(dx*dx+dy*dy+dz*dz) as ux, dy/sqrt(dx*dx+dy*dy+dz*dz) as uy, dz/sqrt(dx*dx+dy*dy+dz*dz) as uz from bw),

@@ -188,3 +188,15 @@ def _(d):
     a, b = d.filter("side = 0"), d.filter("side = 1")
     out = D.match_descriptors(a, b, [], "vec_id", "embedding", 0.95, True)
     return out.select(F.col("vec_id_a").alias("ia"), F.col("vec_id_b").alias("ib"), r6(F.col("distance") * F.col("distance")).alias("d2"))
+
+
+# descriptors of one label form a pair of their own
+@query("jon_03_match_by_pair", "fx_descriptors", sql="""
+with a as (select vec_id, label, embedding::double[] as e from fx_descriptors where side=0), b as (select vec_id, label, embedding::double[] as e from fx_descriptors where side=1),
+d as (select a.label, a.vec_id as ia, b.vec_id as ib, list_sum(list_transform(list_zip(a.e,b.e), lambda x: (x[1]-x[2])*(x[1]-x[2]))) as d2 from a join b on a.label=b.label),
+f as (select label, ia, ib, d2, row_number() over (partition by ia order by d2, ib) as rn, lead(d2) over (partition by ia order by d2, ib) as second from d),
+g as (select ib, min_by(ia, d2) as back from d group by ib)
+select label, ia, f.ib, round(d2,6) as d2 from f join g on f.ib=g.ib where rn=1 and (second is null or sqrt(d2)<=0.95*sqrt(second)) and back=ia""")
+def _(d):
+    out = D.match_descriptors(d.filter("side = 0"), d.filter("side = 1"), ["label"], "vec_id", "embedding", 0.95, True)
+    return out.select("label", F.col("vec_id_a").alias("ia"), F.col("vec_id_b").alias("ib"), r6(F.col("distance") * F.col("distance")).alias("d2"))
