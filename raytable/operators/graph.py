@@ -14,8 +14,6 @@ from raytable.runtime import is_empty, materialize
 
 from .ordered import rank_rows
 
-MAX_ROUNDS = 200
-
 
 def _checksum(df: DataFrame, *cols: str):
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("h")).first()
@@ -38,7 +36,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", node: str = "node",
     pairs = (raw.filter("a <> b").join(ids, "a").select("b", F.col("i").alias("x")).join(ids.select(F.col("a").alias("b"), F.col("i").alias("y")), "b"))
     e = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # edges only move to smaller nodes, so a fixed point is reached
         # neighbours larger than a node move to the smallest node that node knows
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -51,8 +49,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", node: str = "node",
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = ids.join(e.withColumnRenamed("a", "i"), "i", "left").select("a", F.coalesce("b", "i").alias("r"))
     names = ids.select(F.col("i").alias("r"), F.col("a").alias("c"))
     return roots.join(names, "r").select(F.col("a").alias(node), F.col("c").alias(component))
@@ -66,9 +62,7 @@ def spanning_forest(edges: DataFrame, order: list[Column], u: str = "u", v: str
     live = materialize(edges.select(F.col(edge_id).alias("_e"), F.struct(*order, F.col(edge_id)).alias("_k"),
                                     F.col(u).alias("_a"), F.col(v).alias("_b")).filter("_a <> _b"))
     chosen = None
-    for _ in range(MAX_ROUNDS):
-        if is_empty(live):
-            break
+    while not is_empty(live):  # every cluster with an edge joins another one
         ends = live.select(F.explode(F.array(F.struct(F.col("_a").alias("c"), F.col("_b").alias("o")),
                                              F.struct(F.col("_b").alias("c"), F.col("_a").alias("o")))).alias("p"), "_k", "_e").select("p.*", "_k", "_e")
         best = materialize(ends.groupBy("c").agg(F.min(F.struct("_k", "_e", "o")).alias("m")).select("c", F.col("m.o").alias("o"), F.col("m._e").alias("_e")))
@@ -123,9 +117,7 @@ def reconcile(edges: DataFrame, scope: list[str], order: list[Column], edge_id:
         F.struct("_scope", F.col("u").alias("n")).alias("_a"), F.struct("_scope", F.col("v").alias("n")).alias("_b"),
         F.array("view_u").alias("_wa"), F.array("view_v").alias("_wb")))
     decided = []
-    for _ in range(MAX_ROUNDS * 5):
-        if is_empty(live):
-            break
+    while not is_empty(live):  # the best edge of all is decided in every round
         inside = F.col("_a") == F.col("_b")
         clash = F.arrays_overlap("_wa", "_wb")
         decided.append(live.filter(inside | clash).select("_e", inside.alias("_ok")))
@@ -142,8 +134,6 @@ def reconcile(edges: DataFrame, scope: list[str], order: list[Column], edge_id:
             rest = (rest.join(m, side, "left").withColumn(side, F.coalesce("_nr", side))
                     .withColumn(seen, F.coalesce("_nw", seen)).drop("_nr", "_nw"))
         live = materialize(rest)
-    else:
-        raise RuntimeError("reconciliation did not settle")
     verdict = clean
     for d in decided:
         verdict = verdict.unionByName(d)
