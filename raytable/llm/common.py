@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from raytable.runtime import ensure_checkpoint_dir
 
 #: Text handed to Python at once; a longer text travels alone.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2048
 
 
 def prepare(spark: SparkSession) -> None:
@@ -40,7 +40,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def text_chunks(texts: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, so that numpy arrays over the words of a range stay small."""
     start = size = 0
     for i, t in enumerate(texts):
