@@ -160,7 +160,7 @@ class Reader:
 
 
 MANIFEST = "file string, part int, n_docs long, n_ids long"
-READ = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, spaced: bool, width: int = 2) -> DataFrame:
@@ -193,7 +193,7 @@ def read(spark: SparkSession, manifest: DataFrame, block: int = 4096) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = Reader(uri)
                 borders, doc_ids = reader.borders.values(), reader.doc_ids()
                 for a in range(0, reader.n_docs, block):
@@ -204,15 +204,13 @@ def read(spark: SparkSession, manifest: DataFrame, block: int = 4096) -> DataFra
                             end = max(i + 1, min(b, int(np.searchsorted(borders, borders[i] + (4 << 20), "right")) - 1))
                             ids, low = reader.ids(i, end).astype("<u4"), int(borders[i])
                         crc.append(zlib.crc32(ids[int(borders[i]) - low: int(borders[i + 1]) - low]))
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(doc_ids[a:b], pa.int64()), pa.array(borders[a:b]),
-                                                      pa.array(np.diff(borders[a: b + 1])), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(borders[a:b] + before),
+                                                      pa.array(np.diff(borders[a: b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # one row per file; the running total over files is the only step that sees all of them
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    files = manifest.select("file", "part", "n_docs", "n_ids").repartition(F.col("part"))
-    rows = files.mapInArrow(run, READ)
-    return rows.join(offsets, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    return files.repartition("file").mapInArrow(run, READ)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, spaced: bool = False, width: int = 2) -> DataFrame:
