@@ -29,6 +29,33 @@ def query(name: str, *tables: str, sql: str | None = None):
     return wrap
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD_SQL = rf"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)) as s from w),
+c as (select s, len(s) as n, min(doc_id) as rep from s where len(s) > 0 group by s),
+e as (select rep, n, unnest(s) as t from c),
+l as (select a.rep as u, b.rep as v from e a join e b on a.t = b.t and a.rep <> b.rep and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r as (select rep as u, rep as v from c union select r.u, l.v from r join l on r.v = l.u),
+m as (select u, min(v) as low from r group by u)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(m.low, s.doc_id) as component_id
+from s left join c on s.s = c.s left join m on c.rep = m.u"""
+CONTAMINATION_SQL = rf"""
+with b as (select cast(item_id as varchar) as item, coalesce(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) as w from benchmark),
+bw as (select item, w, least(13, len(w)) as m, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0),
+p as (select distinct item, m, array_to_string(w[i:i + m - 1], ' ') as k from bw),
+d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) as w from documents),
+x as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from p) where len(w) >= m),
+h as (select x.doc_id, x.i, x.m, p.item from x join p on x.m = p.m and array_to_string(x.w[x.i:x.i + x.m - 1], ' ') = p.k),
+n as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.names, '')) as items_sha256,
+  coalesce(n.n_hit, 0) > 0 and 20 * coalesce(n.n_hit, 0) >= len(d.w) as contaminated
+from d left join n on d.doc_id = n.doc_id left join t on d.doc_id = t.doc_id"""
+
+
 @query("op1_quality_rules", "documents", "labels")
 def op1(documents, labels):
     return quality_rules.report(documents, labels)
@@ -49,12 +76,12 @@ def op4(documents):
     return pseudonyms.report(documents)
 
 
-@query("op5_ngram_jaccard_join", "documents")
+@query("op5_ngram_jaccard_join", "documents", sql=JACCARD_SQL)
 def op5(documents):
     return jaccard.join_components(documents)
 
 
-@query("op6_decontamination", "documents", "benchmark")
+@query("op6_decontamination", "documents", "benchmark", sql=CONTAMINATION_SQL)
 def op6(documents, benchmark):
     return decontaminate.report(documents, benchmark)
 
