@@ -55,19 +55,16 @@ def _(m):
     return c.select(*PAIR, "initial", *(F.col(n).alias(f"c{i + 1}") for i, n in enumerate(NAMES)), "final")
 
 
+# a neutral stage marks and may name the first rejection of a live row, but does not change acceptance
 @query("flt_02_apply_stage", "fx_matches", sql="""
-select record_id, case when metric>0.1 then 'ratio' when l_returnflag='R' then 'roi' else '' end as first_rejected_stage,
- case when metric>0.1 then 'ratio' when l_returnflag='R' and moving_row>300 then 'roi|spatialRedundancy' when l_returnflag='R' then 'roi' when moving_row>300 then 'spatialRedundancy' else '' end as reasons,
+select record_id, case when metric>0.1 then 'ratio' when moving_row>300 then 'spatialRedundancy' when l_returnflag='R' then 'roi' else '' end as first_rejected_stage,
+ case when metric>0.1 then 'ratio' when moving_row>300 and l_returnflag='R' then 'spatialRedundancy|roi' when moving_row>300 then 'spatialRedundancy' when l_returnflag='R' then 'roi' else '' end as reasons,
  case when metric>0.1 or l_returnflag='R' then 'rejected' else 'accepted' end as state from fx_matches""")
 def _(m):
     df = L.apply_stage(L.start_ledger(m), "ratio", F.col("metric") <= 0.1)
-    # a neutral stage marks but does not change acceptance; its reason counts only for live rows
     df = L.apply_stage(df, "spatialSelection", F.col("moving_row") <= 300)
     df = L.apply_stage(df, "roi", F.col("accepted") & (F.col("l_returnflag") != "R"))
-    first = F.when(F.col("first_rejected_stage") == "spatialRedundancy", F.element_at(
-        F.concat(F.array_except("rejection_reasons", F.array(F.lit("spatialRedundancy"))), F.array(F.lit(""))), 1))
-    return df.select("record_id", F.coalesce(first, "first_rejected_stage").alias("first_rejected_stage"),
-                     F.array_join(F.array_sort("rejection_reasons"), "|").alias("reasons"), "state")
+    return df.select("record_id", "first_rejected_stage", F.array_join("rejection_reasons", "|").alias("reasons"), "state")
 
 
 @query("flt_03_score_and_ratio", "fx_matches", sql="""
