@@ -14,7 +14,7 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 
 HEADLINE = ["agg_01_consolidate_observations", "grf_01_components", "surface_track_points", "slv_01_intersect_rays", "slv_02_reconstruct_points",
             "flt_05_mad_displacement", "win_01_select_evidence", "agg_09_voxelize", "agg_10_splat", "jon_04_nearest_by_mode", "jon_05_sample_grid",
-            "slv_06_block_counts", "ras_03_resample_bilinear", "ras_04_composite", "geo_11_rational_project", "cat_05_build_catalog"]
+            "slv_06_block_counts", "ras_03_resample_bilinear", "ras_04_composite", "geo_11_rational_project", "cat_05_build_catalog", "jon_03_match_descriptors", "ras_02_inverse_map_regular"]
 
 
 def main() -> None:

@@ -139,7 +139,10 @@ def roi_stage(ledger: DataFrame, rect: tuple[float, float, float, float], x: str
 
 
 def curation_stage(ledger: DataFrame, edits: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """Latest edit per record decides (enabled / disabled / deleted); adds ``edge_eligible``."""
+    """Latest edit per record decides (enabled / disabled / deleted); adds ``edge_eligible``.
+
+    A manual state is kept whether or not an earlier stage rejected the row; only enabled, accepted rows are eligible.
+    """
     latest = edits.groupBy(id_col).agg(F.max_by("action", "seq").alias("_action"))
     df = ledger.join(latest, id_col, "left")
     keep = F.coalesce(F.col("_action") == "enabled", F.lit(True))

@@ -142,7 +142,7 @@ def _(m):
 with e as (select record_id, l_linenumber*2+1 as seq, case when disc%3=0 then 'disabled' when disc%3=1 then 'enabled' else 'deleted' end as action from fx_li where tax>=4
  union all select record_id, l_linenumber*2+2 as seq, case when tax%2=0 then 'enabled' else 'disabled' end as action from fx_li where tax>=6),
 l as (select record_id, max_by(action, seq) as action from e group by record_id)
-select m.record_id, case when metric>0.1 then 'rejected' else coalesce(nullif(action,'enabled'),'accepted') end as state,
+select m.record_id, case when action in ('disabled','deleted') then action when metric>0.1 then 'rejected' else 'accepted' end as state,
  metric<=0.1 and coalesce(action,'enabled')='enabled' as eligible from fx_matches m left join l using (record_id)""")
 def _(m, li):
     e1 = li.filter("tax >= 4").select("record_id", (F.col("l_linenumber") * 2 + 1).alias("seq"),
@@ -151,7 +151,7 @@ def _(m, li):
                                       F.when(F.col("tax") % 2 == 0, "enabled").otherwise("disabled").alias("action"))
     df = L.apply_stage(L.start_ledger(m), "ratio", F.col("metric") <= 0.1)
     df = L.curation_stage(df, e1.unionByName(e2))
-    return df.select("record_id", F.when(~F.col("mask_ratio"), "rejected").otherwise(F.col("state")).alias("state"), F.col("edge_eligible").alias("eligible"))
+    return df.select("record_id", "state", F.col("edge_eligible").alias("eligible"))
 
 
 @query("set_01_combine_ledgers", "fx_matches", sql="""
