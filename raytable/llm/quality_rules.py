@@ -215,14 +215,26 @@ def _anomaly(forest: IsolationForest | None, s: Column) -> Column:
     return _scorer(forest)(s) if forest else F.lit(0.0)
 
 
+def _keeper(forest: IsolationForest | None, threshold: float):
+    """Column function: statistics, base rules and forest in one pass, so a task needs one Python worker."""
+
+    def keep(text: pa.Array) -> pa.Array:
+        s = count_statistics(utf8(text))
+        most, of = MAX_REPEATED
+        ok = (s["n_words"] >= MIN_WORDS) & (of * s["n_repeat_words"] <= most * s["n_words"])
+        if forest and ok.any():
+            ok[ok] = forest.score(_features({c: v[ok] for c, v in s.items()})) < threshold
+        return pa.array(ok)
+
+    return once(keep, "boolean")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that pass base rules and forest, with their columns as they were. Statistics are computed again in the
     filtering pass: cheaper than sending every text through a join with its verdict."""
     prepare(docs.sparkSession)
     forest, threshold = fit(statistics(docs), labels, sample_rows)
-    s = F.col("__rules")
-    passed = docs.withColumn("__rules", rule_statistics(F.col("text").cast("string"))).filter(~base_failed(s))
-    return passed.filter(_anomaly(forest, s) < threshold).drop("__rules")
+    return docs.filter(_keeper(forest, threshold)(F.col("text").cast("string")))
 
 
 def report(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
