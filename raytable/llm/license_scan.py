@@ -1,7 +1,7 @@
 """License scans: patience alignment of license templates with whole texts.
 
 At least one of a few telling words of a template must stand in any text that covers it (``needed`` below), so only windows
-around those words are aligned. An alignment anchors on words unique to both window and template, takes the longest
+around those words are aligned: the place of the template as the word implies it, and a quarter of its length on either side. An alignment anchors on words unique to both window and template, takes the longest
 increasing subsequence of anchors and aligns the gaps between them in the same way; equal words at the ends of a gap count
 as they stand. A span is reported when it covers ``COVERAGE`` of the template and is no longer than the template over ``DENSITY``.
 
