@@ -96,9 +96,9 @@ def op8(documents):
     return token_files.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op9_quality_classifier", "documents")
-def op9(documents):
-    return weak_labels.report(documents)
+@query("op9_quality_classifier", "documents", "labels")
+def op9(documents, labels):
+    return weak_labels.report(documents, labels)
 
 
 @query("op10_sharding", "documents")

@@ -404,6 +404,19 @@ def test_classifier_on_held_out_documents(spark, sf_dir):
     assert sum(r.toxic >= 0.5 for r in rows if not r.rude) <= 0.02 * len(rows)
 
 
+def test_classifier_finds_insults_in_every_language(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = weak_labels.report(docs, labels.filter("doc_id % 2 = 0"))
+    held = docs.select("doc_id", "lang").join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "rude"), "doc_id")
+    rows = scores.join(held, "doc_id").collect()
+    recall = {lang: np.mean([r.toxic >= 0.5 for r in rows if r.rude and r.lang == lang]) for lang in ("en", "de", "fr", "es")}
+    print(recall, {lang: np.mean([r.toxic >= 0.5 for r in rows if not r.rude and r.lang == lang]) for lang in recall})
+    assert min(recall.values()) >= 0.8, recall
+    assert sum(r.toxic >= 0.5 for r in rows if not r.rude) <= 0.02 * sum(not r.rude for r in rows)
+    assert sum((r.low_quality < 0.5) == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
+
+
 def test_classifier_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a plain text of some words about nothing"), (4, "a plain text of some words about nothing")]
     got = weak_labels.report(frame(spark, rows)).collect()
