@@ -2,10 +2,12 @@
 
 One expression finds candidates; each is validated by its own rule (Luhn sum, octet range, calendar, number plan) and, if
 valid, replaced by the value that a keyed permutation of its format gives: card numbers keep length, separators and a right
-check digit, addresses stay addresses, dates stay dates of the same notation, telephone numbers keep their leading digits.
+check digit, addresses stay addresses, dates stay dates of the same notation, telephone numbers keep their leading digits
+(numbers with '+' may be grouped in any way; a digit group after a space may be read as part of them, up to 15 digits in all).
 The permutation works on the value, not on its spelling, so equal values stay linked across documents and notations, and the
 holder of the key can undo it. Addresses of persons (mail) and secrets have no numeric domain; they get keyed digests of
-the same shape. Invalid candidates (a number that fails its check sum, a date that does not exist) are left alone.
+the same length. A secret reaches to its last letter, digit or one of ``+/=_-`` before a space, quote, bracket or one of ``,;&|``,
+whatever its length; a punctuation mark behind that stays. Invalid candidates (a number that fails its check sum, a date that does not exist) are left alone.
 
 A Feistel network runs over a rectangle left x right that is exactly the format's domain, so no value leaves it; a round
 function is a keyed SHA-256. Texts are rebuilt from the gaps between candidates and the pseudonyms; nothing is shuffled.
@@ -29,16 +31,22 @@ FIRST_DAY, LAST_DAY = "1900-01-01", "2100-01-01"  # 73050 days: 487 x 150
 DAYS = (487, 150)
 
 _ALONE, _END = r"(?<![\p{L}\p{N}.])", r"(?![\p{L}\p{N}])"
+_KEY_WORDS = "(?i:token|secret|password|key)"
+_PART = "[A-Za-z0-9+/_-]"
+_OTHER = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -]|(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{3}-[0-9]{2}-[0-9]{4}"  # not the next digit group of a telephone number
 PATTERNS = {
     "mail": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?<=["'])[0-9A-Fa-f]{32,128}(?=["'])|(?i:(?<=(?:token|secret|password|key) {0,2}[=:] {0,2}["']?))[A-Za-z0-9+/_-]{16,128}""",
+    "secret": rf"""(?<=["'])[0-9A-Fa-f]{{32,}}(?=["'])|(?<={_KEY_WORDS} {{0,2}}[=:] {{0,2}}["']?)(?:{_PART}{{1,15}}[.~]){{0,4}}{_PART}{{16,}}(?:[^\s"'`<>()\[\]{{}},;&|]*[\p{{L}}\p{{N}}+/=_-])?""",
     "address": _ALONE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])",
     "date": _ALONE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|\+[0-9]{8,15}" + _END + r"|" + _ALONE + r"(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}" + _END,
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|\+[0-9](?:(?:[./-]|[ \u00A0](?!" + _OTHER + r"))?\(?[0-9]\)?){7,14}(?![\p{L}\p{N}]|[./-][0-9])|" + _ALONE + r"(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}" + _END,
     "person": _ALONE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "card": _ALONE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+SECRETS = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in PATTERNS.items())  # the same, secrets in group 1
+#: Every candidate holds a digit or '@', stands behind a key word, or is quoted hex of letters alone.
+MAY_HOLD = f"""[0-9@]|{_KEY_WORDS} {{0,2}}[=:]|["'][A-Fa-f]{{32}}"""
 _DATES = [("[0-9]{4}-.*", "yyyy-MM-dd"), ("../../....", "dd/MM/yyyy"), ("../../....", "MM/dd/yyyy"), (r"..\...\.....", "dd.MM.yyyy")]
 
 
@@ -138,7 +146,12 @@ def _mail(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)), 512), F.lit(1), F.length(m))
+    def block(*n: Column) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m), *n), 512)
+
+    last = F.call_function("div", F.length(m) - 1, F.lit(128))
+    long = F.concat(block(), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), last), lambda k: block(k.cast("string"))), ""))
+    digest = F.substring(F.when(F.length(m) > 128, long).otherwise(block()), F.lit(1), F.length(m))
     return F.when(m == F.upper(m), F.upper(digest)).otherwise(digest)
 
 
@@ -151,9 +164,11 @@ def _kind(m: Column) -> Column:
             .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "person").when(m.rlike(r"^(\+|\(|[0-9]{3}-[0-9]{3}-)"), "phone").when(m.rlike(r"^[0-9 -]{13,23}$"), "card").otherwise("secret"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The replacement of a candidate; the candidate itself if it is not valid."""
+def pseudonym(m: Column, key: str, secret: Column | None = None) -> Column:
+    """The replacement of a candidate; the candidate itself if it is not valid. ``secret``: it was found as one, whatever its shape."""
     kind, out = _kind(m), m
+    if secret is not None:
+        kind = F.when(secret, "secret").otherwise(kind)
     for name, rule in _KINDS.items():
         out = F.when(kind == name, rule(m, key)).otherwise(out)
     return out
@@ -163,13 +178,15 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and an array column ``__replaced`` of (value, pseudonym) structs."""
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    out = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found = F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    secrets = F.when(text.rlike(_KEY_WORDS), F.regexp_extract_all(text, F.lit(SECRETS), F.lit(1)))
+    out = docs.withColumn("__found", found).withColumn("__secrets", F.when(F.size("__found") > 0, secrets))
+    out = out.withColumn("__new", F.transform("__found", lambda m, i: pseudonym(m, key, F.coalesce(F.get("__secrets", i) == m, F.lit(False)))))
     gaps = F.split(text, ANY, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(gaps, F.array_append("__new", F.lit("")), lambda g, m: F.array(g, m))), "")
     pairs = F.filter(F.arrays_zip(F.col("__found").alias("value"), F.col("__new").alias("pseudonym")), lambda p: p["value"] != p["pseudonym"])
     return (out.withColumn("__replaced", F.when(F.size("__found") > 0, pairs))
-            .withColumn("text", F.when(F.size("__found") > 0, rebuilt).otherwise(text)).drop("__found", "__new"))
+            .withColumn("text", F.when(F.size("__found") > 0, rebuilt).otherwise(text)).drop("__found", "__secrets", "__new"))
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -184,6 +184,25 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[3][0].text is None and got[4][0].text == "" and [r.text for r in got[5]] == ["no number"] * 2
 
 
+def test_pseudonyms_leave_no_part_of_a_secret_or_number(spark):
+    rng = random.Random(14)
+    some = lambda n, of="abcdefghijklmnopqrstuvwxyzABC0123456789_-": "".join(rng.choice(of) for _ in range(n))
+    letters, jwt, long, hexed, odd = "abcdefghijklmnopqrst", ".".join(map(some, (36, 80, 43))), "x" + some(498) + "y", some(400, "0123456789abcdef"), some(20, "abc") + "$" + some(9, "abc") + "@" + some(8, "abc")
+    secrets = [letters, jwt, long, hexed, odd, "1234567890123456", "123-456-" + some(20, "abc"), "+" + some(20, "abc"), "SG." + some(22) + "x", some(30, "abc") + "==", "abcdef" * 6]
+    texts = [f"password = {letters}", f"Token: {jwt}. Next", f"key={long}", f'"{hexed}"', f"secret: '{odd}'!", *(f"key={x} end" for x in secrets[5:10]), f"'{secrets[10]}'"]
+    phones = ["+49 30 12345678", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+49 30/1234567", "+4930123456"]
+    texts += [f"call {x}, now" for x in phones]
+    texts += ["tel +49 30 1234567 2024-02-29 ok", "tel +49 30 1234567 4845 1681 1440 7329 ok", "sum +1 23 45, monkey: bananas"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(frame(spark, list(enumerate(texts)))).collect()}
+    for k, (text, value) in enumerate(zip(texts, secrets + phones, strict=False)):
+        assert [p.value for p in got[k]["__replaced"]] == [value]
+        new = got[k]["__replaced"][0].pseudonym
+        assert got[k].text == text.replace(value, new) and len(new) == len(value) and new != value
+    assert [p.value for p in got[17]["__replaced"]] == ["+49 30 1234567", "2024-02-29"]
+    assert [p.value for p in got[18]["__replaced"]] == ["+49 30 1234567", "4845 1681 1440 7329"]
+    assert got[19].text == texts[19]
+
+
 def test_pseudonym_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
