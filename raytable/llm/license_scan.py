@@ -3,7 +3,9 @@
 At least one of a few telling words of a template must stand in any text that covers it (``needed`` below), so only windows
 around those words are aligned: the place of the template as the word implies it, and a quarter of its length on either side. An alignment anchors on words unique to both window and template, takes the longest
 increasing subsequence of anchors and aligns the gaps between them in the same way; equal words at the ends of a gap count
-as they stand. A span is reported when it covers ``COVERAGE`` of the template and is no longer than the template over ``DENSITY``.
+as they stand. Where that gives no whole copy, the longest common subsequence is taken from every first word in reach of the
+density, by bit-parallel rows. A span is reported when it covers ``COVERAGE`` of the template, is no longer than the template over
+``DENSITY`` and holds the phrases of ``MUST``, which tell versions apart.
 
 Templates are a table of constants (name, text) and can be replaced; a broadcast closure of fixed size carries them. The scan
 is one map over the documents. Defined cases: null, empty and word-less texts have no license; repeated rows are scanned one
@@ -49,7 +51,27 @@ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
 by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause-terms": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.""",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
+_SPDX = "MIT ISC BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in _SPDX}
+#: Phrases that tell versions and kin apart; a span must hold all of its template's, word for word.
+MUST = {
+    "Apache-2.0-notice": ["apache license version 2.0"], "Apache-2.0": ["apache license version 2.0"], "GPL-3.0-notice": ["gnu general public license", "version 3"],
+    "GPL-3.0": ["gnu general public license", "version 3"], "GPL-2.0": ["gnu general public license", "version 2"], "LGPL-2.1": ["gnu lesser general public license", "version 2.1"],
+    "LGPL-3.0": ["gnu lesser general public license", "version 3"], "MPL-2.0": ["mozilla public license v 2.0"], "CC-BY-4.0": ["attribution 4.0"], "CC-BY-SA-4.0": ["attribution sharealike 4.0"],
+} | {f"SPDX-{x}": [f"spdx license identifier {x.lower().replace('-', ' ')}"] for x in _SPDX}
 _COMMON = set(b"the of and to in is for or any this that with be by on it as an at are all you may not from".split())
 SPANS = "array<struct<license:string,first:int,last:int,matched:int,coverage:double>>"
 
@@ -110,6 +132,9 @@ class Scanner:
         self.density = density
         self.templates = {n: words(t.encode()) for n, t in templates.items()}
         self.needed = {n: max(1, -(-round(len(t) * coverage * 1000) // 1000)) for n, t in self.templates.items()}
+        self.must = {n: [m.encode().split() for m in MUST.get(n, ()) if TEMPLATES.get(n) == t] for n, t in templates.items()}
+        self.masks = {n: {w: sum(1 << i for i, x in enumerate(t) if x == w) for w in set(t)} for n, t in self.templates.items()}
+        self.own = {n: Counter(t) for n, t in self.templates.items()}
         used = Counter(w for t in self.templates.values() for w in set(t))
         self.seeds: dict[bytes, list[tuple[str, int]]] = {}
         for name, t in self.templates.items():
@@ -132,11 +157,14 @@ class Scanner:
             return []
         own = _WORD.findall(lower)
         found: dict[str, list[dict]] = {}
+        tried: dict[str, set[int]] = {}
         for p, w in enumerate(own):
             for name, j in self.seeds.get(w, ()):
                 span = self._at(own, name, p, j)
                 if span and span not in found.setdefault(name, []):
                     found[name].append(span)
+                if not span or span["matched"] < len(self.templates[name]):
+                    found.setdefault(name, []).extend(self._reach(own, name, p, tried.setdefault(name, set())))
         out = []
         for spans in found.values():
             kept: list[dict] = []
@@ -154,11 +182,40 @@ class Scanner:
         if len(pairs) < self.needed[name]:
             return None
         first, last = low + pairs[0][0], low + pairs[-1][0]
-        if len(t) < self.density * (last - first + 1):
+        if len(t) < self.density * (last - first + 1) or not self._told(own[first:last + 1], name):
             return None
         return {"license": name, "first": first, "last": last, "matched": len(pairs), "coverage": len(pairs) / len(t)}
 
 
+    def _told(self, span: list[bytes], name: str) -> bool:
+        return all(any(span[k:k + len(m)] == m for k in range(len(span) - len(m) + 1)) for m in self.must[name])
+
+    def _reach(self, own: list[bytes], name: str, p: int, tried: set[int]) -> list[dict]:
+        """Per first word, the longest common subsequence in any span around ``p`` that the density allows, by bit-parallel rows."""
+        t, masks, needed = self.templates[name], self.masks[name], self.needed[name]
+        width = int(len(t) / self.density)
+        near = own[max(0, p - width + 1):p + width]
+        if (self.own[name] & Counter(w for w in near if w in masks)).total() < needed:
+            return []
+        out, full = [], (1 << len(t)) - 1
+        for first in range(max(0, p - width + 1), p + 1):
+            if own[first] not in masks or first in tried:
+                continue
+            tried.add(first)
+            row, best = full, None
+            for last in range(first, min(len(own), first + width)):
+                m = masks.get(own[last])
+                if m:
+                    u = row & m
+                    row = ((row + u) | (row - u)) & full
+                    matched = len(t) - row.bit_count()
+                    if matched >= needed and (best is None or matched > best[0]) and self._told(own[first:last + 1], name):
+                        best = matched, last
+            if best:
+                out.append({"license": name, "first": first, "last": best[1], "matched": best[0], "coverage": best[0] / len(t)})
+        return out
+
+
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, density: float = DENSITY) -> DataFrame:
     """``docs`` with an array column ``__licenses`` of spans in words."""
     prepare(docs.sparkSession)

@@ -90,6 +90,22 @@ def test_license_scan_finds_whole_and_changed_notices(spark):
     assert [r.licenses for r in got[8]] == ["MIT-notice"] * 2
 
 
+def test_license_scan_reaches_as_far_as_density_and_tells_versions_apart():
+    scanner, rng, filler = license_scan.Scanner(license_scan.TEMPLATES), random.Random(15), vocabulary(15)
+    names = lambda t: {s["license"] for s in scanner.scan(t.encode())}
+    for name, t in license_scan.TEMPLATES.items():
+        assert name in names(f"x y {t} z"), name
+    for name in ("ISC", "MIT", "MPL-2.0"):
+        w = license_scan.TEMPLATES[name].split()
+        for at in (3, len(w) // 2, len(w) - 3):
+            n = len(license_scan.words(license_scan.TEMPLATES[name].encode())) * 9 // 10
+            text = " ".join(w[:at] + [rng.choice(filler) for _ in range(n)] + w[at:])
+            assert [s["coverage"] for s in scanner.scan(text.encode()) if s["license"] == name] == [1.0], (name, at)
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"):
+        assert names(license_scan.TEMPLATES[name]) == {name}
+    assert names("// SPDX-License-Identifier: GPL-2.0-or-later") == {"SPDX-GPL-2.0-or-later"}
+
+
 def test_patience_alignment_is_increasing_and_not_longer_than_the_best():
     rng = random.Random(3)
     for _ in range(300):
