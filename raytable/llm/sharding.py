@@ -22,11 +22,11 @@ KEY = 20240917
 SHARDS = 24
 
 
-def _round(half: Column, key: int, n: int, size: int) -> Column:
+def _round(half: Column, key: int, n: int, size: int | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(key), F.lit(n), half), F.lit(size))
 
 
-def feistel(x: Column, left: int, right: int, key: int) -> Column:
+def feistel(x: Column, left: int | Column, right: int | Column, key: int) -> Column:
     """Keyed permutation of 0 .. left*right-1: halves (x div right, x mod right) take turns."""
     a, b = F.call_function("div", x, F.lit(right)), x % right
     for n in range(0, ROUNDS, 2):
@@ -45,14 +45,27 @@ def permuted(rows: DataFrame, number: str, total: int, key: int, name: str) -> D
     left = math.isqrt(max(0, total - 1)) + 1
     right = -(-total // left) if total else 1
     out = rows.withColumn(name, feistel(F.col(number), left, right, key))
-    if left * right <= total:
+    if left * right <= total or not total:
         return out
-    walk = spark.range(total, left * right).select(F.col("id").alias("_from"), feistel(F.col("id"), left, right, key).alias("_to")).checkpoint(eager=True)
-    while walk.filter(F.col("_to") >= total).take(1):
-        walk = walk.withColumn("_to", F.when(F.col("_to") >= total, feistel(F.col("_to"), left, right, key)).otherwise(F.col("_to"))).checkpoint(eager=True)
+    beyond = spark.range(total, left * right).select(F.col("id").alias("_from"), F.lit(total).alias("_total"), F.lit(left).alias("_left"), F.lit(right).alias("_right"))
+    walk = walked(beyond, key).select("_from", "_to")
     return out.join(walk, F.col(name) == F.col("_from"), "left").withColumn(name, F.coalesce("_to", name)).drop("_from", "_to")
 
 
+def walked(beyond: DataFrame, key: int) -> DataFrame:
+    """Places ``_from`` beyond their range 0 .. _total-1 with the place ``_to`` inside where their walk ends.
+
+    A cycle that lies wholly beyond the range comes back to its start; no row leads to it, so its places are dropped. Every other
+    walk meets a place inside before that, hence the loop ends.
+    """
+    step = feistel(F.col("_to"), F.col("_left"), F.col("_right"), key)
+    walk = beyond.withColumn("_to", F.col("_from"))
+    while True:
+        walk = walk.withColumn("_to", F.when(F.col("_to") >= F.col("_total"), step).otherwise(F.col("_to"))).filter("_to <> _from").checkpoint(eager=True)
+        if not walk.filter("_to >= _total").take(1):
+            return walk
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Global row number from 0 in ``order``: range slices are counted, then numbered side by side."""
     s = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)

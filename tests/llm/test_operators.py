@@ -3,13 +3,16 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from raytable.llm import decontaminate, jaccard, license_scan, line_dedup, packing, pseudonyms, quality_rules, sharding, token_files, weak_labels
@@ -476,12 +479,54 @@ def test_shards_are_level_and_gapless(spark):
     assert sharding.shard(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("total", [1, 2, 3, 10, 97, 100, 101, 1000])
+@pytest.mark.parametrize("total", [0, 1, 2, 3, 7, 8, 10, 97, 100, 101, 1000])
 def test_permutation_covers_its_range(spark, total):
     got = sorted(r["p"] for r in sharding.permuted(spark.range(total), "id", total, 5, "p").collect())
     assert got == list(range(total))
 
 
+def plain_feistel(x, left, right, key):
+    def f(half, n, size):
+        h = 42
+        for raw in (struct.pack("<i", key), struct.pack("<i", n), struct.pack("<q", half)):
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return (h - (h >> 63 << 64)) % size
+
+    a, b = divmod(x, right)
+    for n in range(0, sharding.ROUNDS, 2):
+        a = (a + f(b, n, left)) % left
+        b = (b + f(a, n + 1, right)) % right
+    return a * right + b
+
+
+def test_walks_end_for_every_number_of_rows(spark):
+    """The production key, every total to 500, in one table: ends, and places of rows are those of a plain walk."""
+    sides = {}
+    for total in range(501):
+        left = math.isqrt(max(0, total - 1)) + 1
+        sides[total] = left, (-(-total // left) if total else 1)
+    rows = [(x, t, left, right) for t, (left, right) in sides.items() for x in range(t, left * right)]
+    got = {(r["_total"], r["_from"]): r["_to"] for r in sharding.walked(spark.createDataFrame(rows, "_from long, _total long, _left long, _right long"), sharding.KEY).collect()}
+    closed = 0
+    for total, (left, right) in sides.items():
+        step = [plain_feistel(x, left, right, sharding.KEY) for x in range(left * right)]
+        for x in range(total, left * right):
+            y, seen = step[x], set()
+            while y >= total and y not in seen:
+                seen.add(y)
+                y = step[y]
+            assert got.get((total, x)) == (y if y < total else None)
+            closed += y >= total
+        assert sorted(got.get((total, y), y) for y in step[:total]) == list(range(total))
+    assert closed  # such cycles do occur
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8])
+def test_shards_of_few_rows(spark, n):
+    got = sharding.shard(frame(spark, [(i, "t") for i in range(n)])).collect()
+    assert sorted(r.doc_id for r in got) == list(range(n)) and len({(r.shard, r.slot) for r in got}) == n
+
+
 @pytest.mark.parametrize("name", ["op5_ngram_jaccard_join", "op6_decontamination"])
 def test_queries_match_sql(spark, sf_dir, name):
     from raytable.llm import queries
