@@ -34,9 +34,11 @@ _ALONE, _END = r"(?<![\p{L}\p{N}.])", r"(?![\p{L}\p{N}])"
 _KEY_WORDS = "(?i:token|secret|password|key)"
 _PART = "[A-Za-z0-9+/_-]"
 _OTHER = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -]|(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{3}-[0-9]{2}-[0-9]{4}"  # not the next digit group of a telephone number
+# Repeated groups are possessive: they run as loops, so no text is too long for the stack, and a run is looked at once.
+_LOCAL, _LABEL, _SHORT = r"[\p{L}\p{N}._%+-]", "[A-Za-z0-9-]", r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+"  # _SHORT: labels that cannot end a domain
 PATTERNS = {
-    "mail": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"""(?<=["'])[0-9A-Fa-f]{{32,}}(?=["'])|(?<={_KEY_WORDS} {{0,2}}[=:] {{0,2}}["']?)(?:{_PART}{{1,15}}[.~]){{0,4}}{_PART}{{16,}}(?:[^\s"'`<>()\[\]{{}},;&|]*[\p{{L}}\p{{N}}+/=_-])?""",
+    "mail": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:{_SHORT}\.[A-Za-z]{{2,}}+{_LABEL}*+(?={_SHORT}\.[A-Za-z]{{2}}))*+{_SHORT}\.[A-Za-z]{{2,}}+",
+    "secret": rf"""(?<=["'])[0-9A-Fa-f]{{32,}}+(?=["'])|(?<={_KEY_WORDS} {{0,2}}[=:] {{0,2}}["']?)(?:{_PART}{{1,15}}[.~]){{0,4}}{_PART}{{16,}}(?:[^\s"'`<>()\[\]{{}},;&|]*[\p{{L}}\p{{N}}+/=_-])?""",
     "address": _ALONE + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])",
     "date": _ALONE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _END,
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|\+[0-9](?:(?:[./-]|[ \u00A0](?!" + _OTHER + r"))?\(?[0-9]\)?){7,14}(?![\p{L}\p{N}]|[./-][0-9])|" + _ALONE + r"(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}" + _END,
@@ -146,12 +148,13 @@ def _mail(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    def block(*n: Column) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m), *n), 512)
+    def block(*part: Column) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), *part), 512)
 
+    first = block(F.lower(m))
     last = F.call_function("div", F.length(m) - 1, F.lit(128))
-    long = F.concat(block(), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), last), lambda k: block(k.cast("string"))), ""))
-    digest = F.substring(F.when(F.length(m) > 128, long).otherwise(block()), F.lit(1), F.length(m))
+    long = F.aggregate(F.array(first), F.lit(""), lambda _, d: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.when(k == 0, d).otherwise(block(d, k.cast("string")))), ""))
+    digest = F.substring(F.when(F.length(m) > 128, long).otherwise(first), F.lit(1), F.length(m))
     return F.when(m == F.upper(m), F.upper(digest)).otherwise(digest)
 
 

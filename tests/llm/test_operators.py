@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -222,6 +223,24 @@ def test_pseudonyms_leave_no_part_of_a_secret_or_number(spark):
     assert got[19].text == texts[19]
 
 
+def test_pseudonyms_of_very_long_texts(spark):
+    """A megabyte of what once took the stack or the square of its length; mail addresses as a plain pattern finds them."""
+    long = ["x@" + "a." * 500_000 + "9 z", "a" * 1_000_000, "x@" + "ab." * 300_000 + "9 z", "token=" + "q7" * 500_000 + " end", "1" * 1_000_000, "a.b@" * 250_000, "'" + "f" * 1_000_000]
+    docs = frame(spark, list(enumerate(long)))
+    pseudonyms.report(frame(spark, [(0, "x@y.de")])).collect()  # compiled
+    start = time.time()
+    got = {r.doc_id: r for r in pseudonyms.report(docs).collect()}
+    assert time.time() - start < 30
+    assert [got[k].n_replaced for k in range(len(long))] == [0, 0, 1, 1, 0, 0, 0]
+    assert len(got[3].text) == len(long[3]) and "q7q7" not in got[3].text
+    odd = ["u.v@a-b.com9 +49 123 4567890.foo@bar.com", "a@b.c.de.f1.9 x", "a@b..com a@.com a@b.c a@b.co-m.x", "p@q.rs@t.uv é.ü@x.yz,w@1.2.3.44.com.", "m@n.op.q"]
+    plain = re.compile(r"[^\W_]*(?:[\w.%+-])+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    rows = {r.doc_id: r.text for r in pseudonyms.report(frame(spark, list(enumerate(odd)))).collect()}
+    for i in (1, 2, 3, 4):
+        assert re.sub("u[0-9a-f]{16}@example.invalid", "@", rows[i]) == plain.sub("@", odd[i])
+    assert "foo@" not in rows[0] and rows[0].startswith("u") and "@example.invalid9 " in rows[0]
+
+
 def test_pseudonym_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
