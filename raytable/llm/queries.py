@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, license_scan, line_dedup, mixing, packing, prefix_trie, pseudonyms, quality_rules, sharding, token_files, weak_labels
+from . import decontaminate, jaccard, license_scan, line_dedup, mixing, packing, prefix_trie, pseudonyms, quality_rules, sharding, spelling, token_files, weak_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,22 @@ def _crc(bytes_: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda x, b: xor(x >> 8, crc.t[1 + (xor(x, b) & 255)])), 4294967295)"
 
 
+_UTF8 = "flatten(list_transform(string_split({}, ''), lambda s: case when unicode(s) < 128 then [cast(unicode(s) as bigint)] else [192 | (unicode(s) >> 6), 128 | (unicode(s) & 63)] end))"
+SPELLING_SQL = rf"""
+with recursive {_CRC_TABLE},
+r as (select coalesce(cast(doc_id as varchar), 'null') as doc, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as text from documents),
+w as (select doc, {_LOWER} as w, count(*) as c from r where length(text) >= 7 group by all),
+h as (select w, c, {_crc(_UTF8.format("doc || ':' || w"))} as h from w, crc),
+t as (select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as w, c from h),
+n as (select w, sum(c)::bigint as n from t where length(w) >= 7 group by w having sum(c) >= 2),
+i as (select w, n, unnest(range(1, length(w) + 1)) as i from n),
+m as (select w, i, substr(w, 1, i - 1) || '*' || substr(w, i + 1) as k from i),
+d as (select distinct w, substr(w, 1, i - 1) || substr(w, i + 1) as k from i),
+p as (select a.w as a, b.w as b from m a join m b on a.k = b.k and a.w <> b.w union all select d.w, n.w from d join n on d.k = n.w union all select n.w, d.w from d join n on d.k = n.w),
+f as (select p.a as w, count(*) as n_near, min(row(-n.n, p.b)) as best from p join n on p.b = n.w group by p.a),
+g as (select n.w, n.n, coalesce(f.n_near, 0) as n_near, case when -f.best[1] >= 10 * n.n then f.best[2] end as form, case when -f.best[1] >= 10 * n.n then -f.best[1] end as form_n from n left join f on n.w = f.w),
+q as (select w, w as at_, form as next from g union all select q.w, g.w, g.form from q join g on q.next = g.w)
+select g.w as word, g.form, q.at_ as root, g.n, g.n_near, g.form_n from g join q on g.w = q.w and q.next is null"""
 TRIE_SQL = f"""
 with {_CRC_TABLE},
 t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
@@ -158,6 +174,11 @@ def op10(documents):
     return sharding.shard(documents)
 
 
+@query("op11_spelling_variants", "documents", sql=SPELLING_SQL)
+def op11(documents):
+    return spelling.report(documents)
+
+
 @query("op12_prefix_trie", "conversations", sql=TRIE_SQL)
 def op12(conversations):
     return prefix_trie.report(conversations)

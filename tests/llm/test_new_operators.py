@@ -3,12 +3,13 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from raytable.llm import mixing, prefix_trie
+from raytable.llm import mixing, prefix_trie, spelling
 
 # -- 12 conversation prefix trie
 
@@ -162,3 +163,90 @@ def test_mix_of_nothing(spark):
 def test_mix_uses_no_python(spark, capsys):
     mixing.report(texts(spark, [(1, "a", "b")])).explain()
     assert "Python" not in (text := capsys.readouterr().out) and "Arrow" not in text
+
+
+# -- 11 spelling variants
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def plain_groups(n):
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def plain_vocabulary(rows):
+    n = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'null' if doc is None else doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1:] if h % 31 == 0 else run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+
+
+def variants(seed, families=60):
+    """Words in families of near ones, many with a common half, doubled letters and letters beyond ASCII."""
+    rng = random.Random(seed)
+    words = {}
+    for _ in range(families):
+        base = rng.choice(["", "entgegen", "ungsvoll", "aaaaaaa"]) + "".join(rng.choice("abéÿ×") for _ in range(rng.randint(7, 9))) + rng.choice(["", "ungsheit", "aaaaaa"])
+        for _ in range(rng.randint(1, 8)):
+            w = base
+            for _ in range(rng.randint(0, 2)):
+                i = rng.randrange(len(w))
+                w = rng.choice([w[:i] + w[i + 1:], w[:i] + rng.choice("abéz") + w[i:], w[:i] + rng.choice("abéz") + w[i + 1:]])
+            if len(w) >= 7:
+                words[w] = rng.choice([2, 3, 30, 31, 400, 5000])
+    return words
+
+
+@pytest.mark.parametrize("block", [spelling.BLOCK, 16])
+def test_groups_of_variants(spark, block):
+    n = variants(block)
+    got = spelling.grouped(spark.createDataFrame(list(n.items()), "word string, n long"), block=block).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    assert len(got) == len(n) and {tuple(r) for r in got} == plain_groups(n)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_scan_of_a_block_finds_all_near_words(seed):
+    words = sorted(w.encode("latin-1") for w in variants(seed, 80))
+    block, rng = spelling.SortedBlock(words), random.Random(seed)
+    starts = [rng.randint(1, len(w) - 1) for w in words]
+    got = set(zip(*(a.tolist() for a in block.near(words, starts))))
+    assert got == {(i, m) for i, w in enumerate(words) for m, v in enumerate(words) if one_edit(w, v) and v[: starts[i]] == w[: starts[i]]}
+
+
+def test_routing_skips_only_hopeless_beginnings():
+    rng = random.Random(2)
+    for _ in range(20_000):
+        w = "".join(rng.choice("ab") for _ in range(rng.randint(3, 7)))
+        v = "".join(rng.choice("ab") for _ in range(rng.randint(3, 7)))
+        k = rng.randint(1, len(w) - 1)
+        if one_edit(w, v) and v[:k] == w[:k]:
+            assert all(spelling.within_one(w, v[:c], k) for c in range(len(v) + 1))
+
+
+def test_spelling_report_of_documents(spark):
+    rng, words = random.Random(4), list(variants(9, 25))
+    rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(words[:5]).upper() for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    rows += [(None, "Strasse strasse abcdefgh Abcdefgh"), (3, None), (4, ""), (4, "x" * 50_000 + " " + "x" * 50_000 + " " + "x" * 50_001), (5, "Āabcdefg1abcdefg")] * 2
+    got = spelling.report(texts(spark, [(i, t, "s") for i, t in rows])).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    want = plain_groups(plain_vocabulary(rows))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and any(r.form for r in got)
+    assert spelling.report(texts(spark, [(1, None, "s")])).count() == 0
