@@ -9,9 +9,10 @@ Equal sets form one class first, so copies never meet each other. Distinct sets
    the lists of its shared prefix tokens with position and size. Entries form blocks by size; an entry's position bounds the
    size of a partner, and blocks without a possible partner are skipped as a whole.
 2. Answers from a hub. Every other set x of a run of blocks is compared with one hub h of the run (the set with most
-   copies). With o = |x and h|, the overlap of two sets x, y of the run is o_x + o_y - |h| + (common part of their differences
-   from h): the answers of similar sets follow from those of the hub, and only differences need to be looked at.
-   Two sets that are both linked with the hub are in one component already. For the others a prefix join over the
+   copies), which leaves its difference from h. The overlap of two sets follows from their differences from any third set, so only
+   differences are looked at, and they are made short: what most sets of the run change against the hub is changed in the
+   hub, which gives the centre of the run. Sets near enough to the centre are linked by the length of their differences alone,
+   and two sets that are both linked with the hub are in one component already. For the others a prefix join over the
    differences, rare ones within the run first, finds every pair that can still be linked; it is decided exactly.
 3. Components of the links, then the smallest document id.
 
@@ -298,28 +299,55 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, per_cent: int) -> Dat
     postings = entry.join(shared, "token").join(classes.select("id", "n", "copies"), "id").checkpoint(eager=True)
     runs = _runs(postings, per_cent).checkpoint(eager=True)
     diff = _with_hubs(docs, classes, runs, size).checkpoint(eager=True)
-    # doubled: linked with the hub if s <= n_hub; two sets of a run are linked if 2 (100 + p) * common >= s + s'
-    whole, part = 100 + per_cent, per_cent
-    diff = diff.withColumn("s", (2 * part * F.col("n") - 2 * whole * F.col("own") + whole * F.col("n_hub")).cast("long"))
-    edge = (whole - 2 * part) * F.col("n_hub")  # s of a set that is just linked with its hub
-    diff = diff.withColumn("open", F.col("s") > edge).withColumn("edge", edge.cast("long"))
+    whole = 100 + per_cent
+    diff = diff.withColumn("open", whole * F.col("own") < per_cent * (F.col("n") + F.col("n_hub")))  # not linked with the hub
     direct = diff.filter(~F.col("open")).select(F.col("hub").alias("u"), F.col("id").alias("v"))
-    return direct.unionByName(_between(diff, whole, part))
+    return direct.unionByName(_between(diff, whole, 100 - per_cent))
+
 
+def _centred(diff: DataFrame, whole: int, apart: int) -> DataFrame:
+    """Sets of runs with a set that is not linked with the hub, as differences from the centre of the run, with slack ``s``.
 
-def _between(diff: DataFrame, whole: int, part: int) -> DataFrame:
-    """Links between two sets of a run of which at least one is not linked with the hub."""
+    Two sets are linked if whole * |x xor y| <= apart * (|x| + |y|), that is if 2 * whole * common >= s_x + s_y, where common
+    is the common part of their differences from any third set and s = whole * |difference| - apart * |set|. The third set
+    is the centre: the hub with every token changed that more than half of the run's sets change. A hub that is
+    far from its run would put its own oddities into every difference.
+    """
     diff = diff.filter("delta is not null")
-    groups = diff.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).filter("m > 1 and any").select("hub")
-    member = diff.join(groups, "hub").withColumn("size", F.size("delta"))
-    token = member.select("hub", "id", "s", "edge", "open", "size", F.explode("delta").alias("token"))
+    groups = diff.groupBy("hub", "n_hub").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).filter("m > 1 and any").drop("any")
+    head = groups.select("hub", F.col("hub").alias("id"), F.col("n_hub").alias("n"), F.lit(False).alias("open"), F.array().cast("array<bigint>").alias("delta"), "m")
+    member = diff.join(groups.drop("n_hub"), "hub").select("hub", "id", "n", "open", "delta", "m").unionByName(head)
+    changed = member.select("hub", "m", F.explode("delta").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"))
+    centre = changed.filter("2 * c > m + 1").groupBy("hub").agg(F.collect_list("token").alias("own"))  # no longer than two differences on average
+    own = F.coalesce("own", F.array().cast("array<bigint>"))
+    member = member.join(centre, "hub", "left").withColumn("delta", F.concat(F.array_except("delta", own), F.array_except(own, "delta"))).drop("own", "m")
+    return member.withColumn("s", (whole * F.size("delta") - apart * F.col("n")).cast("long")).checkpoint(eager=True)
+
+
+def _between(diff: DataFrame, whole: int, apart: int) -> DataFrame:
+    """Links between two sets of a run of which at least one is not linked with the hub.
+
+    The set b nearest to the centre is linked with every set whose slack allows it without a common difference; these, and
+    those that are linked with the hub if b is, are of one component: no pair of them is looked at.
+    """
+    member = _centred(diff, whole, apart)
+    best = member.groupBy("hub").agg(F.min(F.struct("s", "id", "open")).alias("b"), F.max(F.when(F.col("id") == F.col("hub"), F.col("s"))).alias("s_hub"))
+    best = best.withColumn("near_hub", ~F.col("b.open") | (F.col("s_hub") + F.col("b.s") <= 0)).select("hub", F.col("b.id").alias("b"), F.col("b.s").alias("s_b"), "near_hub")
+    member = member.join(best, "hub")
+    certain = F.col("s") + F.col("s_b") <= 0
+    links = member.filter(certain & (F.col("id") != F.col("b"))).select(F.col("b").alias("u"), F.col("id").alias("v"))
+    main = certain | (F.col("id") == F.col("b")) | (F.col("near_hub") & ~F.col("open"))
+    member = member.withColumn("open", ~main).drop("b", "near_hub")
+    least = member.filter("open").groupBy("hub").agg(F.min("s").alias("s_open"))  # runs without an open set are done
+    member = member.join(least, "hub").withColumn("size", F.size("delta")).checkpoint(eager=True)
+    token = member.select("hub", "id", "s", "s_b", "s_open", "open", "size", F.explode("delta").alias("token"))
     count = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     token = token.join(count, ["hub", "token"])
     mine = Window.partitionBy("hub", "id")
     token = token.withColumn("k", F.row_number().over(mine.orderBy("c", "token")) + F.col("size") - F.count(F.lit(1)).over(mine))
     # common part needed at least: against any open partner, and for an open set against any partner at all
-    token = token.withColumn("any_open", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("edge") + 1, 2 * whole)))
-    token = token.withColumn("any_set", F.greatest(F.lit(1), _ceil_div(F.col("s") - F.col("edge"), 2 * whole)))
+    token = token.withColumn("any_open", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("s_open"), 2 * whole)))
+    token = token.withColumn("any_set", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("s_b"), 2 * whole)))
     token = token.filter((F.col("k") <= F.col("size") - F.col("any_open") + 1) | (F.col("open") & (F.col("k") <= F.col("size") - F.col("any_set") + 1)))
     token = token.checkpoint(eager=True)
     index = token.filter(F.col("k") <= F.col("size") - F.col("any_open") + 1).select("hub", "token", F.col("id").alias("v"), F.col("open").alias("v_open"))
@@ -328,7 +356,7 @@ def _between(diff: DataFrame, whole: int, part: int) -> DataFrame:
     left = member.select("hub", F.col("id").alias("u"), F.col("s").alias("s_u"), F.col("delta").alias("d_u"))
     right = member.select("hub", F.col("id").alias("v"), F.col("s").alias("s_v"), F.col("delta").alias("d_v"))
     both = pairs.join(left, ["hub", "u"]).join(right, ["hub", "v"])
-    return both.filter(2 * whole * F.size(F.array_intersect("d_u", "d_v")) >= F.col("s_u") + F.col("s_v")).select("u", "v")
+    return links.unionByName(both.filter(2 * whole * F.size(F.array_intersect("d_u", "d_v")) >= F.col("s_u") + F.col("s_v")).select("u", "v"))
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:

@@ -310,6 +310,22 @@ def test_jaccard_components_equal_all_pairs(spark, size, per_cent):
     assert got == components_by_pairs(rows, size, per_cent)
 
 
+@pytest.mark.parametrize("edits", [4, 8, 14])
+def test_jaccard_of_a_crowded_run(spark, edits):
+    """Hundreds of changed copies of one text, far from each other, near the border or linked, beside a second such group that shares half of it."""
+    rng, words = random.Random(edits), vocabulary(2, 3000)
+    base = [rng.choice(words) for _ in range(150)]
+    other = base[:75] + [rng.choice(words) for _ in range(75)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for i in range(2, 500):
+        w = list(base if rng.random() < 0.7 else other)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = rng.choice(words[:3] if rng.random() < 0.5 else words)
+        rows.append((i, " ".join(w)))
+    got = jaccard.join_components(frame(spark, rows), 5, 80)
+    assert collections.Counter(tuple(r) for r in got.collect()) == components_by_pairs(rows, 5, 80)
+
+
 def test_keep_one_leaves_one_document_of_a_component(spark):
     text = " ".join(vocabulary(7, 60))
     rows = [(3, text), (1, text + " more"), (1, text + " more"), (2, "other words entirely here now"), (4, None), (5, "")]
