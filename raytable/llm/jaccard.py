@@ -340,19 +340,25 @@ def _between(diff: DataFrame, whole: int, apart: int) -> DataFrame:
     member = member.withColumn("open", ~main).drop("b", "near_hub")
     least = member.filter("open").groupBy("hub").agg(F.min("s").alias("s_open"))  # runs without an open set are done
     member = member.join(least, "hub").withColumn("size", F.size("delta")).checkpoint(eager=True)
-    token = member.select("hub", "id", "s", "s_b", "s_open", "open", "size", F.explode("delta").alias("token"))
-    count = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    token = token.join(count, ["hub", "token"])
+    token = member.select("hub", "id", "n", "s", "s_b", "s_open", "open", "size", F.explode("delta").alias("token"))
+    # tokens that the same sets have (one change of a text makes several) lie side by side in the order; the first of them stands for all
+    count = token.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("of")).filter("c > 1").checkpoint(eager=True)
+    alike = count.groupBy("hub", "c", "of").agg(F.min("token").alias("token")).withColumn("stands", F.lit(True))
+    token = token.join(count.join(alike, ["hub", "c", "of", "token"], "left"), ["hub", "token"])
     mine = Window.partitionBy("hub", "id")
-    token = token.withColumn("k", F.row_number().over(mine.orderBy("c", "token")) + F.col("size") - F.count(F.lit(1)).over(mine))
-    # common part needed at least: against any open partner, and for an open set against any partner at all
-    token = token.withColumn("any_open", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("s_open"), 2 * whole)))
-    token = token.withColumn("any_set", F.greatest(F.lit(1), _ceil_div(F.col("s") + F.col("s_b"), 2 * whole)))
-    token = token.filter((F.col("k") <= F.col("size") - F.col("any_open") + 1) | (F.col("open") & (F.col("k") <= F.col("size") - F.col("any_set") + 1)))
-    token = token.checkpoint(eager=True)
-    index = token.filter(F.col("k") <= F.col("size") - F.col("any_open") + 1).select("hub", "token", F.col("id").alias("v"), F.col("open").alias("v_open"))
-    probe = token.filter("open").filter(F.col("k") <= F.col("size") - F.col("any_set") + 1).select("hub", "token", F.col("id").alias("u"))
-    pairs = probe.join(index, ["hub", "token"]).filter((F.col("u") != F.col("v")) & (~F.col("v_open") | (F.col("u") < F.col("v")))).select("hub", "u", "v").distinct()
+    token = token.withColumn("k", F.row_number().over(mine.orderBy("c", "of", "token")) + F.col("size") - F.count(F.lit(1)).over(mine)).filter("stands")
+    # common part needed at least: against any open partner, for an open set against any partner at all, and with any set at all,
+    # as linked sets x and y of a similarity t differ in less than |x| (1 - t) / t tokens
+    far = F.col("size") - F.floor(F.col("n") * apart / (whole - apart) * 2).cast("long")
+    token = token.withColumn("any_open", F.greatest(F.lit(1), far, _ceil_div(F.col("s") + F.col("s_open"), 2 * whole)))
+    token = token.withColumn("any_set", F.greatest(F.lit(1), far, _ceil_div(F.col("s") + F.col("s_b"), 2 * whole)))
+    token = token.withColumn("left", F.col("size") - F.col("k") + 1)  # of the set's difference, from this token on
+    token = token.filter((F.col("left") >= F.col("any_open")) | (F.col("open") & (F.col("left") >= F.col("any_set")))).checkpoint(eager=True)
+    index = token.filter(F.col("left") >= F.col("any_open")).select("hub", "token", F.col("id").alias("v"), F.col("open").alias("v_open"), F.col("left").alias("v_left"), F.col("s").alias("v_s"))
+    probe = token.filter("open").filter(F.col("left") >= F.col("any_set")).select("hub", "token", F.col("id").alias("u"), F.col("left").alias("u_left"), F.col("s").alias("u_s"))
+    # the first common token of linked sets leaves room for all the others
+    room = 2 * whole * F.least("u_left", "v_left") >= F.col("u_s") + F.col("v_s")
+    pairs = probe.join(index, ["hub", "token"]).filter((F.col("u") != F.col("v")) & (~F.col("v_open") | (F.col("u") < F.col("v"))) & room).select("hub", "u", "v").distinct()
     left = member.select("hub", F.col("id").alias("u"), F.col("s").alias("s_u"), F.col("delta").alias("d_u"))
     right = member.select("hub", F.col("id").alias("v"), F.col("s").alias("s_v"), F.col("delta").alias("d_v"))
     both = pairs.join(left, ["hub", "u"]).join(right, ["hub", "v"])
