@@ -102,6 +102,24 @@ def test_nearest_equals_brute_force(spark):
     assert got == want
 
 
+def test_nearest_with_outliers_missing_and_crowded_points(spark):
+    """A point a million units away, missing coordinates, one crowded position and one crowded cell, ties by the smallest id."""
+    rng = np.random.default_rng(5)
+    mk = lambda n, p: [(f"{p}{i:03d}", "mn"[i % 2], *map(float, rng.integers(0, 40, 3) / 8)) for i in range(n)]
+    a = mk(60, "a") + [("far", "m", -1e6, 3.0, 2e6), ("lost", "m", None, 1.0, 1.0), ("nan", "n", float("nan"), 1.0, 1.0), ("other", "k", 1.0, 1.0, 1.0)]
+    b = mk(150, "b") + [(f"c{i:03d}", "m", 2.0, 2.0, 2.0) for i in range(80)] + [("away", "n", 5e5, 0.0, 0.0), ("gone", "n", 1.0, None, 1.0)]
+    b += [(f"e{i:03d}", "m", 3 + i / 4096, 3.0, 3 + i % 7 / 8192) for i in range(120)]
+    cols = "point_id string, mode_id string, x double, y double, z double"
+    got = {r["point_id"]: (r["nearest_id"], r["distance"]) for r in X.nearest_by_mode(spark.createDataFrame(a, cols), spark.createDataFrame(b, cols), 0.5).collect()}
+    assert len(got) == len(a)
+    for p in a:
+        near = [(float(np.linalg.norm(np.subtract(p[2:], q[2:]))), q[0]) for q in b if q[1] == p[1] and None not in q and None not in p and p[2] == p[2]]
+        if not near:
+            assert got[p[0]] == (None, None)
+        else:
+            assert got[p[0]] == (min(near)[1], pytest.approx(min(near)[0]))
+
+
 # golden rows: origin, direction, plane height 50, expected status and range
 GOLDEN = [((0, 0, 0), (0, 0, 1), "ok", 50.0), ((3, -4, 10), (1, 2, 4), "ok", 10.0), ((0, 0, 100), (0, 0, -2), "ok", 25.0),
           ((0, 0, 0), (1, 1, 0), "parallel", None), ((0, 0, 60), (0, 0, 1), "behind", None)]
