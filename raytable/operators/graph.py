@@ -86,6 +86,51 @@ def spanning_forest(edges: DataFrame, order: list[Column], u: str = "u", v: str
     return chosen.select(F.col("_e").alias(edge_id)).distinct()
 
 
+def cycle_closures(edges: DataFrame, order: list[Column], offsets: list[str], u: str = "u", v: str = "v", edge_id: str = "edge_id") -> DataFrame:
+    """Closure of every fundamental cycle: edge id, in_tree, and per offset column the direct minus the composed displacement.
+
+    An edge carries the displacement from ``u`` to ``v``. Borůvka rounds build the minimum spanning forest under the total order; every edge
+    keeps the displacement between the roots of its two clusters, and a merge adds what pointer jumping composed along the
+    tree. When both ends are in one cluster, what is left is the mismatch of the cycle the edge closes, whatever its length; it is zero for edges of
+    the forest. Rounds and jumps are logarithms, no path is walked. An edge with a NULL offset takes no part; a loop edge (u = v) closes on itself.
+    """
+    off = [f"_d{k}" for k in range(len(offsets))]
+    usable = F.lit(True)
+    for c in offsets:
+        usable = usable & F.col(c).isNotNull()
+    rows = edges.filter(usable).select(F.col(edge_id).alias("_e"), F.struct(*order, F.col(edge_id)).alias("_k"), F.col(u).alias("_a"), F.col(v).alias("_b"),
+                                       *(F.col(c).cast("double").alias(d) for c, d in zip(offsets, off)))
+    closed = [rows.filter("_a = _b").select("_e", F.lit(False).alias("_tree"), *off)]
+    live = materialize(rows.filter("_a <> _b"))
+    while not is_empty(live):
+        side = lambda c, o, sign: F.struct(F.col(c).alias("c"), F.col(o).alias("o"), *((F.col(d) * sign).alias(d) for d in off))
+        ends = live.select(F.explode(F.array(side("_a", "_b", -1.0), side("_b", "_a", 1.0))).alias("p"), "_k", "_e").select("p.*", "_k", "_e")
+        best = materialize(ends.groupBy("c").agg(F.min(F.struct("_k", "_e", "o", *off)).alias("m")).select("c", "m._e", "m.o", *(F.col(f"m.{d}").alias(d) for d in off)))
+        picked = best.select("_e").distinct().withColumn("_tree", F.lit(True))
+        # a cluster points over its best edge, with its place seen from there; the smaller of a mutual pair is the root
+        back = best.select(F.col("c").alias("o"), F.col("o").alias("oo"))
+        root = (F.col("oo") == F.col("c")) & (F.col("c") < F.col("o"))
+        parent = materialize(best.join(back, "o").select("c", F.when(root, F.col("c")).otherwise(F.col("o")).alias("p"), *(F.when(root, 0.0).otherwise(F.col(d)).alias(d) for d in off)))
+        while True:
+            up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"), *(F.col(d).alias(f"{d}u") for d in off))
+            jumped = materialize(parent.join(up, "p").select("c", F.col("pp").alias("p"), *((F.col(d) + F.when(F.col("p") == F.col("c"), 0.0).otherwise(F.col(f"{d}u"))).alias(d) for d in off), (F.col("p") != F.col("pp")).alias("_moved")))
+            parent = jumped.drop("_moved")
+            if is_empty(jumped.filter("_moved")):
+                break
+        live = live.join(picked, "_e", "left").withColumn("_tree", F.coalesce("_tree", F.lit(False)))
+        for name, sign in (("_a", 1.0), ("_b", -1.0)):
+            move = parent.select(F.col("c").alias(name), F.col("p").alias("_p"), *(F.col(d).alias(f"{d}q") for d in off))
+            live = live.join(move, name, "left").withColumn(name, F.coalesce("_p", name))
+            live = live.withColumns({d: F.col(d) + sign * F.coalesce(f"{d}q", F.lit(0.0)) for d in off}).drop("_p", *(f"{d}q" for d in off))
+        live = materialize(live)
+        closed.append(live.filter("_a = _b").select("_e", "_tree", *off))
+        live = live.filter("_a <> _b").drop("_tree")
+    out = closed[0]
+    for c in closed[1:]:
+        out = out.unionByName(c)
+    return out.select(F.col("_e").alias(edge_id), F.col("_tree").alias("in_tree"), *(F.col(d).alias(f"closure_{c}") for c, d in zip(offsets, off)))
+
+
 def track_spanning_tree(edges: DataFrame, order: list[Column], track: str = "track_id") -> DataFrame:
     """Tree edges per track with ``tree_state``: ok, or disconnectedTrack when nodes-1 edges do not exist."""
     scoped = edges.withColumn("_u", F.struct(track, F.col("u").alias("n"))).withColumn("_v", F.struct(track, F.col("v").alias("n")))

@@ -180,3 +180,27 @@ def test_evidence_equals_loop(spark):
     df = spark.createDataFrame(rows, "id string, pair string, score double, a double, b double, c double, d double")
     got = P.select_evidence(df, ["pair"], "id", "score", ("a", "b"), ("c", "d"), (grid, grid), cap)
     assert {r["id"] for r in got.filter("selected").collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycle_closures_equal_composed_paths(spark, seed):
+    """Random graph in two parts with a long chain, double edges and a loop edge against paths walked in the sorted greedy forest."""
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(25)] + [tuple(rng.sample(range(12), 2)) for _ in range(12)] + [tuple(rng.sample(range(30, 36), 2)) for _ in range(8)] + [(3, 3), (4, 5), (5, 4)]
+    rows = [(f"e{i:03d}", u, v, rng.randint(0, 3), rng.random(), None if i == 7 else rng.random()) for i, (u, v) in enumerate(edges)]
+    df = spark.createDataFrame(rows, "edge_id string, u long, v long, q int, dx double, dy double")
+    got = {r["edge_id"]: (r["in_tree"], r["closure_dx"], r["closure_dy"]) for r in G.cycle_closures(df.repartition(3), [F.col("q")], ["dx", "dy"]).collect()}
+    usable = sorted((q, e, u, v, dx, dy) for e, u, v, q, dx, dy in rows if dy is not None)
+    place, tree = {}, set()  # node -> (part, x, y)
+    for q, e, u, v, dx, dy in usable:
+        a, b = place.setdefault(u, (u, 0.0, 0.0)), place.setdefault(v, (v, 0.0, 0.0))
+        if a[0] != b[0]:
+            tree.add(e)
+            sx, sy = a[1] + dx - b[1], a[2] + dy - b[2]
+            for n, (p, x, y) in list(place.items()):
+                if p == b[0]:
+                    place[n] = (a[0], x + sx, y + sy)
+    assert got.keys() == {r[1] for r in usable}
+    for q, e, u, v, dx, dy in usable:
+        want = (dx - (place[v][1] - place[u][1]), dy - (place[v][2] - place[u][2]))
+        assert got[e][0] == (e in tree) and got[e][1:] == pytest.approx(want, abs=1e-9)

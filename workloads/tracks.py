@@ -142,6 +142,29 @@ def _(r):
     return GR.triangles(e, ["component"])
 
 
+@query("grf_08_cycle_closures", "fx_views", sql="""
+with n as (select position as p, position%10 as c, cast(floor(position/10) as bigint) as r from fx_views),
+h as (select a.p as u, b.p as v, 0 as kind from n a join n b on b.p=a.p+1 and b.r=a.r),
+w as (select a.p as u, b.p as v, a.r, a.c from n a join n b on b.p=a.p+10),
+g as (select a.p as u, b.p as v, a.c, a.r from n a join n b on b.p=a.p+11 and b.c=a.c+1)
+select 'w'||u as edge_id, false as in_tree, 0.0::double as closure_dx, 0.0::double as closure_dy from w where c > (select min(c) from w x where x.r=w.r)
+union all select 'g'||u, false, (u%7)/8.0::double, (u%5-2)/4.0::double from g union all select 'w'||u, true, 0.0::double, 0.0::double from w where c = (select min(c) from w x where x.r=w.r)
+union all select 'h'||u, true, 0.0::double, 0.0::double from h""")
+def _(v):
+    """A grid of views: rows first, then columns close loops of four pairs and more without an error, then diagonals with a planted one."""
+    n = v.select(F.col("position").alias("p"), (F.col("position") % 10).alias("c"), F.floor(F.col("position") / 10).alias("r"))
+    place = lambda s: [F.col(f"{s}.c") * 3.5 + F.col(f"{s}.r") * 0.25, F.col(f"{s}.r") * 2.0 - F.col(f"{s}.c") * 0.5]
+    (ax, ay), (bx, by) = place("a"), place("b")
+    parts = []
+    for kind, (name, step, same) in enumerate([("h", 1, F.col("a.r") == F.col("b.r")), ("w", 10, F.lit(True)), ("g", 11, F.col("b.c") == F.col("a.c") + 1)]):
+        wrong = [(F.col("a.p") % 7) / 8.0, (F.col("a.p") % 5 - 2) / 4.0] if name == "g" else [F.lit(0.0), F.lit(0.0)]
+        j = n.alias("a").join(n.alias("b"), (F.col("b.p") == F.col("a.p") + step) & same)
+        parts.append(j.select(F.concat(F.lit(name), F.col("a.p").cast("string")).alias("edge_id"), F.col("a.p").alias("u"), F.col("b.p").alias("v"), F.lit(kind).alias("kind"),
+                              (F.col("a.r") * 10 + F.col("a.c")).alias("at"), (bx - ax + wrong[0]).alias("dx"), (by - ay + wrong[1]).alias("dy")))
+    e = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return GR.cycle_closures(e, [F.col("kind"), F.col("at")], ["dx", "dy"]).select("edge_id", "in_tree", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("closure_dx", "closure_dy")))
+
+
 # --- rays and points --------------------------------------------------------------------------
 
 WGT = """wt as (select *, confidence*nav/count(*) over (partition by track, pass_id) as w0 from fx_rays),
