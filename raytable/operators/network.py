@@ -1,7 +1,7 @@
 """Network estimation: consensus models, pointing adjustment, sensitivity and spline attitude.
 
-The data pass (residuals, derivatives, sums of products) runs on Spark; only per-pair blocks of view parameters, whose
-number depends on views and not on matches, reach the driver.
+Residuals, derivatives and sums of products are one pass per iteration; blocks, steps and inverses of the pointing
+adjustment stay tables and only sums of one row reach the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raytable.functions.scalars import bspline_basis
-from raytable.runtime import materialize
+from raytable.runtime import is_empty, materialize, stored
 
 from .ordered import rank_rows
 from .quantiles import median
@@ -150,13 +150,13 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
 @dataclass(frozen=True)
 class AdjustOptions:
     residual: str = "ray"          # ray: closest approach (3 components); coplanarity: one angular component
-    loss: str = "huber"
+    loss: str = "huber"            # none, huber, cauchy or bisquare (square up to the scale, constant beyond)
     scale: float = 1.0
     prior_sigma: float = 0.05      # radians, holds the gauge
     step: float = 1e-6
     iterations: int = 8
     tolerance: float = 1e-9
-    maximum_parameters: int = 6000
+    solver_tolerance: float = 1e-5  # of a step's conjugate gradients, against the first residual; the next step repairs the rest
 
 
 def _turn(v: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -191,17 +191,33 @@ def _weights(r: np.ndarray, opt: AdjustOptions) -> np.ndarray:
     return np.where(a > opt.scale, 0.0, 1.0)
 
 
-def normal_blocks(records: DataFrame, angles: dict[str, tuple[float, float, float]], opt: AdjustOptions) -> DataFrame:
-    """Per view pair: packed 6x6 normal block (21), gradient (6), weighted square sum and count, at the given angles."""
+def _loss(r: np.ndarray, opt: AdjustOptions) -> np.ndarray:
+    """What the weights descend on: the loss of every residual component, its square where it is small."""
+    a = np.abs(r)
+    if opt.loss == "none":
+        return r * r
+    if opt.loss == "huber":
+        return np.where(a > opt.scale, 2 * opt.scale * a - opt.scale ** 2, r * r)
+    if opt.loss == "cauchy":
+        return opt.scale ** 2 * np.log1p((r / opt.scale) ** 2)
+    return np.minimum(a, opt.scale) ** 2
+
+
+ANGLES = ("omega", "phi", "kappa")
+
+
+def normal_blocks(records: DataFrame, angles: DataFrame | None, opt: AdjustOptions) -> DataFrame:
+    """Per view pair: packed 6x6 normal block (21), gradient (6), sum of the loss, count, and rows without a finite residual.
+
+    ``angles``: view_id, omega, phi, kappa; None or a view without a row stands for zero angles.
+    """
     iu = np.triu_indices(6)
-    here = dict(angles)
 
     def run(batches):
         for pdf in batches:
             get = lambda s, p: pdf[[f"{s}{p}{c}" for c in "xyz"]].to_numpy(float)
             oa, va, ob, vb = get("a", "o"), get("a", "d"), get("b", "o"), get("b", "d")
-            ta = np.array([here.get(k, (0, 0, 0)) for k in pdf["view_a"]], float).reshape(-1, 3)
-            tb = np.array([here.get(k, (0, 0, 0)) for k in pdf["view_b"]], float).reshape(-1, 3)
+            ta, tb = (pdf[[f"{s}{c}" for c in ANGLES]].to_numpy(float) for s in "ab")
             value = lambda x, y: _gap(opt.residual, oa, _turn(va, x), ob, _turn(vb, y))
             r = value(ta, tb)
             cols = []
@@ -215,94 +231,209 @@ def normal_blocks(records: DataFrame, angles: dict[str, tuple[float, float, floa
             ok = np.isfinite(r).all(1) & np.isfinite(j).all((1, 2))
             n = np.einsum("nck,nc,ncl->nkl", j, w, j)[:, iu[0], iu[1]]
             g = np.einsum("nck,nc,nc->nk", j, w, r)
-            row = np.hstack([n, g, (w * r * r).sum(1)[:, None], np.ones((len(r), 1))])[ok]
-            a, b = pdf["view_a"].to_numpy()[ok], pdf["view_b"].to_numpy()[ok]
-            f = pd.DataFrame(row)
-            f["view_a"], f["view_b"] = a, b
+            f = pd.DataFrame(np.where(ok[:, None], np.hstack([n, g, _loss(r, opt).sum(1)[:, None], ok[:, None], np.zeros((len(r), 1))]), np.eye(30)[29]))
+            f["view_a"], f["view_b"] = pdf["view_a"], pdf["view_b"]
             s = f.groupby(["view_a", "view_b"], sort=False).sum()
             yield pd.DataFrame({"view_a": s.index.get_level_values(0), "view_b": s.index.get_level_values(1), "v": s.to_numpy().tolist()})
 
     cols = ["view_a", "view_b"] + [f"{s}{p}{c}" for s in "ab" for p in "od" for c in "xyz"]
-    part = records.select(*cols).mapInPandas(run, "view_a string, view_b string, v array<double>")
+    rows = records.select(*cols)
+    for side in "ab":
+        if angles is None:
+            rows = rows.select("*", *(F.lit(0.0).alias(f"{side}{c}") for c in ANGLES))
+        else:
+            turn = angles.select(F.col("view_id").alias(f"view_{side}"), *(F.col(c).alias(f"{side}{c}") for c in ANGLES))
+            rows = rows.join(turn, f"view_{side}", "left").fillna(0.0, [f"{side}{c}" for c in ANGLES])
+    part = rows.mapInPandas(run, "view_a string, view_b string, v array<double>")
     flat = part.select("view_a", "view_b", F.posexplode("v").alias("p", "s")).groupBy("view_a", "view_b", "p").agg(F.sum("s").alias("s"))
     return flat.groupBy("view_a", "view_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda e: e["s"]).alias("v"))
 
 
-def _assemble(blocks, index: dict[str, int], opt: AdjustOptions, x: np.ndarray):
-    n = 3 * len(index)
-    h, g, cost, count = np.eye(n) / opt.prior_sigma ** 2, x / opt.prior_sigma ** 2, float((x ** 2).sum() / opt.prior_sigma ** 2), 0
-    iu = np.triu_indices(6)
-    for b in blocks:
-        v = np.asarray(b["v"], float)
-        m = np.zeros((6, 6))
-        m[iu] = v[:21]
-        m = m + np.triu(m, 1).T
-        at = [3 * index[b["view_a"]] + k for k in range(3)] + [3 * index[b["view_b"]] + k for k in range(3)]
-        h[np.ix_(at, at)] += m
-        g[at] += v[21:27]
-        cost, count = cost + v[27], count + int(v[28])
-    return h, g, cost, count
-
-
-def adjust_views(records: DataFrame, opt: AdjustOptions = AdjustOptions()) -> tuple[DataFrame, DataFrame]:
+# --- block conjugate gradients on the table of pair blocks -----------------------------------
+
+def _packed(k: int, l: int) -> Column:
+    k, l = min(k, l), max(k, l)
+    return F.col("v")[6 * k - k * (k - 1) // 2 + l - k]
+
+
+def _matrix(side: int, other: int) -> list[Column]:
+    """3x3 part of a packed 6x6 block, row by row."""
+    return [_packed(3 * side + k, 3 * other + l).alias(f"h{k}{l}") for k in range(3) for l in range(3)]
+
+
+NINE = [f"h{k}{l}" for k in range(3) for l in range(3)]
+
+
+def _system(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(view_id, h.., g0..g2): diagonal blocks and gradient; (i, j, h..): blocks between two views, both ways."""
+    ends = [blocks.select(F.col(f"view_{'ab'[s]}").alias("view_id"), *_matrix(s, s), *(F.col("v")[21 + 3 * s + k].alias(f"g{k}") for k in range(3))) for s in (0, 1)]
+    own = ends[0].unionByName(ends[1]).groupBy("view_id").agg(*(F.sum(c).alias(c) for c in [*NINE, "g0", "g1", "g2"]))
+    ways = [blocks.select(F.col(f"view_{'ab'[s]}").alias("i"), F.col(f"view_{'ab'[1 - s]}").alias("j"), *_matrix(s, 1 - s)) for s in (0, 1)]
+    return own, ways[0].unionByName(ways[1]).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in NINE))
+
+
+def _held(own: DataFrame, opt: AdjustOptions, damp: float = 0.0) -> DataFrame:
+    """Diagonal blocks with prior and damping."""
+    for k in range(3):
+        own = own.withColumn(f"h{k}{k}", (F.col(f"h{k}{k}") + opt.prior_sigma ** -2) * (1 + damp))
+    return own
+
+
+def _times(v: str) -> list[Column]:
+    return [F.col(f"h{k}0") * F.col(f"{v}0") + F.col(f"h{k}1") * F.col(f"{v}1") + F.col(f"h{k}2") * F.col(f"{v}2") for k in range(3)]
+
+
+def _divided(r: list[Column]) -> list[Column]:
+    """Solution of a symmetric 3x3 system (columns h..) by its adjugate."""
+    h = lambda k, l: F.col(f"h{k}{l}")
+    cof = lambda k, l: h((k + 1) % 3, (l + 1) % 3) * h((k + 2) % 3, (l + 2) % 3) - h((k + 1) % 3, (l + 2) % 3) * h((k + 2) % 3, (l + 1) % 3)
+    det = h(0, 0) * cof(0, 0) + h(0, 1) * cof(0, 1) + h(0, 2) * cof(0, 2)
+    return [(cof(0, k) * r[0] + cof(1, k) * r[1] + cof(2, k) * r[2]) / det for k in range(3)]
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.sum(sum((F.col(f"{a}{k}") * F.col(f"{b}{k}") for k in range(3)), F.lit(0.0)))
+
+
+def solve_blocks(own: DataFrame, off: DataFrame, rhs: DataFrame, tolerance: float = 1e-11) -> DataFrame:
+    """Solve a symmetric positive system of 3x3 blocks for many right sides at once: (rhs, view_id, x0, x1, x2).
+
+    own: view_id, h..; off: i, j, h..; rhs: rhs, view_id, b0, b1, b2 (absent rows are zero). Preconditioned conjugate gradients in the
+    form with one reduction a round: the matrix product is a join with the blocks and a grouped sum, a right side spreads over
+    the network as its rows come up, and every right side stops on its own. One table is written a round, nothing is collected.
+    """
+    own, off = stored(own.select("view_id", *NINE)), stored(off)
+    vectors = [f"{v}{k}" for v in "xrups" for k in range(3)]
+    zero = F.lit(0.0)
+    b = [F.col(f"b{k}") for k in range(3)]
+    fresh = rhs.join(own, "view_id").select("rhs", "view_id", *(zero.alias(f"x{k}") for k in range(3)), *(c.alias(f"r{k}") for k, c in enumerate(b)),
+                                            *(c.alias(f"u{k}") for k, c in enumerate(_divided(b))), *(zero.alias(f"{v}{k}") for v in "ps" for k in range(3)))
+    none = F.lit(None).cast("double")
+    fresh = fresh.withColumns({"first": none, "gamma": none, "alpha": none, "active": F.lit(True)})
+
+    def with_product(state: DataFrame) -> DataFrame:
+        live = state.filter("active").select("rhs", "view_id", "u0", "u1", "u2")
+        near = live.join(own, "view_id").select("rhs", "view_id", *(c.alias(f"w{k}") for k, c in enumerate(_times("u"))))
+        far = live.withColumnRenamed("view_id", "j").join(off, "j").select("rhs", F.col("i").alias("view_id"), *(c.alias(f"w{k}") for k, c in enumerate(_times("u"))))
+        w = near.unionByName(far).groupBy("rhs", "view_id").agg(*(F.sum(f"w{k}").alias(f"w{k}") for k in range(3)))
+        return stored(state.join(w, ["rhs", "view_id"], "full").fillna(0.0, [*vectors, "w0", "w1", "w2"]))
+
+    state = with_product(fresh)
+    while not is_empty(state.filter("active")):
+        now = state.groupBy("rhs").agg(_dot("r", "u").alias("new"), _dot("w", "u").alias("delta"), *(F.max(c).alias(c) for c in ("first", "gamma", "alpha", "active")))
+        now = now.withColumn("first", F.coalesce("first", "new"))
+        beta = F.coalesce(F.col("new") / F.col("gamma"), zero)
+        length = F.col("delta") - F.coalesce(beta * F.col("new") / F.col("alpha"), zero)
+        going = F.col("active") & (F.col("new") > tolerance ** 2 * F.col("first")) & (length > 0)
+        now = now.select("rhs", "first", going.alias("active"), beta.alias("beta"), F.when(going, F.col("new") / length).alias("alpha"), F.col("new").alias("gamma"))
+        new = state.drop("first", "gamma", "alpha", "active").join(now, "rhs").join(own, "view_id")
+        p = [F.col(f"u{k}") + F.col("beta") * F.col(f"p{k}") for k in range(3)]
+        s = [F.col(f"w{k}") + F.col("beta") * F.col(f"s{k}") for k in range(3)]
+        r = [F.when(F.col("active"), F.col(f"r{k}") - F.col("alpha") * s[k]).otherwise(F.col(f"r{k}")) for k in range(3)]
+        x = [F.when(F.col("active"), F.col(f"x{k}") + F.col("alpha") * p[k]).otherwise(F.col(f"x{k}")) for k in range(3)]
+        columns = {"x": x, "r": r, "u": _divided(r), "p": p, "s": s}
+        state = with_product(new.select("rhs", "view_id", *(c.alias(f"{v}{k}") for v, cs in columns.items() for k, c in enumerate(cs)), "first", "gamma", "alpha", "active"))
+    return state.select("rhs", "view_id", "x0", "x1", "x2")
+
+
+def inverse_blocks(own: DataFrame, off: DataFrame, tolerance: float = 1e-11) -> DataFrame:
+    """Blocks of the inverse inside every connected part of the network: (view_id, c, h..) with column view ``c``."""
+    unit = [own.select(F.struct(F.col("view_id").alias("c"), F.lit(m).alias("m")).alias("rhs"), "view_id", *(F.lit(float(k == m)).alias(f"b{k}") for k in range(3))) for m in range(3)]
+    x = solve_blocks(own, off, unit[0].unionByName(unit[1]).unionByName(unit[2]), tolerance)
+    return x.groupBy("view_id", F.col("rhs.c").alias("c")).agg(*(F.max(F.when(F.col("rhs.m") == m, F.col(f"x{k}"))).alias(f"h{k}{m}") for k in range(3) for m in range(3)))
+
+
+def adjust_views(records: DataFrame, opt: AdjustOptions = AdjustOptions(), sigmas: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pointing correction of every view from pair records: (views with angles and sigmas, final blocks).
 
-    Gauss-Newton with damping; the driver holds three unknowns per view and refuses more than ``maximum_parameters``.
+    Gauss-Newton with damping on the loss itself. Angles, blocks and steps stay tables: blocks are sums per view pair, a step is
+    solved by block conjugate gradients, and only sums of one row reach the driver. ``sigmas`` asks for the diagonal of the inverse,
+    which costs a right side for every angle; without it the three columns are NULL.
     """
-    spark = records.sparkSession
-    rec = materialize(records.select("view_a", "view_b", *(f"{s}{p}{c}" for s in "ab" for p in "od" for c in "xyz")))
-    names = rec.select(F.explode(F.array("view_a", "view_b")).alias("v")).distinct().limit(opt.maximum_parameters // 3 + 1).collect()
-    if 3 * len(names) > opt.maximum_parameters:
-        raise ValueError("too many view parameters for one dense solve; split the network")
-    index = {v: i for i, v in enumerate(sorted(r["v"] for r in names))}
-    at = lambda x: {v: tuple(x[3 * i:3 * i + 3]) for v, i in index.items()}
-    x, damp = np.zeros(3 * len(index)), 0.0
-    blocks = normal_blocks(rec, at(x), opt).collect()
-    h, g, cost, count = _assemble(blocks, index, opt, x)
-    first = cost
+    rec = stored(records.select("view_a", "view_b", *(f"{s}{p}{c}" for s in "ab" for p in "od" for c in "xyz")))
+    x = stored(rec.select(F.explode(F.array("view_a", "view_b")).alias("view_id")).distinct().select("view_id", *(F.lit(0.0).alias(c) for c in ANGLES)))
+
+    def at(angles: DataFrame) -> tuple[DataFrame, float, int, int]:
+        blocks = stored(normal_blocks(rec, angles, opt))
+        held = angles.agg(F.sum(F.col("omega") ** 2 + F.col("phi") ** 2 + F.col("kappa") ** 2)).first()[0] or 0.0
+        row = blocks.agg(*(F.sum(F.col("v")[k]) for k in (27, 28, 29))).first()
+        return blocks, held / opt.prior_sigma ** 2 + (row[0] or 0.0), int(row[1] or 0), int(row[2] or 0)
+
+    blocks, cost, count, lost = at(x)
+    first, damp = cost, 0.0
     for _ in range(opt.iterations):
-        step = -np.linalg.solve(h + damp * np.diag(np.diag(h)), g)
-        trial = x + step
-        tb = normal_blocks(rec, at(trial), opt).collect()
-        th, tg, tc, tn = _assemble(tb, index, opt, trial)
+        own, off = _system(blocks)
+        rhs = own.join(x, "view_id").select(F.lit(0).alias("rhs"), "view_id", *((-(F.col(f"g{k}") + F.col(c) / opt.prior_sigma ** 2)).alias(f"b{k}") for k, c in enumerate(ANGLES)))
+        step = stored(solve_blocks(_held(own, opt, damp), off, rhs, opt.solver_tolerance))
+        trial = stored(x.join(step, "view_id", "left").select("view_id", *((F.col(c) + F.coalesce(f"x{k}", F.lit(0.0))).alias(c) for k, c in enumerate(ANGLES))))
+        tb, tc, tn, tl = at(trial)
         if tc <= cost:
-            x, h, g, blocks, damp = trial, th, tg, tb, damp / 10
-            small = cost - tc <= opt.tolerance * max(cost, 1e-300)
-            cost, count = tc, tn
-            if small or np.abs(step).max() <= opt.tolerance:
+            most = step.agg(F.max(F.greatest(*(F.abs(f"x{k}") for k in range(3))))).first()[0] or 0.0
+            done = cost - tc <= opt.tolerance * max(cost, 1e-300) or most <= opt.tolerance
+            x, blocks, cost, count, lost, damp = trial, tb, tc, tn, tl, damp / 10
+            if done:
                 break
         else:
             damp = max(1e-3, damp * 10)
-    cov = np.linalg.inv(h)
-    rows = [(v, *(float(a) for a in x[3 * i:3 * i + 3]), *(float(np.sqrt(cov[3 * i + k, 3 * i + k])) for k in range(3)), float(first), float(cost), int(count)) for v, i in index.items()]
-    views = spark.createDataFrame(rows, "view_id string, omega double, phi double, kappa double, sigma_omega double, sigma_phi double, sigma_kappa double, cost_before double, cost_after double, records bigint")
-    return views, spark.createDataFrame([(b["view_a"], b["view_b"], list(b["v"])) for b in blocks], "view_a string, view_b string, v array<double>")
-
+    if sigmas:
+        own, off = _system(blocks)
+        inverse = inverse_blocks(_held(own, opt), off).filter("view_id = c")
+        spread = inverse.select("view_id", *(F.sqrt(f"h{k}{k}").alias(f"sigma_{c}") for k, c in enumerate(ANGLES)))
+        views = x.join(spread, "view_id", "left")
+    else:
+        views = x.select("*", *(F.lit(None).cast("double").alias(f"sigma_{c}") for c in ANGLES))
+    figures = {"cost_before": float(first), "cost_after": float(cost), "records": count, "lost_records": lost}
+    return views.select("*", *(F.lit(v).cast("double" if isinstance(v, float) else "long").alias(k) for k, v in figures.items())), blocks
 
-def leave_one_out(blocks: DataFrame, opt: AdjustOptions = AdjustOptions(), bound: int = 2000) -> DataFrame:
-    """Change of the angles when one pair is left out: its block is taken from the total and one step is solved; no data is re-read.
 
-    The step is linearised at the full solution. A pair whose removal isolates a view is named, not solved away.
+def _without_pair(batches):
+    """Per pair the six numbers whose product with the inverse's columns of both views is the change of all angles."""
+    iu = np.triu_indices(6)
+    for pdf in batches:
+        out = np.zeros((len(pdf), 6))
+        get = lambda cols, shape: pdf[cols].to_numpy(float).reshape(-1, *shape)
+        aa, ab, bb = (get([f"{p}_{c}" for c in NINE], (3, 3)) for p in ("aa", "ab", "bb"))
+        y = np.hstack([get([f"ya{k}" for k in range(3)], (3,)), get([f"yb{k}" for k in range(3)], (3,))])
+        for n, v in enumerate(pdf["v"]):
+            block = np.zeros((6, 6))
+            block[iu] = v[:21]
+            block += np.triu(block, 1).T
+            g, s = np.asarray(v[21:27]), np.block([[aa[n], ab[n]], [ab[n].T, bb[n]]])
+            out[n] = g - block @ np.linalg.solve(np.eye(6) - s @ block, y[n] - s @ g)
+        yield pd.DataFrame({"view_a": pdf["view_a"], "view_b": pdf["view_b"], **{f"q{k}": out[:, k] for k in range(6)}})
+
+
+def leave_one_out(blocks: DataFrame, opt: AdjustOptions = AdjustOptions()) -> DataFrame:
+    """Change of the angles when one pair is left out: a rank-6 update of the inverse for every pair; no data is re-read.
+
+    The step is linearised at the blocks' angles and equals a full refit of one step without the pair. Blocks of the inverse come from
+    conjugate gradients; a pair meets the columns of its two views in joins. The work is the number of pairs times the views of their
+    part of the network, as the change of every view goes into the maximum; nothing is collected. A pair whose removal isolates
+    a view is named. view_a and view_b differ; one row per (view_a, view_b).
     """
-    spark = blocks.sparkSession
-    rows = blocks.orderBy("view_a", "view_b").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("more pairs than the sensitivity bound; raise it or aggregate views")
-    index = {v: i for i, v in enumerate(sorted({r[k] for r in rows for k in ("view_a", "view_b")}))}
-    degree: dict[str, int] = {}
-    for r in rows:
-        for k in ("view_a", "view_b"):
-            degree[r[k]] = degree.get(r[k], 0) + 1
-    zero = np.zeros(3 * len(index))
-    h, g, _, _ = _assemble(rows, index, opt, zero)
-    full = -np.linalg.solve(h, g)
-    out = []
-    for r in rows:
-        hb, gb, _, _ = _assemble([r], index, AdjustOptions(prior_sigma=1e150), zero)
-        d = -np.linalg.solve(h - hb, g - gb) - full
-        lost = [r[k] for k in ("view_a", "view_b") if degree[r[k]] == 1]
-        out.append((r["view_a"], r["view_b"], float(np.abs(d).max()), float(np.sqrt((d ** 2).mean())), "|".join(lost)))
-    return spark.createDataFrame(out, "view_a string, view_b string, max_change double, rms_change double, missing_views string")
+    blocks = stored(blocks)
+    own, off = _system(blocks)
+    own = stored(_held(own, opt))
+    inverse = stored(inverse_blocks(own, off))
+    y = inverse.join(own.select(F.col("view_id").alias("c"), "g0", "g1", "g2"), "c").groupBy("view_id").agg(*(F.sum(c).alias(f"y{k}") for k, c in enumerate(_times("g"))))
+    pairs = blocks.select("view_a", "view_b", "v")
+    for name, (row, col) in {"aa": ("view_a", "view_a"), "ab": ("view_a", "view_b"), "bb": ("view_b", "view_b")}.items():
+        cols = inverse.select(F.col("view_id").alias("_r"), F.col("c").alias("_c"), *(F.col(c).alias(f"{name}_{c}") for c in NINE))
+        pairs = pairs.join(cols, (F.col(row) == F.col("_r")) & (F.col(col) == F.col("_c"))).drop("_r", "_c")
+    for side in "ab":
+        pairs = pairs.join(y.select(F.col("view_id").alias(f"view_{side}"), *(F.col(f"y{k}").alias(f"y{side}{k}") for k in range(3))), f"view_{side}")
+    q = stored(pairs.mapInPandas(_without_pair, "view_a string, view_b string, " + ", ".join(f"q{k} double" for k in range(6))))
+    moved = [q.select("view_a", "view_b", F.col(f"view_{side}").alias("c"), *(F.col(f"q{k + at}").alias(f"q{k}") for k in range(3))).join(inverse, "c")
+             .select("view_a", "view_b", "view_id", *(c.alias(f"d{k}") for k, c in enumerate(_times("q")))) for side, at in (("a", 0), ("b", 3))]
+    change = moved[0].unionByName(moved[1]).groupBy("view_a", "view_b", "view_id").agg(*(F.sum(f"d{k}").alias(f"d{k}") for k in range(3)))
+    total = own.count()
+    most = F.max(F.greatest(*(F.abs(f"d{k}") for k in range(3))))
+    square = F.sum(F.col("d0") ** 2 + F.col("d1") ** 2 + F.col("d2") ** 2)
+    out = change.groupBy("view_a", "view_b").agg(most.alias("max_change"), F.sqrt(square / (3 * total)).alias("rms_change"))
+    degree = blocks.select(F.explode(F.array("view_a", "view_b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d")).filter("d = 1")
+    for side in "ab":
+        out = out.join(degree.select(F.col("n").alias(f"view_{side}"), F.col("n").alias(f"_lost_{side}")), f"view_{side}", "left")
+    return out.select("view_a", "view_b", "max_change", "rms_change", F.concat_ws("|", "_lost_a", "_lost_b").alias("missing_views"))
 
 
 def spline_blocks(residuals: DataFrame, by: str, column: str, width: float, spacing: float, residual: str = "r", sensitivity: str = "j") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again.
+
+    Like a checkpoint it cuts lineage, but the planner sees the true size: a checkpoint keeps the estimate of its plan, and a loop
+    that joins its state with something made from it would square that estimate every round.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
