@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raytable.runtime import is_empty, materialize
+from raytable.runtime import is_empty, materialize, stored
 
 from .ordered import rank_rows
 
@@ -145,40 +145,66 @@ def track_spanning_tree(edges: DataFrame, order: list[Column], track: str = "tra
 def reconcile(edges: DataFrame, scope: list[str], order: list[Column], edge_id: str = "record_id") -> DataFrame:
     """Greedy track building: best edge first, two clusters join unless they share a view.
 
-    edges: scope…, edge id, u, v, view_u, view_v and the order columns. Adds ``accepted``.
-    The sequential result is reproduced in parallel rounds: (1) an edge inside one cluster is accepted;
-    (2) an edge between clusters sharing a view is rejected (view sets only grow); (3) an edge that is the best
-    remaining one of both its clusters is decided now, because nothing earlier can touch them. Scopes in which no view
-    repeats cannot conflict and are accepted at once. Hot scopes need no special case: no step gathers a scope.
+    edges: scope…, edge id, u, v, view_u, view_v and the order columns. Adds ``accepted``. The sequential result in parallel rounds:
+    an edge inside one cluster is accepted, one between clusters sharing a view is rejected (view sets only grow). Of the others, each cluster
+    points over its best edge. The pointers form trees whose edges get better towards the root, and pointer jumping finds the roots, so a
+    chain of rising keys is one tree. Up to the first edge that leaves a tree, nothing from outside touches it, and up to the
+    second cluster that brings a view, nothing inside it clashes: that part of the tree joins at once, and where the clash comes first its
+    edge is rejected. Rounds grow with the rejections that follow each other along one chain, not with its length. Scopes in which no view
+    repeats cannot conflict and are accepted at once. No step gathers a scope.
     """
     e = edges.withColumn("_scope", F.struct(*scope)) if scope else edges.withColumn("_scope", F.struct(F.lit(0).alias("k")))
-    ends = e.select("_scope", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("view_u").alias("w")),
-                                                F.struct(F.col("v").alias("n"), F.col("view_v").alias("w")))).alias("p")).select("_scope", "p.*").distinct()
-    repeated = ends.groupBy("_scope", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("_scope").distinct()
-    repeated = materialize(repeated)
+    both = lambda df: df.select("_scope", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("view_u").alias("w")),
+                                                            F.struct(F.col("v").alias("n"), F.col("view_v").alias("w")))).alias("p")).select("_scope", "p.*").distinct()
+    repeated = stored(both(e).groupBy("_scope", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("_scope").distinct())
     clean = e.join(repeated, "_scope", "left_anti").select(F.col(edge_id).alias("_e"), F.lit(True).alias("_ok"))
-    live = materialize(e.join(repeated, "_scope", "left_semi").select(
-        F.col(edge_id).alias("_e"), F.struct(*order, F.col(edge_id)).alias("_k"),
-        F.struct("_scope", F.col("u").alias("n")).alias("_a"), F.struct("_scope", F.col("v").alias("n")).alias("_b"),
-        F.array("view_u").alias("_wa"), F.array("view_v").alias("_wb")))
-    decided = []
+    held = stored(e.join(repeated, "_scope", "left_semi").select(F.col(edge_id).alias("_e"), F.struct(F.struct(*order).alias("o"), F.col(edge_id).alias("e")).alias("_key"),
+                                                                "_scope", "u", "v", "view_u", "view_v"))
+    keys = _numbered(held.select(F.col("_key").alias("a"))).select(F.col("a.e").alias("_e"), F.col("i").alias("_k"))
+    nodes = stored(both(held).withColumn("a", F.struct("_scope", "n")).groupBy("a").agg(F.collect_set("w").alias("w")))
+    ids = _numbered(nodes.select("a"))
+    named = lambda name, to: ids.select(F.col("a").alias(name), F.col("i").alias(to))
+    live = held.join(keys, "_e").withColumn("_u", F.struct("_scope", F.col("u").alias("n"))).withColumn("_v", F.struct("_scope", F.col("v").alias("n")))
+    live = stored(live.join(named("_u", "_a"), "_u").join(named("_v", "_b"), "_v").select("_e", "_k", "_a", "_b"))
+    clusters = stored(nodes.join(ids, "a").select(F.col("i").alias("c"), "w"))
+    decided = [live.filter("_a = _b").select("_e", F.lit(True).alias("_ok"))]
+    live = live.filter("_a <> _b")
     while not is_empty(live):  # the best edge of all is decided in every round
-        inside = F.col("_a") == F.col("_b")
-        clash = F.arrays_overlap("_wa", "_wb")
-        decided.append(live.filter(inside | clash).select("_e", inside.alias("_ok")))
-        open_ = live.filter(~inside & ~clash)
-        best = (open_.select(F.explode(F.array("_a", "_b")).alias("c"), "_k").groupBy("c").agg(F.min("_k").alias("_best")))
-        tops = best.groupBy("_best").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2").select(F.col("_best").alias("_k"))
-        joined = materialize(open_.join(tops, "_k", "left_semi"))
-        decided.append(joined.select("_e", F.lit(True).alias("_ok")))
-        root, views = F.least("_a", "_b"), F.concat("_wa", "_wb")
-        moves = joined.select(F.explode(F.array("_a", "_b")).alias("c"), root.alias("_r"), views.alias("_w"))
-        rest = open_.join(joined.select("_e"), "_e", "left_anti")
-        for side, seen in (("_a", "_wa"), ("_b", "_wb")):
-            m = moves.select(F.col("c").alias(side), F.col("_r").alias("_nr"), F.col("_w").alias("_nw"))
-            rest = (rest.join(m, side, "left").withColumn(side, F.coalesce("_nr", side))
-                    .withColumn(seen, F.coalesce("_nw", seen)).drop("_nr", "_nw"))
-        live = materialize(rest)
+        seen = live.join(clusters.select(F.col("c").alias("_a"), F.col("w").alias("_wa")), "_a").join(clusters.select(F.col("c").alias("_b"), F.col("w").alias("_wb")), "_b")
+        marked = stored(seen.select("_e", "_k", "_a", "_b", F.arrays_overlap("_wa", "_wb").alias("_clash")))
+        decided.append(marked.filter("_clash").select("_e", F.lit(False).alias("_ok")))
+        open_ = marked.filter("not _clash").drop("_clash")
+        ends = open_.select(F.explode(F.array(F.struct(F.col("_a").alias("c"), F.col("_b").alias("o")), F.struct(F.col("_b").alias("c"), F.col("_a").alias("o")))).alias("p"), "_k")
+        best = ends.groupBy("p.c").agg(F.min(F.struct("_k", "p.o")).alias("m")).select("c", F.col("m.o").alias("p"), F.col("m._k").alias("t"))
+        tree = stored(best)
+        # t: the edge over which a cluster enters its tree; the smaller end of the best edge of a tree is the root, which is there from the start
+        root = (F.col("pp") == F.col("c")) & (F.col("c") < F.col("p"))
+        back = tree.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        tree = stored(tree.join(back, "p").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"), F.when(root, F.lit(-1)).otherwise(F.col("t")).alias("t")))
+        while True:
+            up = tree.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+            jumped = stored(tree.join(up, "p").select("c", F.col("pp").alias("p"), "t", (F.col("p") != F.col("pp")).alias("_moved")))
+            tree = jumped.drop("_moved")
+            if is_empty(jumped.filter("_moved")):
+                break
+        tree = tree.withColumnRenamed("p", "r")
+        of = lambda c, to: tree.select(F.col("c").alias(c), F.col("r").alias(to))
+        leaving = open_.join(of("_a", "_ra"), "_a").join(of("_b", "_rb"), "_b").filter("_ra <> _rb")
+        leaving = leaving.select(F.explode(F.array("_ra", "_rb")).alias("r"), "_k").groupBy("r").agg(F.min("_k").alias("leave"))
+        brought = tree.join(clusters, "c").select("r", "t", F.explode("w").alias("w"))
+        first = brought.groupBy("r", "w").agg(F.min("t").alias("t0"))
+        again = brought.join(first, ["r", "w"]).filter("t > t0").groupBy("r").agg(F.min("t").alias("clash"))
+        limits = tree.select("r").distinct().join(leaving, "r", "left").join(again, "r", "left")
+        bounded = stored(tree.join(limits, "r"))
+        taken = bounded.filter("(leave is null or t < leave) and (clash is null or t < clash)").select("c", "r")
+        cuts = bounded.filter("t = clash and (leave is null or t < leave)").select(F.col("t").alias("_k"), F.lit(True).alias("_cut"))
+        to = lambda c, name: taken.select(F.col("c").alias(c), F.col("r").alias(name))
+        moved = open_.join(to("_a", "_na"), "_a", "left").join(to("_b", "_nb"), "_b", "left").join(cuts, "_k", "left")
+        moved = stored(moved.select("_e", "_k", F.coalesce("_na", "_a").alias("_a"), F.coalesce("_nb", "_b").alias("_b"), F.coalesce("_cut", F.lit(False)).alias("_cut")))
+        decided.append(moved.filter("_cut or _a = _b").select("_e", (~F.col("_cut")).alias("_ok")))
+        live = moved.filter("not _cut and _a <> _b").drop("_cut")
+        # the views of a cluster are all different, so the list is as long as the network has views at most
+        clusters = stored(clusters.join(taken, "c", "left").groupBy(F.coalesce("r", "c").alias("c")).agg(F.flatten(F.collect_list("w")).alias("w")))
     verdict = clean
     for d in decided:
         verdict = verdict.unionByName(d)
@@ -187,43 +213,98 @@ def reconcile(edges: DataFrame, scope: list[str], order: list[Column], edge_id:
 
 # --- order-dependent clustering -----------------------------------------------------------
 
-PATCH_ROWS = 50_000
-
-
-def _scan(by: list[str], coords: list[str], tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    dims = range(len(coords))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*by, "_patch", *coords], kind="mergesort")
-        pts = list(zip(*(pdf[c].tolist() for c in coords)))
-        weights, patches = pdf["_w"].tolist(), list(zip(*(pdf[c].tolist() for c in [*by, "_patch"])))
-        centre, mass, first, local, out = [], [], [], [], []
-        active: list[int] = []  # clusters a later point can still reach: the leading coordinate only grows
-        patch, start = None, 0
-        for i, p in enumerate(pts):
-            if patches[i] != patch:
-                patch, start, active = patches[i], len(centre), []
-            active = [k for k in active if p[0] - centre[k][0] <= tolerance]
-            hit, near = -1, float("inf")
-            for k in active:
-                c = centre[k]
-                d = sum((c[j] - p[j]) ** 2 for j in dims) ** 0.5
-                if d < near:
+SLICE_ROWS = 50_000  # points a task scans; the result does not depend on it
+
+
+class _Leaders:
+    """Running-mean clusters within reach of a scan line, found through a grid of their centres."""
+
+    def __init__(self, tolerance: float, front: list[float], dims: int):
+        self.tolerance, self.size, self.dims = tolerance, tolerance * 1.001, dims  # a hair wider: cells of rounded quotients still touch
+        self.around = list(product((-1, 0, 1), repeat=dims))
+        self.first, self.centre, self.mass, self.cells = [], [], [], {}
+        step = 2 * dims + 1
+        for k in range(0, len(front), step):
+            self._start(tuple(front[k:k + dims]), tuple(front[k + dims:k + 2 * dims]), front[k + step - 1])
+
+    def _cell(self, p: tuple) -> tuple:
+        return tuple(int(x // self.size) for x in p)
+
+    def _start(self, first: tuple, centre: tuple, mass: float) -> int:
+        self.first.append(first), self.centre.append(centre), self.mass.append(mass)
+        self.cells.setdefault(self._cell(centre), []).append(len(self.first) - 1)
+        return len(self.first) - 1
+
+    def add(self, p: tuple, weight: float) -> int:
+        at, hit, near = self._cell(p), -1, float("inf")
+        for o in self.around:
+            for k in self.cells.get(tuple(a + b for a, b in zip(at, o)), ()):
+                d = sum((a - b) ** 2 for a, b in zip(self.centre[k], p)) ** 0.5
+                if d < near or (d == near and k < hit):
                     hit, near = k, d
-            if hit < 0 or near > tolerance:
-                hit = len(centre)
-                centre.append(p); mass.append(0.0); first.append(p); local.append(hit - start); active.append(hit)
-            mass[hit] += weights[i]
-            share = weights[i] / mass[hit]
-            centre[hit] = tuple(centre[hit][j] + (p[j] - centre[hit][j]) * share for j in dims)
-            out.append(hit)
-        pdf["_local"] = [local[h] for h in out]
-        for j in dims:
-            pdf[f"_f{j}"] = [first[h][j] for h in out]
-            pdf[f"_m{j}"] = [centre[h][j] for h in out]
-        return pdf
-
-    return run
+        if hit < 0 or near > self.tolerance:
+            return self._start(p, p, weight)
+        old = self._cell(self.centre[hit])
+        self.mass[hit] += weight
+        share = weight / self.mass[hit]
+        self.centre[hit] = tuple(c + (x - c) * share for c, x in zip(self.centre[hit], p))
+        new = self._cell(self.centre[hit])
+        if new != old:
+            self.cells[old].remove(hit)
+            self.cells.setdefault(new, []).append(hit)
+        return hit
+
+    def front(self, lead: float) -> list[float]:
+        """Clusters that points from ``lead`` on can still reach, in order of creation: first point, centre, mass."""
+        return [x for f, c, m in zip(self.first, self.centre, self.mass) if lead - c[0] <= self.tolerance for x in (*f, *c, m)]
+
+
+def _scan_slice(pdf: pd.DataFrame, by: list[str], coords: list[str], tolerance: float, front: list[float]) -> tuple[pd.DataFrame, list[float]]:
+    """Points of one slice with the first point, centre and mass of their cluster at the end of the slice, and the front it hands on.
+
+    ``front`` is what the slice before handed on; it concerns the first patch of the slice."""
+    pdf = pdf.sort_values([*by, "_patch", *coords], kind="mergesort")
+    points, weights = list(zip(*(pdf[c].tolist() for c in coords))), pdf["_w"].tolist()
+    patch = pdf.groupby([*by, "_patch"], sort=False, dropna=False).ngroup().to_numpy()
+    borders = [0, *(np.flatnonzero(np.diff(patch)) + 1).tolist(), len(points)]
+    first, centre, mass = [], [], []
+    for a, b in zip(borders, borders[1:]):
+        if b - a == 1 and not front and b < len(points):  # most patches are one point
+            first.append(points[a]), centre.append(points[a]), mass.append(weights[a])
+            continue
+        leaders = _Leaders(tolerance, front, len(coords))
+        front = []
+        hits = [leaders.add(points[i], weights[i]) for i in range(a, b)]
+        first += [leaders.first[h] for h in hits]
+        centre += [leaders.centre[h] for h in hits]
+        mass += [leaders.mass[h] for h in hits]
+    more = {f"_f{j}": [p[j] for p in first] for j in range(len(coords))} | {f"_m{j}": [p[j] for p in centre] for j in range(len(coords))}
+    return pdf.assign(**more, _mass=mass), leaders.front(points[-1][0])
+
+
+def _fronts(long: DataFrame, unit: list[str], by: list[str], coords: list[str], tolerance: float) -> DataFrame:
+    """``unit``…, _in: the front every slice of a cut patch starts with. All slices are scanned at once; a slice whose front turned
+    out different is scanned again until none is. The first slice is right at once and each round makes at least one more right."""
+    keys = T.StructType([long.schema[c] for c in unit])
+    schema = T.StructType([*keys.fields, T.StructField("_in", T.ArrayType(T.DoubleType())), T.StructField("_out", T.ArrayType(T.DoubleType()))])
+
+    def scan(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        front = [] if start.empty else [float(x) for x in start["_new"].iloc[0]]
+        out = pdf[unit].head(1).copy()
+        out["_in"], out["_out"] = [front], [_scan_slice(pdf, by, coords, tolerance, front)[1]]
+        return out
+
+    nothing = F.array().cast("array<double>")
+    todo = stored(long.select(*unit).distinct().withColumn("_new", nothing))
+    state = None
+    while not is_empty(todo):
+        redone = long.join(todo.select(*unit), unit, "left_semi").groupBy(*unit).cogroup(todo.groupBy(*unit)).applyInPandas(scan, schema)
+        state = stored(redone if state is None else state.filter("_in <=> _new").select(*unit, "_in", "_out").unionByName(redone))
+        handed = state.select(*unit[:-1], (F.col(unit[-1]) + 1).alias(unit[-1]), F.col("_out").alias("_new"))
+        met = state.unionByName(handed, allowMissingColumns=True).groupBy(*unit).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_in", "_out", "_new")))
+        state = stored(met.filter("_in is not null").withColumn("_new", F.coalesce("_new", nothing)))
+        todo = state.filter("not (_in <=> _new)").select(*unit, "_new")
+    return todo.select(*unit, F.col("_new").alias("_in")) if state is None else state.select(*unit, "_in")
 
 
 def leader_clusters(points: DataFrame, by: list[str], coords: list[str], tolerance: float, number: str = "cluster") -> DataFrame:
@@ -231,10 +312,11 @@ def leader_clusters(points: DataFrame, by: list[str], coords: list[str], toleran
 
     Adds the cluster number (order of creation per key) and its centre. Equal points always share a cluster, so they are
     merged with a weight first. A joining point lies within 2*tolerance of the cluster's latest member, so points
-    in unconnected 2*tolerance cells never meet: each connected patch of occupied cells is scanned on its own.
+    in unconnected 2*tolerance cells never meet: each connected patch of occupied cells is scanned on its own. Patches are cut
+    into slices of bounded size, however large a patch is; a slice starts with the clusters the one before it leaves in reach.
     """
     size = 2.0 * tolerance
-    merged = points.groupBy(*by, *coords).agg(F.count(F.lit(1)).alias("_w"))
+    merged = points.groupBy(*by, *coords).agg(F.count(F.lit(1)).cast("double").alias("_w"))
     cell = F.array(*(F.floor(F.col(c) / size).cast("bigint") for c in coords))
     merged = merged.withColumn("_cell", cell)
     # patches only group the scan, so a 64-bit cell number is enough: a collision would merely scan two patches together
@@ -249,28 +331,30 @@ def leader_clusters(points: DataFrame, by: list[str], coords: list[str], toleran
     links = near.join(occupied, "_node").select("u", F.col("_node").alias("v"))
     patch = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_patch"))
     merged = merged.join(patch, "_node", "left").withColumn("_patch", F.coalesce("_patch", "_node"))
-    placed = materialize(merged.drop("_cell", "_node"))
-    sizes = placed.groupBy(*by, "_patch").agg(F.count(F.lit(1)).alias("_size"))
-    sized = placed.join(sizes, by + ["_patch"])
-    alone = sized.filter("_size = 1").drop("_size").withColumn("_local", F.lit(0).cast("long"))
-    for j, c in enumerate(coords):
-        alone = alone.withColumn(f"_f{j}", F.col(c)).withColumn(f"_m{j}", F.col(c))
-    many = sized.filter("_size > 1").drop("_size")
-    scan = _scan(by, coords, tolerance)
-    extra = [T.StructField("_local", T.LongType())]
-    for j in range(len(coords)):
-        extra += [T.StructField(f"_f{j}", T.DoubleType()), T.StructField(f"_m{j}", T.DoubleType())]
-    # small patches share a bucket, so Python is entered once per bucket and not once per patch
-    buckets = max(8, many.count() // PATCH_ROWS + 1)
-    bucket = F.pmod(F.xxhash64(*by, "_patch"), F.lit(buckets))
-    out = many.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(
-        lambda pdf: scan(pdf.drop(columns="_bucket")), T.StructType(many.schema.fields + extra))
-    joined = materialize(out.unionByName(alone))
-    firsts = [f"_f{j}" for j in range(len(coords))]
-    heads = joined.select(*by, "_patch", "_local", *firsts).distinct()
-    ranked = rank_rows(heads, by, firsts, number).select(*by, "_patch", "_local", number)
-    labelled = joined.join(ranked, by + ["_patch", "_local"]).select(
-        *by, *coords, number, *(F.col(f"_m{j}").alias(f"centre_{c}") for j, c in enumerate(coords)))
+    placed = stored(merged.drop("_cell", "_node"))
+    slices = placed.count() // SLICE_ROWS + 1
+    # every bound is a row, so the slices of a patch have consecutive numbers
+    placed = stored(placed.repartitionByRange(slices, *by, "_patch", *coords).withColumn("_slice", F.spark_partition_id()))
+    extra = [T.StructField(f"_{x}{j}", T.DoubleType()) for x in "fm" for j in range(len(coords))] + [T.StructField("_mass", T.DoubleType())]
+    schema = T.StructType(placed.schema.fields + extra)
+    unit = [*by, "_patch", "_slice"]
+    cut = placed.groupBy(*by, "_patch").agg(F.min("_slice").alias("a"), F.max("_slice").alias("b")).filter("a < b").select(*by, "_patch")
+    # whole patches share a bucket, so Python is entered once per bucket and not once per patch
+    bucket = F.pmod(F.xxhash64(*by, "_patch"), F.lit(max(8, slices)))
+    whole = placed.join(cut, by + ["_patch"], "left_anti").withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(
+        lambda pdf: _scan_slice(pdf.drop(columns="_bucket"), by, coords, tolerance, [])[0], schema)
+    long = stored(placed.join(cut, by + ["_patch"], "left_semi"))
+    fronts = _fronts(long, unit, by, coords, tolerance)
+
+    def last(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        return _scan_slice(pdf, by, coords, tolerance, [float(x) for x in start["_in"].iloc[0]])[0]
+
+    joined = stored(whole.unionByName(long.groupBy(*unit).cogroup(fronts.groupBy(*unit)).applyInPandas(last, schema)))
+    firsts, means = [f"_f{j}" for j in range(len(coords))], [f"_m{j}" for j in range(len(coords))]
+    # a cluster is known by its first point; the slice that saw it last has its centre
+    heads = joined.groupBy(*by, *firsts).agg(F.max(F.struct("_mass", *means)).alias("m"))
+    ranked = rank_rows(heads, by, firsts, number).select(*by, *firsts, number, *(F.col(f"m.{m}").alias(f"centre_{c}") for m, c in zip(means, coords)))
+    labelled = joined.select(*by, *coords, *firsts).join(ranked, by + firsts).drop(*firsts)
     return points.join(labelled, by + coords)
 
 

@@ -73,8 +73,39 @@ def test_components_and_forest(spark):
     assert {r["edge_id"] for r in G.spanning_forest(df, [F.col("w")]).collect()} == tree
 
 
-@pytest.mark.parametrize("tol", [0.6, 1.7])
-def test_leader_clusters_equal_scan(spark, tol):
+def _greedy(rows):
+    """Sequential reconciliation of (edge, u, v, view_u, view_v, key)."""
+    sets, views, want = Sets(), {}, {}
+    for e, u, v, wu, wv, q in sorted(rows, key=lambda r: (r[5], r[0])):
+        a, b = sets.find(u), sets.find(v)
+        va, vb = views.setdefault(a, {wu}), views.setdefault(b, {wv})
+        want[e] = a == b or not va & vb
+        if a != b and want[e]:
+            sets.join(a, b)
+            views[min(a, b)] = va | vb
+    return want
+
+
+def test_reconcile_joins_a_long_chain_in_few_rounds(spark, monkeypatch):
+    """2000 edges of rising keys, views all different but for one repeated at either end; branches and shortcuts beside it."""
+    rnd = random.Random(4)
+    view = lambda k: "v0000" if k == 2000 else f"v{k:04d}"
+    pairs = [(k, k + 1, k) for k in range(2000)] + [(rnd.randrange(2001), 3000 + k, rnd.randrange(2000)) for k in range(40)] + [(*rnd.sample(range(2001), 2), 2500 + k) for k in range(20)]
+    rows = [(f"e{i:05d}", f"n{a:04d}", f"n{b:04d}", view(a), view(b), q) for i, (a, b, q) in enumerate(pairs)]
+    rounds = []
+    real = G.is_empty
+    monkeypatch.setattr(G, "is_empty", lambda df: rounds.append("_clash" in df.columns or "_k" in df.columns) or real(df))
+    df = spark.createDataFrame(rows, "record_id string, u string, v string, view_u string, view_v string, q int")
+    got = {r["record_id"]: r["accepted"] for r in G.reconcile(df, [], [F.col("q")]).collect()}
+    want = _greedy(rows)
+    assert got == want and False in want.values()
+    assert 2 < sum(rounds) < 20
+
+
+@pytest.mark.parametrize("tol, rows", [(0.6, 50_000), (1.7, 50_000), (0.6, 25), (1.7, 25)])
+def test_leader_clusters_equal_scan(spark, monkeypatch, tol, rows):
+    """With 25 points a slice every view is one dense patch cut into several slices."""
+    monkeypatch.setattr(G, "SLICE_ROWS", rows)
     rnd = random.Random(7)
     pts = [("ab"[rnd.randrange(2)], rnd.randrange(120) / 8, rnd.randrange(80) / 8) for _ in range(400)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id int, view_id string, row double, col double")
