@@ -235,3 +235,9 @@ def test_cycle_closures_equal_composed_paths(spark, seed):
     for q, e, u, v, dx, dy in usable:
         want = (dx - (place[v][1] - place[u][1]), dy - (place[v][2] - place[u][2]))
         assert got[e][0] == (e in tree) and got[e][1:] == pytest.approx(want, abs=1e-9)
+
+
+def test_empty_tables(spark):
+    edges = spark.createDataFrame([], "record_id string, u string, v string, view_u string, view_v string, q int")
+    assert G.reconcile(edges, [], [F.col("q")]).count() == 0
+    assert G.cluster_endpoints(spark.createDataFrame([], "id int, view_id string, row double, col double"), 0.5).count() == 0
