@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raytable.functions.geometry import Plane, intersect_plane
 from raytable.functions.scalars import pair_id
 from raytable.functions.vec import Vec, acos_degrees
-from raytable.runtime import is_empty, materialize
+from raytable.runtime import is_empty, materialize, stored
 
 from .graph import spanning_forest
 from .ordered import rank_rows
 
-CHORD_BATCH = 4096
-
 
 def footprints(corner_rays: DataFrame, plane: Plane, view: str = "view_id") -> DataFrame:
     """Bounding box of each view's corner rays on a plane; at least three hits and a non-empty box, else unavailable."""
@@ -110,80 +108,64 @@ def pair_graph(candidates: DataFrame, view_count: int, policy: str = "balanced",
             .withColumn("rejection_reason", F.when(chosen, "").when(F.col("plausible"), left_over).otherwise(F.col("rejection_reason"))))
 
 
-def select_chords(candidates: DataFrame, selected: DataFrame, view_count: int, wanted: int) -> DataFrame:
-    """Best-scoring chords one after another, scores refreshed after every choice.
+def _spread(d: DataFrame) -> DataFrame:
+    """Candidates with their base score and what their score depends on: two uses of each view and cross-pass pair, one of a separation."""
+    passes = F.concat_ws("|", F.least("pass_id_a", "pass_id_b"), F.greatest("pass_id_a", "pass_id_b"))
+    use = lambda tag, c, room: F.struct(F.concat(F.lit(tag), c.cast("string")).alias("use"), F.lit(room).alias("room"))
+    plain = [use("v", F.col("view_a"), 2), use("v", F.col("view_b"), 2), use("s", F.col("separation"), 1)]
+    uses = F.when(~F.col("same_pass"), F.array(*plain, use("p", passes, 2))).otherwise(F.array(*plain))
+    return d.withColumn("_uses", F.filter(uses, lambda u: u["use"].isNotNull()))
 
-    A choice only ever lowers other scores (node degrees and pass pairs fill up, separations repeat). So the choices
-    within the best ``CHORD_BATCH`` rows are final while they stay at or above the best row outside the batch; one
-    bounded batch is replayed per round instead of one Spark job per chord.
+
+def select_chords(candidates: DataFrame, selected: DataFrame, view_count: int, wanted: int) -> DataFrame:
+    """Best-scoring chords one after another, scores refreshed after every choice; equal to the sequential choice.
+
+    A score depends on earlier choices only through the uses left of its views, its pass pair and its separation, and it
+    can only fall. So the sequence runs down the final scores, ties by pair id, and a candidate's score is final as soon
+    as, at each of these, fewer open candidates stand before it than uses are left. A round settles all such candidates at
+    once; candidates whose uses are all spent settle at once however many they are. Rounds end when as many as
+    wanted are settled above everything open; candidates that fell below that many are dropped from later rounds.
+    Only counts and one bound reach the driver. A NULL score comes last.
     """
-    spark = candidates.sparkSession
-    cols = "pair_id string, view_a string, view_b string, separation long, same_pass boolean, passes string, quality double"
-    passes = F.concat_ws("|", F.least("pass_id_a", "pass_id_b"), F.greatest("pass_id_a", "pass_id_b"))
-    shape = lambda d: d.select("pair_id", "view_a", "view_b", F.col("separation").cast("long").alias("separation"), "same_pass", passes.alias("passes"), "quality")
-    pool = materialize(shape(candidates).join(selected.select("pair_id"), "pair_id", "left_anti"))
-    chosen = materialize(shape(selected))
-    result = spark.createDataFrame([], cols)
+    pool = _spread(candidates.join(selected.select("pair_id"), "pair_id", "left_anti").withColumn("separation", F.col("separation").cast("long")))
+    base = F.col("quality") + 0.10 * F.least(F.lit(1.0), F.col("separation") / max(1, view_count - 1))
+    pool = stored(pool.select("pair_id", "view_a", "view_b", "separation", "same_pass", "quality", base.alias("_base"), "_uses"))
+    spent = _spread(selected).select(F.explode("_uses.use").alias("use")).groupBy("use").agg(F.count(F.lit(1)).alias("_n"))
+    spent, live = stored(spent), pool.select("pair_id", "_base", "_uses")
+    done = live.sparkSession.createDataFrame([], f"pair_id {pool.schema['pair_id'].dataType.simpleString()}, _score double")
+    first = Window.partitionBy("use").orderBy(F.desc("_score"), "pair_id")
     while wanted > 0:
-        deg = chosen.select(F.explode(F.array("view_a", "view_b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
-        sep = chosen.select("separation").distinct().withColumn("rep", F.lit(True))
-        pp = chosen.groupBy("passes").agg(F.count(F.lit(1)).alias("pc"))
-        s = pool
-        for side in "ab":
-            s = s.join(deg.select(F.col("n").alias(f"view_{side}"), F.col("d").alias(f"d{side}")), f"view_{side}", "left")
-        s = s.join(sep, "separation", "left").join(pp, "passes", "left").fillna({"da": 0, "db": 0, "pc": 0, "rep": False})
-        score = (F.col("quality") + 0.10 * F.least(F.lit(1.0), F.col("separation") / max(1, view_count - 1))
-                 + 0.08 * ((F.col("da") < 2).cast("int") + (F.col("db") < 2).cast("int"))
-                 + F.when(~F.col("same_pass") & (F.col("pc") < 2), 0.08).otherwise(0.0) - F.when(F.col("rep"), 0.05).otherwise(0.0))
-        batch = s.withColumn("score", score).orderBy(F.desc("score"), "pair_id").limit(CHORD_BATCH + 1).collect()
-        if not batch:
+        e = live.select("*", F.explode("_uses").alias("_u")).join(spent.withColumnRenamed("use", "_use"), F.col("_u.use") == F.col("_use"), "left")
+        left = F.col("_u.room") - F.coalesce("_n", F.lit(0))
+        kind = F.substring("_u.use", 1, 1)
+        s = e.groupBy("pair_id").agg(
+            F.first("_base").alias("_base"), F.first("_uses").alias("_uses"), F.count_if((kind == "v") & (left > 0)).alias("_v"),
+            F.count_if((kind == "p") & (left > 0)).alias("_p"), F.count_if((kind == "s") & (left <= 0)).alias("_s"),
+            F.collect_list(F.when(left > 0, F.struct("_u.use", left.alias("left")))).alias("_left"))  # at most four
+        score = F.col("_base") + 0.08 * F.col("_v") + F.when(F.col("_p") > 0, 0.08).otherwise(0.0) - F.when(F.col("_s") > 0, 0.05).otherwise(0.0)
+        s = s.withColumn("_score", F.coalesce(score, F.lit(float("-inf"))))
+        near = s.select("pair_id", "_score", F.inline("_left")).withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2")
+        near = near.filter(F.col("_rn") <= F.col("left")).groupBy("pair_id").agg(F.count(F.lit(1)).alias("_k"))
+        s = s.join(near, "pair_id", "left").withColumn("_sure", F.size("_left") == F.coalesce("_k", F.lit(0)))
+        s = stored(s.select("pair_id", "_base", "_uses", "_score", "_sure"))
+        sure, live = s.filter("_sure"), s.filter("not _sure")
+        top = live.agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("pair_id").alias("i"))).alias("t")).first()["t"]
+        done = stored(done.unionByName(sure.select("pair_id", "_score")))
+        neg = -F.col("_score")
+        if top is None:
             break
-        names = _replay_chords(batch, view_count, wanted)
-        picked = spark.createDataFrame([(n,) for n in names], "pair_id string")
-        new = materialize(pool.join(picked, "pair_id", "left_semi"))
-        result = result.unionByName(new.select(result.columns))
-        chosen = materialize(chosen.unionByName(new.select(chosen.columns)))
-        pool = materialize(pool.join(picked, "pair_id", "left_anti"))
-        wanted -= len(names)
-    return result
-
-
-def _replay_chords(batch, view_count: int, wanted: int) -> list[str]:
-    """Greedy choices inside one bounded batch, up to the point where a row outside could win."""
-    limit = batch[CHORD_BATCH] if len(batch) > CHORD_BATCH else None
-    rows = list(batch[:CHORD_BATCH])
-    deg, pc, seps = {}, {}, set()
-    for r in rows:
-        deg[r["view_a"]], deg[r["view_b"]], pc[r["passes"]] = r["da"], r["db"], r["pc"]
-        if r["rep"]:
-            seps.add(r["separation"])
-    names: list[str] = []
-
-    def now(r):
-        v = r["quality"] + 0.10 * min(1.0, r["separation"] / max(1, view_count - 1))
-        v += 0.08 * ((deg[r["view_a"]] < 2) + (deg[r["view_b"]] < 2))
-        v += 0.08 if not r["same_pass"] and pc[r["passes"]] < 2 else 0.0
-        return v - (0.05 if r["separation"] in seps else 0.0)
-
-    import heapq
-
-    heap = [(-now(r), r["pair_id"], i) for i, r in enumerate(rows)]
-    heapq.heapify(heap)
-    while heap and len(names) < wanted:
-        neg, pid, i = heapq.heappop(heap)
-        fresh = -now(rows[i])
-        if fresh > neg:  # stale score: put back with its lower value
-            heapq.heappush(heap, (fresh, pid, i))
-            continue
-        if limit is not None and (neg, pid) > (-limit["score"], limit["pair_id"]):
+        ahead = (neg < top["s"]) | ((neg == top["s"]) & (F.col("pair_id") < top["i"]))
+        n = done.agg(F.count(F.lit(1)).alias("n"), F.count_if(ahead).alias("ahead")).first()
+        if n["ahead"] >= wanted:
             break
-        r = rows[i]
-        names.append(pid)
-        deg[r["view_a"]] += 1
-        deg[r["view_b"]] += 1
-        pc[r["passes"]] += 1
-        seps.add(r["separation"])
-    return names
+        if n["n"] >= wanted:
+            cut = done.agg(F.percentile_approx(neg, wanted / n["n"], 10000).alias("c")).first()["c"]
+            if done.filter(neg <= cut).count() >= wanted:  # the bound is approximate, its use is not
+                live, done = live.filter(neg <= cut), done.filter(neg <= cut)
+        spent = stored(spent.unionByName(sure.select(F.explode("_uses.use").alias("use"), F.lit(1).cast("long").alias("_n"))).groupBy("use").agg(F.sum("_n").alias("_n")))
+        live = live.select("pair_id", "_base", "_uses")
+    ranked = rank_rows(done.withColumn("_neg", -F.col("_score")), [], ["_neg", "pair_id"]).filter(F.col("rn") <= wanted)
+    return pool.drop("_base", "_uses").join(ranked.select("pair_id"), "pair_id", "left_semi")
 
 
 def rank_candidates(candidates: DataFrame, weights: dict[str, float], maximum: int | None = None) -> DataFrame:

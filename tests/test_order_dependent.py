@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from raytable.operators import graph as G
 from raytable.operators import ledger as L
+from raytable.operators import matching as D
 from raytable.operators import selection as P
 from raytable.operators import views as V
 
@@ -141,19 +142,9 @@ def test_unique_match_mask_equals_scan(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("batch", [5, 4096])
-def test_chords_equal_step_by_step(spark, monkeypatch, batch):
-    monkeypatch.setattr(V, "CHORD_BATCH", batch)
-    rnd = random.Random(11)
-    cand = []
-    for a in range(14):
-        for b in range(a + 1, 14):
-            if rnd.random() < 0.5:
-                cand.append((f"p{a:02d}-{b:02d}", f"v{a}", f"v{b}", b - a, a % 3 == b % 3, f"k{a % 3}", f"k{b % 3}", rnd.randrange(64) / 64))
-    cols = "pair_id string, view_a string, view_b string, separation int, same_pass boolean, pass_id_a string, pass_id_b string, quality double"
-    chosen, pool = cand[:6], cand[6:]
-    sel, want = list(chosen), []
-    for _ in range(20):
+def chords_one_by_one(chosen, pool, views, wanted):
+    sel, pool, names = list(chosen), list(pool), []
+    for _ in range(min(wanted, len(pool))):
         deg, pp = {}, {}
         for r in sel:
             deg[r[1]], deg[r[2]] = deg.get(r[1], 0) + 1, deg.get(r[2], 0) + 1
@@ -161,16 +152,65 @@ def test_chords_equal_step_by_step(spark, monkeypatch, batch):
             pp[key] = pp.get(key, 0) + 1
 
         def score(r):
-            v = r[7] + 0.10 * min(1, r[3] / 13) + 0.08 * ((deg.get(r[1], 0) < 2) + (deg.get(r[2], 0) < 2))
+            v = r[7] + 0.10 * min(1, r[3] / (views - 1)) + 0.08 * ((deg.get(r[1], 0) < 2) + (deg.get(r[2], 0) < 2))
             v += 0.08 if not r[4] and pp.get("|".join(sorted(r[5:7])), 0) < 2 else 0
             return v - (0.05 if any(s[3] == r[3] for s in sel) else 0)
 
         best = min(pool, key=lambda r: (-round(score(r), 9), r[0]))
         pool.remove(best)
         sel.append(best)
-        want.append(best[0])
-    got = V.select_chords(spark.createDataFrame(cand[6:], cols), spark.createDataFrame(chosen, cols), 14, 20)
-    assert {r["pair_id"] for r in got.collect()} == set(want)
+        names.append(best[0])
+    return names
+
+
+CHORD = "pair_id string, view_a string, view_b string, separation int, same_pass boolean, pass_id_a string, pass_id_b string, quality double"
+
+
+@pytest.mark.parametrize("seed,views,passes,taken,wanted", [(11, 14, 3, 6, 20), (12, 14, 3, 0, 1), (13, 20, 2, 5, 1000), (14, 24, 5, 23, 60)])
+def test_chords_equal_step_by_step(spark, seed, views, passes, taken, wanted):
+    rnd = random.Random(seed)
+    cand = []
+    for a in range(views):
+        for b in range(a + 1, views):
+            if rnd.random() < 0.5:
+                cand.append((f"p{a:02d}-{b:02d}", f"v{a}", f"v{b}", b - a, a % passes == b % passes, f"k{a % passes}", f"k{b % passes}", rnd.random()))
+    rnd.shuffle(cand)
+    chosen, pool = cand[:taken], cand[taken:]
+    got = [r["pair_id"] for r in V.select_chords(spark.createDataFrame(cand, CHORD), spark.createDataFrame(chosen, CHORD), views, wanted).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(chords_one_by_one(chosen, pool, views, wanted))
+
+
+def test_chords_in_few_rounds_whatever_their_number(spark, monkeypatch):
+    """Two thousand candidates of full views settle together; ties go by id and a missing quality comes last."""
+    rows = [(f"p{k:04d}", f"v{k % 40}", f"v{40 + k % 41}", 1 + k % 7, False, "k0", "k1", (k // 100) / 64) for k in range(2000)]
+    rows[5] = (*rows[5][:7], None)
+    writes = []
+    stored = V.stored
+    monkeypatch.setattr(V, "stored", lambda d: writes.append(1) or stored(d))
+    none = spark.createDataFrame([], CHORD)
+    got = {r["pair_id"] for r in V.select_chords(spark.createDataFrame(rows, CHORD), none, 81, 1999).collect()}
+    assert got == {r[0] for r in rows} - {"p0005"} and len(writes) < 200
+    assert V.select_chords(none, none, 2, 5).count() == 0 and V.select_chords(spark.createDataFrame(rows, CHORD), none, 81, 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_matching_with_copies_and_near_ties(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    rnd = random.Random(17)
+    kinds = [[rnd.randrange(3) + 1e4, rnd.randrange(3) - 1e4, float(rnd.randrange(2))] for _ in range(9)]
+    near = [[v[0] + rnd.randrange(5) * 1e-9, *v[1:]] for v in kinds]
+    rows = [(k, k % 2, rnd.choice(kinds + near)) for k in range(160)] + [(200, 0, None), (201, 1, None)]
+    df = spark.createDataFrame(rows, "id int, side int, v array<double>")
+    a, b = ([(i, v) for i, t, v in rows if t == side and v] for side in (0, 1))
+    d2 = lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y))
+    back = {i: min((d2(v, w), j) for j, w in a)[1] for i, v in b}
+    want = set()
+    for i, v in a:
+        (d, j), (e, _) = sorted((d2(v, w), j) for j, w in b)[:2]
+        if math.sqrt(d) <= 0.8 * math.sqrt(e) and back[j] == i:
+            want.add((i, j))
+    got = D.match_descriptors(df.filter("side = 0"), df.filter("side = 1"), [], "id", "v")
+    assert want and {(r["id_a"], r["id_b"]) for r in got.collect()} == want
 
 
 def test_evidence_equals_loop(spark):
