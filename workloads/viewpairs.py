@@ -63,6 +63,20 @@ def _(v):
     return out.filter("role = 'chord'").select("pair_id", "selection_reason")
 
 
+# from the chain of neighbours on, one chord a step: the recursion carries all candidates with the step that took them
+@query("grf_07_chords_beside_chain", "fx_views", sql=f"""
+with recursive {PAIRS}, n as (select count(*) as views from fx_views), cd as (select pair_id, view_a as va, view_b as vb, sep, qa=qb as same, least(qa,qb)||'|'||greatest(qa,qb) as pp, quality from sp),
+st as (select 0 as step, *, sep=1 as taken from cd union all select step+1, pair_id, va, vb, sep, same, pp, quality, taken or rn=1 from (
+ select *, row_number() over (order by taken, round(quality+0.10*least(1,sep/(views-1))+0.08*((dva+dvb<2)::int+(dwa+dwb<2)::int)+case when not same and pc<2 then 0.08 else 0 end-case when rep then 0.05 else 0 end,9) desc, pair_id) as rn from (
+ select st.*, n.views, sum(taken::int) over (partition by va) as dva, coalesce(list_sum(list_transform(tv, lambda x: (x=va)::int)),0) as dvb,
+  sum(taken::int) over (partition by vb) as dwb, coalesce(list_sum(list_transform(tw, lambda x: (x=vb)::int)),0) as dwa, sum(taken::int) over (partition by pp) as pc, bool_or(taken) over (partition by sep) as rep
+ from (select *, list(vb) filter (taken) over () as tv, list(va) filter (taken) over () as tw from st) st cross join n where step<views)))
+select pair_id from st cross join n where step=views and taken and sep<>1""")
+def _(v):
+    p = pairs(v)
+    return V.select_chords(p, p.filter("separation = 1"), v.count(), v.count()).select("pair_id")
+
+
 @query("set_02_schedule_pairs", "fx_views", sql="""
 with p as (select view_id, row_number() over (order by position) as p from fx_views), r as (select p as rp from p where view_id='v7'), o as (select view_id, p, rp, 2*abs(p-rp)+case when p<rp then 0 else 1 end as ord from p cross join r where p<>rp),
 co as (select 0 as part, ord, o.view_id as view_a, q.view_id as view_b from o join p q on q.p=case when o.p<rp then o.p+1 else o.p-1 end), cs as (select 1 as part, ord, view_id as view_a, 'v7' as view_b from o),
