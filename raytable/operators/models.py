@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raytable.runtime import materialize
+from raytable.runtime import is_empty, materialize, stored
 
 from .quantiles import median_mad
 
@@ -140,32 +140,44 @@ def grid_project(points: DataFrame, cells: DataFrame, by: list[str], low: tuple[
     return df.drop(*(q + p for p in "ijk" for q in ("_", "_u", "_f")), *(f"n{a}{b}{c}" for a in (0, 1) for b in (0, 1) for c in (0, 1)))
 
 
-def refine_grid(spark, project, low, high, start=(5, 5, 3), tolerance: float = 0.1, cap: int = 250_000) -> tuple[DataFrame, DataFrame]:
-    """Double the node density until the cell-centre error meets the tolerance or the node cap stops it.
+def refine_grid(models: DataFrame, by: str, project, low, high, start=(5, 5, 3), tolerance: float = 0.1, cap: int = 250_000) -> tuple[DataFrame, DataFrame]:
+    """Double the node density of every model until its cell-centre error meets the tolerance or the node cap stops it.
 
-    ``project`` maps a DataFrame with x, y, z to one with row, col. Returns (nodes, report).
+    ``models`` has one row per model, ``project(points, models)`` adds row and col to points with ``by``, x, y, z. Models that
+    meet the tolerance leave; a round refines all others at once, so there are as many rounds as the cap allows doublings,
+    whatever the number of models. Returns (nodes of every model's last grid, report with one row per model and
+    round). ``state`` is refining, converged or nodeLimit; a model with a centre that projects nowhere stays open until the limit.
     """
-    n, rounds, log = tuple(start), 0, []
+    n, rounds, nodes_out, log = tuple(start), 0, None, None
+    open_models = stored(models)
     while True:
         step = tuple((h - l) / (k - 1) for l, h, k in zip(low, high, n))
-        nodes = materialize(project(_lattice(spark, low, step, n, 0.0)))
-        cells = node_cells(nodes, [], ["row", "col"])
-        centres = _lattice(spark, low, step, tuple(k - 1 for k in n), 0.5)
-        exact = project(centres).withColumnRenamed("row", "_row").withColumnRenamed("col", "_col")
-        seen = grid_project(exact.drop("i", "j", "k"), cells, [], low, step, n, ["row", "col"])
+        last = (2 * n[0] - 1) * (2 * n[1] - 1) * (2 * n[2] - 1) > cap
+        nodes = stored(project(_lattice(open_models.select(by), low, step, n, 0.0), open_models))
+        cells = node_cells(nodes, [by], ["row", "col"])
+        centres = _lattice(open_models.select(by), low, step, tuple(k - 1 for k in n), 0.5)
+        exact = project(centres, open_models).select(by, "x", "y", "z", F.col("row").alias("_row"), F.col("col").alias("_col"))
+        seen = grid_project(exact, cells, [by], low, step, n, ["row", "col"])
         err = F.hypot(F.col("row") - F.col("_row"), F.col("col") - F.col("_col"))
-        e = seen.agg(F.max(err).alias("mx"), F.sqrt(F.avg(err * err)).alias("rms")).first()
-        log.append((rounds, *n, float(e["mx"]), float(e["rms"])))
-        nxt = tuple(2 * k - 1 for k in n)
-        if e["mx"] <= tolerance or nxt[0] * nxt[1] * nxt[2] > cap:
-            return nodes, spark.createDataFrame(log, "round int, ni int, nj int, nk int, max_error double, rms_error double")
-        n, rounds = nxt, rounds + 1
-
-
-def _lattice(spark, low, step, n, offset: float) -> DataFrame:
-    r = spark.range(n[0] * n[1] * n[2])
-    r = r.select((F.col("id") % n[0]).alias("i"), (F.floor(F.col("id") / n[0]) % n[1]).alias("j"), F.floor(F.col("id") / (n[0] * n[1])).alias("k"))
-    return r.select("i", "j", "k", *((F.lit(float(lo)) + (F.col(p) + offset) * float(s)).alias(c) for c, p, lo, s in zip("xyz", "ijk", low, step)))
+        e = seen.groupBy(by).agg(F.max(err).alias("max_error"), F.sqrt(F.avg(err * err)).alias("rms_error"), F.count_if(err.isNull()).alias("_void"))
+        met = (F.col("_void") == 0) & (F.col("max_error") <= tolerance)
+        e = stored(e.select(by, F.lit(rounds).alias("round"), *(F.lit(k).alias(c) for c, k in zip(("ni", "nj", "nk"), n)), "max_error", "rms_error",
+                            F.when(F.coalesce(met, F.lit(False)), "converged").otherwise("nodeLimit" if last else "refining").alias("state")))
+        log = e if log is None else log.unionByName(e)
+        going = e.filter("state = 'refining'").select(by)
+        ended = nodes.join(e.filter("state <> 'refining'").select(by), by, "left_semi")
+        nodes_out = ended if nodes_out is None else nodes_out.unionByName(ended)
+        open_models = stored(open_models.join(going, by, "left_semi"))
+        if last or is_empty(open_models):
+            return nodes_out, log
+        n, rounds = tuple(2 * k - 1 for k in n), rounds + 1
+
+
+def _lattice(keys: DataFrame, low, step, n, offset: float) -> DataFrame:
+    """The same lattice for every key, layer by layer over the tasks."""
+    each = lambda c, k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(c)
+    r = keys.select("*", each("k", n[2])).repartition(*keys.columns, "k").select("*", each("j", n[1])).select("*", each("i", n[0]))
+    return r.select(*keys.columns, "i", "j", "k", *((F.lit(float(lo)) + (F.col(p) + offset) * float(s)).alias(c) for c, p, lo, s in zip("xyz", "ijk", low, step)))
 
 
 # --- fits ------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from raytable.operators import ledger as L
 from raytable.operators import quantiles as Q
 from raytable.operators import selection as P
 from raytable.operators import summaries as M
+from raytable.operators.ordered import rank_rows
 
 from .base import query
 from .geometry import COPLANAR, ends
@@ -405,13 +406,10 @@ def _(m):
 
 
 @query("top_01_quality_order", "fx_matches", sql="""
-select moving_view, record_id from (select *, row_number() over (partition by moving_view order by case when l_returnflag='N' then null else metric end asc nulls last, record_id) as rn from fx_matches) where rn<=20""")
+select moving_view, record_id, row_number() over (partition by moving_view order by case when l_returnflag='N' then null else metric end asc nulls last, record_id) as place from fx_matches""")
 def _(m):
-    from pyspark.sql import Window
-
-    m = m.withColumn("known", F.when(F.col("l_returnflag") != "N", F.col("metric")))
-    w = Window.partitionBy("moving_view").orderBy(*P.quality_order("known", "record_id"))
-    return m.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("moving_view", "record_id")
+    m = m.withColumn("known", F.when(F.col("l_returnflag") != "N", F.col("metric"))).withColumn("last", F.col("known").isNull())
+    return rank_rows(m, ["moving_view"], ["last", "known", "record_id"], "place").select("moving_view", "record_id", "place")
 
 
 @query("top_04_split_budget", "fx_matches", sql="""
@@ -429,18 +427,23 @@ def _(m):
     return P.worst(with_residuals(m), "before", "record_id", 50).select("record_id", "before")
 
 
-@query("grf_09_unique_match_mask", "fx_matches")
+# row by row in each pair, the features used so far as one bit each
+@query("grf_09_unique_match_mask", "fx_matches", sql="""
+with recursive o as (select moving_view as mv, reference_view as rv, record_id, cast(moving_feature as int) as mf, cast(reference_feature as int) as rf, row_number() over (partition by moving_view, reference_view order by metric, record_id) as rn from fx_matches),
+r as (select distinct mv, rv, 0::bigint as rn, bitstring('0',997) as ua, bitstring('0',997) as ub, '' as record_id, false as kept from o
+ union all select mv, rv, rn, case when k then set_bit(ua,mf,1) else ua end, case when k then set_bit(ub,rf,1) else ub end, record_id, k from (
+ select o.*, r.ua, r.ub, get_bit(r.ua,o.mf)=0 and get_bit(r.ub,o.rf)=0 as k from r join o on o.mv=r.mv and o.rv=r.rv and o.rn=r.rn+1))
+select record_id, kept from r where rn>0""")
 def _(m):
     out = L.unique_match_mask(m, PAIR, "moving_feature", "reference_feature", ["metric", "record_id"])
     return out.select("record_id", F.col("_mask").alias("kept"))
 
 
+# every record a left feature of its own
 @query("grf_09_unique_one_sided", "fx_matches", sql="""
-with o as (select *, row_number() over (partition by moving_view, reference_view, moving_feature order by record_id)=1 as f from fx_matches), u as (select * from o where f)
-select record_id, row_number() over (partition by moving_view, reference_view, reference_feature order by metric, record_id)=1 as kept from u""")
+select record_id, row_number() over (partition by moving_view, reference_view, reference_feature order by metric, record_id)=1 as kept from fx_matches""")
 def _(m):
-    u = m.groupBy(*PAIR, "moving_feature").agg(F.min_by(F.struct("reference_feature", "metric", "record_id"), "record_id").alias("s")).select(*PAIR, "moving_feature", "s.*")
-    out = L.unique_match_mask_one_sided(u, PAIR, "reference_feature", ["metric", "record_id"])
+    out = L.unique_match_mask_one_sided(m, PAIR, "reference_feature", ["metric", "record_id"])
     return out.select("record_id", F.col("_mask").alias("kept"))
 
 

@@ -112,11 +112,17 @@ def _(s):
     return a.withColumn("rms", r6(F.col("rms"))).withColumn("max_error", r6(F.col("max_error")))
 
 
-@query("slv_09_fit_rational", "fx_samples", sql="select model_id, true as within_tolerance, true as safe_denominator from fx_samples group by model_id")
+# the fit takes noise-free rows of the planted models, so its own values at the samples have the planted mean and extremes
+@query("slv_09_fit_rational", "fx_samples", sql=f"""
+with {PROJ} select model_id, round(min(rw),4)+0.0 as low, round(avg(rw),4)+0.0 as mean, round(max(rw),4)+0.0 as high, true as within_tolerance, true as safe_denominator from pj group by model_id""")
 def _(s):
     p = M.rational_project(s, model_table(s)).withColumn("target", F.col("row"))
-    f = M.fit_rational(p, "model_id", "target", robust_passes=1)
-    return f.select("model_id", (F.col("max_error") < 1e-4).alias("within_tolerance"), (F.col("min_denominator") > 0.5).alias("safe_denominator"))
+    f = M.fit_rational(p, "model_id", "target")
+    one = F.array(F.lit(1.0), *(F.lit(0.0) for _ in range(19)))
+    fit = f.select("model_id", "max_error", "min_denominator", F.col("a").alias("rn"), F.col("b").alias("rd"), one.alias("cn"), one.alias("cd"))
+    fit = fit.withColumns({c: M.reorder_coeffs(F.col(c)) for c in ("rn", "rd")})
+    v = M.rational_project(s, fit.drop("max_error", "min_denominator")).groupBy("model_id").agg(*((F.round(g("row"), 4) + F.lit(0.0)).alias(n) for n, g in (("low", F.min), ("mean", F.avg), ("high", F.max))))
+    return v.join(fit, "model_id").select("model_id", "low", "mean", "high", (F.col("max_error") < 1e-4).alias("within_tolerance"), (F.col("min_denominator") > 0.5).alias("safe_denominator"))
 
 
 @query("slv_10_fit_linear", "fx_samples", sql="""
@@ -194,12 +200,39 @@ def _(s):
     return out.select("record_id", (F.round(F.col("x") * 32, 2) + F.lit(0.0)).alias("x"), (F.round(F.col("y") * 32, 2) + F.lit(0.0)).alias("y"), "converged")
 
 
-@query("slv_14_refine_grid", "fx_samples")
+def _at(d):
+    """Row and col of a lattice point moved by d half cells."""
+    x, y, z = (f"({c}+{d[i]}*h{c})" for i, c in enumerate("xyz"))
+    r = [f"({_poly_sql(p, x, y, z)})" for p in range(4)]
+    return f"{r[0]}/{r[1]}", f"{r[2]}/{r[3]}"
+
+
+CORNERS = [_at((a, b, c)) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)]
+
+# lattice centres of all five densities under the node limit against the mean of their cell's corners
+REFINE = f"""
+with lv as (select unnest(range(5)) as round), g as (select round, 4*2**round as nx, 2*2**round as nz from lv), m as (select distinct model_id from fx_samples),
+ct as (select model_id, round, 1.0::double/nx as hx, 1.0::double/nx as hy, 1.0::double/nz as hz, nx, nz from g cross join m),
+pt as (select *, -1+(2*i+1)*hx as x, -1+(2*j+1)*hy as y, -1+(2*k+1)*hz as z from (select *, unnest(range(nx::bigint)) as i from (select *, unnest(range(nx::bigint)) as j from (select *, unnest(range(nz::bigint)) as k from ct)))),
+er as (select model_id, round, nx, nz, max(sqrt(pow(({'+'.join(c[0] for c in CORNERS)})/8-{_at((0, 0, 0))[0]},2)+pow(({'+'.join(c[1] for c in CORNERS)})/8-{_at((0, 0, 0))[1]},2))) as e from pt group by all),
+st as (select *, coalesce(min(e) over (partition by model_id order by round rows between unbounded preceding and 1 preceding), 1) as before from er)"""
+REPORT = """
+select model_id, cast(round as int) as round, cast(nx+1 as int) as ni, cast(nx+1 as int) as nj, cast(nz+1 as int) as nk, round(e,9) as max_error,
+ case when e<=1e-4 then 'converged' when round=4 then 'nodeLimit' else 'refining' end as state from st where before>1e-4"""
+
+
+def refined(s):
+    return M.refine_grid(model_table(s), "model_id", M.rational_project, (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), (5, 5, 3), 1e-4)
+
+
+@query("slv_14_refine_grid", "fx_samples", sql=REFINE + REPORT)
+def _(s):
+    return refined(s)[1].select("model_id", "round", "ni", "nj", "nk", F.round("max_error", 9).alias("max_error"), "state")
+
+
+@query("slv_14_grid_nodes", "fx_samples", sql=REFINE + "\nselect model_id, cast(max((nx+1)*(nx+1)*(nz+1)) as bigint) as nodes from st where before>1e-4 group by 1")
 def _(s):
-    m = model_table(s).agg(*(F.max_by(p, "model_id").alias(p) for p in POLYS)).withColumn("model_id", F.lit(0))
-    project = lambda df: M.rational_project(df.withColumn("model_id", F.lit(0)), m).drop("model_id")
-    _, report = M.refine_grid(s.sparkSession, project, (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), (5, 5, 3), 1e-4, 20000)
-    return report.select("round", "ni", "nj", "nk", F.round("max_error", 9).alias("max_error"))
+    return refined(s)[0].groupBy("model_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("snk_02_fixed_width", "fx_samples", sql="""

@@ -183,15 +183,12 @@ dt as (select *, a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d) as det from nm)"""
 
 
 @query("slv_01_intersect_rays", "fx_rays", sql=f"""
-with {ISECT}, vs as (select track, count(distinct ox||'/'||oy) as origins from fx_rays group by track)
-select track, n as ray_count, round((r1*(d*f-e*e)-b*(r2*f-e*r3)+c*(r2*e-d*r3))/det,4)+0.0 as x, round((a*(r2*f-e*r3)-r1*(b*f-e*c)+c*(b*r3-r2*c))/det,4)+0.0 as y,
- round((a*(d*r3-r2*e)-b*(b*r3-r2*c)+r1*(b*e-d*c))/det,4)+0.0 as z from dt join vs using (track) where origins>1""")
+with {ISECT}, vs as (select track, count(distinct dx||'/'||dy||'/'||dz)>1 as ok from fx_rays group by track)
+select track, n as ray_count, case when ok then round((r1*(d*f-e*e)-b*(r2*f-e*r3)+c*(r2*e-d*r3))/det,4)+0.0 end as x, case when ok then round((a*(r2*f-e*r3)-r1*(b*f-e*c)+c*(b*r3-r2*c))/det,4)+0.0 end as y,
+ case when ok then round((a*(d*r3-r2*e)-b*(b*r3-r2*c)+r1*(b*e-d*c))/det,4)+0.0 end as z from dt join vs using (track)""")
 def _(r):
-    w = P.base_weights(r, ["track"])
-    out = P.intersect_rays(w, ["track"], F.col("base_weight"))
-    o = r.groupBy("track").agg(F.count_distinct(F.struct("ox", "oy")).alias("origins")).filter("origins > 1")
-    four = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
-    return out.join(o, "track").select("track", "ray_count", four("x"), four("y"), four("z"))
+    out = P.intersect_rays(P.base_weights(r, ["track"]), ["track"], F.col("base_weight"))
+    return out.select("track", "ray_count", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in "xyz"))
 
 
 @query("slv_02_reconstruct_points", "fx_rays")
