@@ -153,11 +153,8 @@ def refine_grid(models: DataFrame, by: str, project, low, high, start=(5, 5, 3),
     while True:
         step = tuple((h - l) / (k - 1) for l, h, k in zip(low, high, n))
         last = (2 * n[0] - 1) * (2 * n[1] - 1) * (2 * n[2] - 1) > cap
-        nodes = stored(project(_lattice(open_models.select(by), low, step, n, 0.0), open_models))
-        cells = node_cells(nodes, [by], ["row", "col"])
-        centres = _lattice(open_models.select(by), low, step, tuple(k - 1 for k in n), 0.5)
-        exact = project(centres, open_models).select(by, "x", "y", "z", F.col("row").alias("_row"), F.col("col").alias("_col"))
-        seen = grid_project(exact, cells, [by], low, step, n, ["row", "col"])
+        nodes = stored(project(_lattice(open_models.select(by), low, step, n), open_models))
+        seen = project(_centre_means(nodes, by, low, step, n), open_models)
         err = F.hypot(F.col("row") - F.col("_row"), F.col("col") - F.col("_col"))
         e = seen.groupBy(by).agg(F.max(err).alias("max_error"), F.sqrt(F.avg(err * err)).alias("rms_error"), F.count_if(err.isNull()).alias("_void"))
         met = (F.col("_void") == 0) & (F.col("max_error") <= tolerance)
@@ -173,11 +170,30 @@ def refine_grid(models: DataFrame, by: str, project, low, high, start=(5, 5, 3),
         n, rounds = tuple(2 * k - 1 for k in n), rounds + 1
 
 
-def _lattice(keys: DataFrame, low, step, n, offset: float) -> DataFrame:
-    """The same lattice for every key, layer by layer over the tasks."""
+def _centre_means(nodes: DataFrame, by: str, low, step, n) -> DataFrame:
+    """Every cell centre with the mean of its eight corners. Lines along i move as arrays, whose length the node limit bounds,
+    and only four of them meet in a line of cells."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("i", "row", "col"))), lambda v: F.struct(v["row"].alias("row"), v["col"].alias("col")))
+    pair = lambda i, c: F.get("_v", i)[c] + F.get("_v", i + 1)[c]
+    lines = nodes.groupBy(by, "k", "j").agg(line.alias("_v")).select(
+        by, "k", "j", F.transform(F.sequence(F.lit(0), F.lit(n[0] - 2)), lambda i: F.struct(*(pair(i, c).alias(c) for c in ("row", "col")))).alias("_p"))
+    to = F.array(*(F.struct((F.col("k") - a).alias("k"), (F.col("j") - b).alias("j")) for a in (0, 1) for b in (0, 1)))
+    cells = lines.select(by, "_p", F.explode(to).alias("_c")).filter((F.col("_c.k").between(0, n[2] - 2)) & F.col("_c.j").between(0, n[1] - 2))
+    cells = cells.groupBy(by, F.col("_c.k").alias("k"), F.col("_c.j").alias("j")).agg(F.collect_list("_p").alias("_q"))
+    mean = lambda i, c: sum((F.get(F.get("_q", F.lit(q)), i)[c] for q in range(4)), F.lit(0.0)) / 8
+    means = F.transform(F.sequence(F.lit(0), F.lit(n[0] - 2)), lambda i: F.struct(mean(i, "row").alias("row"), mean(i, "col").alias("col")))
+    # the array of means, not the four lines, is taken apart, so no cell carries its lines along
+    cells = cells.select(by, "k", "j", means.alias("_m")).select(by, "k", "j", F.posexplode("_m").alias("i", "_s"))
+    at = [(F.lit(float(lo)) + (F.col(p) + 0.5) * float(s)).alias(c) for c, p, lo, s in zip("xyz", "ijk", low, step)]
+    return cells.select(by, *at, F.col("_s.row").alias("_row"), F.col("_s.col").alias("_col"))
+
+
+def _lattice(keys: DataFrame, low, step, n) -> DataFrame:
+    """The same lattice for every key, layer by layer over the tasks; a stated number of them, as the few layers would be merged into one."""
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = lambda c, k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias(c)
-    r = keys.select("*", each("k", n[2])).repartition(*keys.columns, "k").select("*", each("j", n[1])).select("*", each("i", n[0]))
-    return r.select(*keys.columns, "i", "j", "k", *((F.lit(float(lo)) + (F.col(p) + offset) * float(s)).alias(c) for c, p, lo, s in zip("xyz", "ijk", low, step)))
+    r = keys.select("*", each("k", n[2])).repartition(tasks, *keys.columns, "k").select("*", each("j", n[1])).select("*", each("i", n[0]))
+    return r.select(*keys.columns, "i", "j", "k", *((F.lit(float(lo)) + F.col(p) * float(s)).alias(c) for c, p, lo, s in zip("xyz", "ijk", low, step)))
 
 
 # --- fits ------------------------------------------------------------------------------------------------

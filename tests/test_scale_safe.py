@@ -145,3 +145,22 @@ def test_schemas_fail_closed(spark):
         T.conform(good.drop("point_id"), schemas.POINTS)
     with pytest.raises(Exception, match="more than once"):
         T.conform(good.unionByName(good), schemas.POINTS, "point_id").collect()
+
+
+def test_grid_refinement_per_model(spark):
+    """Straight, bent and unknown models: each ends on its own, with its own nodes and state."""
+    from raytable.operators import models
+
+    m = spark.createDataFrame([("flat", 0.0), ("half", 0.5), ("full", 1.0), ("void", None)], "model string, a double")
+    bend = lambda p, t: p.join(t, "model").withColumn("row", F.col("a") * F.col("x") * F.col("x")).withColumn("col", F.lit(0.0)).drop("a")
+    nodes, log = models.refine_grid(m, "model", bend, (-1.0,) * 3, (1.0,) * 3, (3, 3, 3), 0.01, 800)
+    got = {(r["model"], r["round"]): (r["ni"], r["max_error"], r["state"]) for r in log.collect()}
+    want = {("flat", 0): (3, 0.0, "converged")}
+    for name, a in (("half", 0.5), ("full", 1.0), ("void", None)):
+        for k in range(3):
+            error = None if a is None else a / 4 ** (k + 1)
+            want[name, k] = (2 ** (k + 1) + 1, error, "refining" if k < 2 else "converged" if name == "half" else "nodeLimit")
+    assert got == want
+    assert {r["model"]: r["count"] for r in nodes.groupBy("model").count().collect()} == {"flat": 27, "half": 729, "full": 729, "void": 729}
+    none, log = models.refine_grid(m.limit(0), "model", bend, (-1.0,) * 3, (1.0,) * 3, (3, 3, 3), 0.01, 800)
+    assert none.count() == 0 and log.count() == 0
