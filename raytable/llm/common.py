@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,20 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What operators keep between the tasks of a Python worker and can build again.
+WORKER_MEMOS: list[dict] = []
+
+
+def release_memory() -> None:
+    """A reused Python worker gives back what tasks of earlier stages left: memos, and pages that allocators keep."""
+    for memo in WORKER_MEMOS:
+        memo.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns every operator reads; other columns, whatever their names, take no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

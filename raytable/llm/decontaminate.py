@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, prepare, text_chunks, utf8
+from .common import WORKER_MEMOS, once, prepare, text_chunks, utf8
 
 WINDOW = 13
 HEAD = 2048  # end positions scanned by one head
@@ -131,6 +131,7 @@ class Searcher:
 
 
 _searchers: dict[int, Searcher] = {}
+WORKER_MEMOS.append(_searchers)
 
 
 def _searcher(block, window: int) -> Searcher:
