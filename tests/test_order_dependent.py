@@ -281,3 +281,34 @@ def test_empty_tables(spark):
     edges = spark.createDataFrame([], "record_id string, u string, v string, view_u string, view_v string, q int")
     assert G.reconcile(edges, [], [F.col("q")]).count() == 0
     assert G.cluster_endpoints(spark.createDataFrame([], "id int, view_id string, row double, col double"), 0.5).count() == 0
+
+
+def shuffle_files(spark) -> int:
+    from pathlib import Path
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(f.is_file() for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data"))
+
+
+def test_components_leave_no_shuffle_files_and_find_the_smallest_node(spark):
+    import time
+
+    from raytable.runtime import tune
+
+    rnd, sets = random.Random(4), Sets()
+    rows = [(f"n{rnd.randrange(400):03d}", f"n{rnd.randrange(400):03d}") for _ in range(260)]
+    rows += [(f"a{k:03d}", f"a{k + 1:03d}") for k in range(99)] + [(f"b{99 - k:02d}", f"b{98 - k:02d}") for k in range(60)]  # chains in both orders
+    rows += [("z", f"s{k:02d}") for k in range(50)] + [("lone", "lone"), ("a005", "a004")]  # a hub with the largest name, a loop, a repeat
+    for a, b in rows:
+        sets.join(a, b)
+    tune(spark)
+    time.sleep(1)  # files go in the background
+    before = shuffle_files(spark)
+    got = {r["node"]: r["component"] for r in G.components(spark.createDataFrame(rows, "u string, v string")).collect()}
+    assert got == {n: sets.find(n) for n in list(sets.p)}
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert G.components(spark.createDataFrame([], "u string, v string")).count() == 0
