@@ -12,6 +12,7 @@ Cutting and finding distinct pieces is Arrow's work, putting ids together numpy'
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -21,13 +22,16 @@ import pyarrow.compute as pc
 
 from .common import text_chunks
 
-PIECES = 100_000  # that a worker remembers; memory stays bounded
+PIECES = 250_000  # that a worker remembers; memory stays bounded
 CUT = "\x01"
-PART_BYTES = 1 << 20  # text put together at once
+PART_BYTES = 4 << 20  # text put together at once
 _SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _ODD = f"^$|^{_SPACE}|{_SPACE} | {_SPACE}| $|{CUT}"
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 _CUTS = [(f"({_LETTER})({_MARK})", rf"\1{CUT}\2"), (f"({_MARK})\n({_LETTER})", f"\\1{CUT}\n{CUT}\\2"), (f"({_MARK})({_LETTER})", rf"\1{CUT}\2")]
+# pieces of letters alone: the library neither splits nor changes them, so many go to it in one text and their ids are told apart by a mark
+_WORD = {False: re.compile("[a-zß-öø-ÿ]+"), True: re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")}
+RUN = 512  # such pieces that make one text
 _workers: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -57,6 +61,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.memo = spaced, Memo(PIECES)
+        names = self.tokenizer.get_vocab()
+        self.border = np.zeros(max(names.values(), default=0) + 1, bool)  # ids that begin a spaced word, else those that end a word
+        self.border[[i for n, i in names.items() if (n.startswith("Ġ") if spaced else n.endswith("</w>"))]] = True
 
     def ids(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, borders of rows) for parts of a string column; null is empty and ``end`` closes every row."""
@@ -92,8 +99,35 @@ class Encoder:
         return ids, np.concatenate([[0], total[first[1:] + np.arange(len(first) - 1)]])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        words = [k for k, t in enumerate(texts) if _WORD[self.spaced].fullmatch(t)]
+        out = [b""] * len(texts)
+        for a in range(0, len(words), 64 * RUN):
+            some = words[a: a + 64 * RUN]
+            values = self._words([texts[k] for k in some])
+            if values is None:  # a vocabulary without such marks
+                values = self._each([texts[k] for k in some])
+            for k, v in zip(some, values, strict=True):
+                out[k] = v
+        rest = np.setdiff1d(np.arange(len(texts)), np.array(words, np.int64)).tolist()
+        for k, v in zip(rest, self._each([texts[k] for k in rest]), strict=True):
+            out[k] = v
+        return out
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words that stand in few long texts, or None where not every word has its own mark."""
+        texts = [("" if self.spaced else " ").join(words[k: k + RUN]) for k in range(0, len(words), RUN)]
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        at = np.flatnonzero(self.border[ids])
+        if len(at) != len(words) or (len(ids) and not self.border[ids[0 if self.spaced else -1]]):
+            return None
+        borders = (4 * (np.append(at, len(ids)) if self.spaced else np.append(0, at + 1))).tolist()
+        data = ids.tobytes()
+        return [data[x:y] for x, y in zip(borders, borders[1:])]
+
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder: Python workers are reused by later tasks, and so is its memo."""
