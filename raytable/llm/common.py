@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +78,18 @@ class Numbering(dict):
         return n
 
 
-def numbered(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all rows in one array, and the row borders (length rows + 1)."""
+def named(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all rows in one array, the row borders (length rows + 1), and the distinct words in the order of their numbers."""
     number = Numbering()
     borders = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) for r in rows], out=borders[1:])
-    flat = np.fromiter((number[w] for r in rows for w in r), np.int64, int(borders[-1]))
-    return flat, borders
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, int(borders[-1]))
+    return flat, borders, list(number)
+
+
+def numbered(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all rows in one array, and the row borders (length rows + 1)."""
+    return named(rows)[:2]
 
 
 def pair_names(first: np.ndarray, second: np.ndarray) -> np.ndarray:

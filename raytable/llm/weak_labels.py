@@ -19,6 +19,7 @@ one by one; other columns take no part. Labels that are null, or of documents th
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, numbered, once, prepare, text_chunks, utf8
+from .common import id_text, named, once, prepare, text_chunks, utf8
 
 SAMPLE_DOCS = 4000
 LABEL_DOCS = 4000
@@ -41,6 +42,8 @@ SEEN = 4  # buckets seen in fewer sample documents have no weight
 ROUNDS, EM_ROUNDS = 200, 200
 
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_CLASSES = bytes(97 if 97 <= b <= 122 or b >= 0x80 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 35 if b in b"#*$%&|<>" else 46 for b in range(256))
+_SAME = re.compile(rb"(.)\1+", re.DOTALL)
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _EDGES = _EDGE.decode() + "¡¿«»‹›„“”‚‘’…–—"
 # Everyday English insults, in three overlapping lists.
@@ -49,18 +52,15 @@ INSULTS = [
     set(b"trash garbage scum filth worthless loser clown pathetic".split()),
     set(b"disgusting pathetic stupid worthless moron vile hateful scum idiot trash".split()),
 ]
+_INSULT = set().union(*INSULTS)
 QUALITY = ["symbols", "marks", "capitals", "same_word", "few_distinct", "same_lines", "too_short", "odd_words"]
 TOXIC = ["insult_1", "insult_2", "insult_3", "insults", "learnt_share", "learnt_words"]
 
 
 def _shape(word: bytes) -> bytes:
     """Run-compressed classes of characters: a letter, A capital, 0 digit, # symbol, . other mark."""
-    out = bytearray()
-    for b in word:
-        c = 97 if 97 <= b <= 122 or b >= 0x80 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 35 if b in b"#*$%&|<>" else 46
-        if not out or out[-1] != c:
-            out.append(c)
-    return bytes(out[:8])
+    classes = word.translate(_CLASSES)
+    return _SAME.sub(rb"\1", classes)[:8] if classes.strip(b"a") else classes[:1]
 
 
 class Batch:
@@ -68,10 +68,10 @@ class Batch:
 
     def __init__(self, texts: list[bytes]):
         rows = [t.split() for t in texts]
-        self.flat, borders = numbered(rows)
+        self.flat, borders, self.distinct = named(rows)
         self.n = np.diff(borders)
         self.row = np.repeat(np.arange(len(texts)), self.n)
-        self.distinct: list[bytes] = list(dict.fromkeys(w for r in rows for w in r))  # in the order of their numbers
+        self.shape, _, self.shapes = named([list(map(_shape, self.distinct))])  # number per distinct word, and the few shapes
         self.bare = [w.translate(_UPPER).strip(_EDGE) if w.isascii() else w.decode("utf-8", "replace").lower().strip(_EDGES).encode() for w in self.distinct]
 
     def rate(self, per_word: np.ndarray) -> np.ndarray:
@@ -148,8 +148,7 @@ def learn(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray) -> Lexicon:
 def votes(texts: list[bytes], lexicon: Lexicon = Lexicon()) -> tuple[np.ndarray, np.ndarray]:
     """Vote patterns as bit masks: (quality, toxic)."""
     b = Batch(texts)
-    shapes = [_shape(w) for w in b.distinct]
-    array = lambda f: np.fromiter(map(f, shapes), float, len(shapes))
+    array = lambda f: np.fromiter(map(f, b.shapes), float, len(b.shapes))[b.shape]
     length = np.fromiter((len(w) - sum(0x80 <= c < 0xC0 for c in w) if not w.isascii() else len(w) for w in b.distinct), float, len(b.distinct))
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     repeated = np.array([1 - len(set(x)) / len(x) if x else 0.0 for x in lines])
@@ -165,7 +164,10 @@ def votes(texts: list[bytes], lexicon: Lexicon = Lexicon()) -> tuple[np.ndarray,
         (np.abs(b.rate(length) - 6.5) > 2.2) & long_enough,
     ]
     quality = sum(f.astype(np.int64) << k for k, f in enumerate(fires))
-    kinds = [np.fromiter((w in s for w in b.bare), float, len(b.bare)) for s in INSULTS]
+    listed = [k for k, w in enumerate(b.bare) if w in _INSULT]
+    kinds = np.zeros((len(INSULTS), len(b.bare)))
+    for k in listed:
+        kinds[:, k] = [b.bare[k] in s for s in INSULTS]
     any_ = np.maximum.reduce(kinds) if b.bare else np.zeros(0)
     counts = [np.bincount(b.row, k[b.flat], len(b.n)) for k in [*kinds, any_]]
     rude = [c >= (2 if k == 3 else 1) for k, c in enumerate(counts)] + lexicon.fires(b)
@@ -201,7 +203,7 @@ def _buckets(names: list[bytes], kind: int) -> np.ndarray:
 
 def _quality_parts(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, value) of quality features: shares of word shapes, and tenths of distinct and of repeated words."""
-    per_word = _buckets([_shape(w) for w in b.distinct], 1)
+    per_word = _buckets(b.shapes, 1)[b.shape]
     key, count = np.unique(b.row * BUCKETS + per_word[b.flat], return_counts=True) if len(b.flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     row = key // BUCKETS
     tenths = [(10 * np.minimum(b.distinct_share() * np.clip(b.n / 300, 1, 3), 1)).astype(int), (10 * b.same_as_last()).astype(int)]

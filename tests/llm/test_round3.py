@@ -28,3 +28,25 @@ def test_words_go_to_the_tokenizer_in_runs(name, spaced):
     encoder.border[:] = False  # a vocabulary without marks
     assert encoder._encode(texts) == want
     assert encoder._encode([]) == []
+
+
+def test_word_features_are_made_once_per_shape(monkeypatch):
+    from raytable.llm import weak_labels
+
+    def plain(word):  # character by character
+        out = bytearray()
+        for b in word:
+            c = 97 if 97 <= b <= 122 or b >= 0x80 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 35 if b in b"#*$%&|<>" else 46
+            if not out or out[-1] != c:
+                out.append(c)
+        return bytes(out[:8])
+
+    texts = [b"The THE the #x 12,5 a1b2c3d4e5f6 \xc3\xa9t\xc3\xa9! --- $$$ idiot.", b"", b" ".join(b"word%d" % k for k in range(500)), b"Idiot scum x\x00\x7f (y)"]
+    b = weak_labels.Batch(texts)
+    assert [b.shapes[k] for k in b.shape] == [plain(w) for w in b.distinct] == [weak_labels._shape(w) for w in b.distinct]
+    assert b.distinct == list(dict.fromkeys(w for t in texts for w in t.split()))
+    named = []
+    monkeypatch.setattr(weak_labels, "_buckets", lambda names, kind, make=weak_labels._buckets: named.append((kind, len(names))) or make(names, kind))
+    weak_labels._quality_parts(b)
+    assert (1, len(set(b.shapes))) in named and len(b.shapes) < 20 < len(b.distinct)  # a hash per shape, not per word
+    assert weak_labels.votes(texts)[1].tolist()[0] & 1 and weak_labels.votes(texts)[1].tolist()[3] & 2
