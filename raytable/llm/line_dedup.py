@@ -18,6 +18,8 @@ doc_id sorts first; an empty table gives no rows; other columns pass through unt
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, once, prepare, utf8
-from .sharding import numbered
 
 MIN_WORDS = 50
 LINES = "d long, t long, i int, a long, b long, up int, down int"
@@ -77,9 +78,10 @@ def _lines(least: int):
 
 
 def _ranked(positions: DataFrame, a: str, b: str) -> DataFrame:
-    """Positions whose (a, b) occurs twice or more, with its dense rank as ``rank``."""
+    """Positions whose (a, b) occurs twice or more, with its ``rank``: in the order of pairs, with gaps between range slices."""
     pairs = positions.groupBy(a, b).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(a, b)
-    return positions.join(numbered(pairs, [a, b], "rank"), [a, b]).select("d", "t", "i", "rank").checkpoint(eager=True)
+    ranks = pairs.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id())
+    return positions.join(ranks, [a, b]).select("d", "t", "i", "rank").checkpoint(eager=True)
 
 
 def _levels(lines: DataFrame, least: int) -> list[DataFrame]:
@@ -102,17 +104,18 @@ def later_copies(lines: DataFrame, least: int) -> DataFrame:
     levels = _levels(lines, least)
     starts = lines.filter("up > 0").select("d", "t", "i", F.col("up").alias("size"))
     ends = lines.filter("down > 0").select("d", "t", (F.col("i") - F.col("down") + 1).alias("i"), F.col("down").alias("size"))
-    windows = starts.unionByName(ends)
-    out = None
-    for k, level in enumerate(levels):
-        own = windows.filter((F.col("size") >= 1 << k) & (F.col("size") < 2 << k))
-        head = own.join(level.withColumnRenamed("rank", "head"), ["d", "t", "i"]).withColumn("tail_i", F.col("i") + F.col("size") - (1 << k))
-        named = head.join(level.select("d", "t", F.col("i").alias("tail_i"), F.col("rank").alias("tail")), ["d", "t", "tail_i"]).drop("tail_i").distinct()
-        named = named.checkpoint(eager=True)
-        first = named.groupBy("head", "tail", "size").agg(F.min(F.struct("d", "t", "i")).alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-        copies = named.join(first, ["head", "tail", "size"]).filter(F.struct("d", "t", "i") > F.col("_first")).select("d", "t", "i", "size")
-        out = copies if out is None else out.unionByName(copies)
-    return out.distinct()
+    # all levels at once: a window looks up its halves at the level of its size
+    level = sum(((F.col("size") >= 1 << k).cast("int") for k in range(1, len(levels))), F.lit(0))
+    windows = starts.unionByName(ends).filter(F.col("size") < 2 << (len(levels) - 1)).withColumn("k", level)
+    ranks = reduce(DataFrame.unionByName, [r.withColumn("k", F.lit(k)) for k, r in enumerate(levels)])
+    at = ["k", "d", "t", "i"]
+    head = windows.join(ranks.withColumnRenamed("rank", "head"), at)
+    tails = head.select("k", "d", "t", (F.col("i") + F.col("size") - F.expr("shiftleft(1, k)")).alias("i"), "size", "head", F.col("i").alias("start"))
+    named = tails.join(ranks.withColumnRenamed("rank", "tail"), at).select("k", "d", "t", F.col("start").alias("i"), "size", "head", "tail").distinct()
+    named = named.checkpoint(eager=True)
+    name = ["head", "tail", "size"]  # the size tells the level
+    first = named.groupBy(*name).agg(F.min(F.struct("d", "t", "i")).alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    return named.join(first, name).filter(F.struct("d", "t", "i") > F.col("_first")).select("d", "t", "i", "size")
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:

@@ -50,3 +50,18 @@ def test_word_features_are_made_once_per_shape(monkeypatch):
     weak_labels._quality_parts(b)
     assert (1, len(set(b.shapes))) in named and len(b.shapes) < 20 < len(b.distinct)  # a hash per shape, not per word
     assert weak_labels.votes(texts)[1].tolist()[0] & 1 and weak_labels.votes(texts)[1].tolist()[3] & 2
+
+
+def test_line_dedup_stores_one_table_a_level(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from raytable.llm import line_dedup
+
+    text = "\n".join(f"w{k}" for k in range(70))
+    docs = spark.createDataFrame([(1, text), (2, "x\n" + text), (3, text + "\nx"), (4, "\n".join(f"w{k}" for k in range(20)))], "doc_id long, text string")
+    made = []
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, eager=True, plain=DataFrame.checkpoint: made.append(df.columns) or plain(df, eager))
+    got = {r.doc_id: (r.text, r.n_windows) for r in line_dedup.report(docs, 50).collect()}
+    assert got == {1: (text, 0), 2: ("x", 21), 3: ("x", 21), 4: ("\n".join(f"w{k}" for k in range(20)), 0)}
+    assert sum("rank" in c for c in made) == 6
+    assert len(made) == 6 + 4  # lines, levels, names of all windows, spans, doubled rows; each level took two more
