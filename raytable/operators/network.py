@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raytable.functions.scalars import bspline_basis
@@ -61,6 +61,8 @@ def _fit(kind: str, x, y, u, v):
 
 
 MATRIX = ("a", "b", "tx", "c", "d", "ty")
+#: Scores of hypotheses are compared on this grid.
+SCORE_GRID = 1e-12
 
 
 def _residual() -> Column:
@@ -72,7 +74,7 @@ def _residual() -> Column:
 def _refit(live: DataFrame, by: list[str], kind: str, minimum: int) -> DataFrame:
     """Closed-form refit per key from combined sums; keys with too few inliers are left out."""
     s = live.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *(F.avg(c).alias("_m" + c) for c in ("mx", "my", "rx", "ry")))
-    z = live.join(s, by)
+    z = live.join(stored(s), by)
     dx, dy, du, dv = (F.col(c) - F.col("_m" + c) for c in ("mx", "my", "rx", "ry"))
     g = z.groupBy(*by).agg(F.first("_n").alias("_n"), *(F.first("_m" + c).alias("_m" + c) for c in ("mx", "my", "rx", "ry")),
                            F.sum(dx * dx).alias("xx"), F.sum(dx * dy).alias("xy"), F.sum(dy * dy).alias("yy"), F.sum(dx * du).alias("xu"),
@@ -89,16 +91,33 @@ def _refit(live: DataFrame, by: list[str], kind: str, minimum: int) -> DataFrame
     return g.filter("a is not null and tx is not null").select(*by, *MATRIX)
 
 
+def _contenders(tied: DataFrame, by: list[str]) -> DataFrame:
+    """Hypotheses of the highest count that may still win, and whether counts alone settle their pair (``_settled``).
+
+    A median is zero on the score grid if more than half of the rows are, and is not if fewer than half are: no score is below
+    zero, so exact medians are left for pairs where no median is known to be zero or where just half of the rows are.
+    """
+    zero = lambda z, n: F.col(z) >= F.floor(F.col(n) / 2) + 1
+    above = lambda z, n: ((F.col(n) % 2 == 1) & ~zero(z, n)) | (2 * F.col(z) < F.col(n))
+    every = Window.partitionBy(*by)
+    t = tied.filter("_w > 0").withColumn("_i0", zero("_cz", "_c")).withColumn("_m0", zero("_wz", "_w"))
+    t = t.withColumn("_best_i", F.bool_or("_i0").over(every)).filter(~(F.col("_best_i") & above("_cz", "_c")))
+    t = t.withColumn("_best", F.bool_or(F.col("_i0") & F.col("_m0")).over(every)).filter(~(F.col("_best") & above("_wz", "_w")))
+    known = F.bool_and(F.col("_i0") & F.col("_m0")).over(every) | (F.count(F.lit(1)).over(every) == 1)
+    return materialize(t.withColumn("_settled", known).select(*by, "_h", *MATRIX, "_settled"))
+
+
 def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: str = "similarity", distance: float = 3.0, maximum: int = 512,
                     refits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Deterministic consensus per pair: (models, matches with residual and accepted).
 
     matches: by…, mx, my, rx, ry and the order columns. Hypotheses are fixed by the pair's row count; only the sampled
     rows are gathered. Inliers are counted by a combining aggregate; exact medians are taken only for the
-    hypotheses that share the highest count. Scores within 1e-12 keep the earlier hypothesis.
+    hypotheses that share the highest count and that counts of vanishing residuals do not tell apart.
+    Scores within 1e-12 keep the earlier hypothesis.
     """
     size = 2 if kind == "similarity" else 3
-    m = materialize(rank_rows(matches, by, order, "_rn", total="_n"))
+    m = stored(rank_rows(matches, by, order, "_rn", total="_n"))
     keys = ", ".join(f"`{c}` {m.schema[c].dataType.simpleString()}" for c in by)
 
     def samples(batches):
@@ -125,22 +144,27 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
 
     hyp = materialize(packed.mapInPandas(fits, f"{keys}, _h int, " + ", ".join(f"{c} double" for c in MATRIX)))
     # every row meets its pair's few hypotheses; counts combine before the shuffle
-    counts = m.select(*by, "mx", "my", "rx", "ry").join(hyp, by).groupBy(*by, "_h").agg(F.count_if(_residual() <= distance).alias("_c"))
+    near, small = F.col("_e") <= distance, F.col("_e") / SCORE_GRID < 0.5
+    counts = m.select(*by, "mx", "my", "rx", "ry").join(hyp, by).select(*by, "_h", _residual().alias("_e")).groupBy(*by, "_h").agg(
+        F.count_if(near).alias("_c"), F.count_if(near & small).alias("_cz"), F.count_if(F.col("_e").isNotNull() & ~F.isnan("_e")).alias("_w"), F.count_if(small).alias("_wz"))
     counts = materialize(counts)
     top = counts.groupBy(*by).agg(F.max("_c").alias("_c"))
-    tied = materialize(counts.join(top, by + ["_c"]).join(hyp, by + ["_h"]))
-    res = materialize(m.select(*by, "mx", "my", "rx", "ry").join(tied, by).withColumn("_e", _residual()).select(*by, "_h", "_e"))
-    whole = median(res, by + ["_h"], F.col("_e"), "_med").drop("_n")
-    inl = median(res.filter(F.col("_e") <= distance), by + ["_h"], F.col("_e"), "_inl").drop("_n")
+    tied = _contenders(materialize(counts.join(top, by + ["_c"]).join(hyp, by + ["_h"])), by)
     penalty = F.sqrt(F.pow(F.col("a") - 1, 2) + F.col("b") * F.col("b") + F.col("c") * F.col("c") + F.pow(F.col("d") - 1, 2))
-    grid = lambda c: F.round(F.coalesce(c, F.lit(1e300)) / 1e-12) * 1e-12
-    scored = tied.join(whole, by + ["_h"]).join(inl, by + ["_h"], "left")
-    key = F.struct(grid(F.col("_inl")).alias("i"), grid(F.col("_med")).alias("m"), grid(penalty).alias("p"), "_h")
-    cur = materialize(scored.groupBy(*by).agg(F.min_by(F.struct(*MATRIX), key).alias("w")).select(*by, "w.*"))
+    grid = lambda c: F.round(F.coalesce(c, F.lit(1e300)) / SCORE_GRID) * SCORE_GRID
+    best = lambda t, *first: t.groupBy(*by).agg(F.min_by(F.struct(*MATRIX), F.struct(*first, grid(penalty).alias("p"), "_h")).alias("w")).select(*by, "w.*")
+    cur, rest = best(tied.filter("_settled")), tied.filter("not _settled")
+    if not is_empty(rest):
+        res = materialize(m.select(*by, "mx", "my", "rx", "ry").join(rest, by).withColumn("_e", _residual()).select(*by, "_h", "_e"))
+        whole = median(res, by + ["_h"], F.col("_e"), "_med").drop("_n")
+        inl = median(res.filter(near), by + ["_h"], F.col("_e"), "_inl").drop("_n")
+        scored = rest.join(whole, by + ["_h"]).join(inl, by + ["_h"], "left")
+        cur = cur.unionByName(best(scored, grid(F.col("_inl")).alias("i"), grid(F.col("_med")).alias("m")))
+    cur = stored(cur)
     for _ in range(refits):
         live = m.join(cur, by).filter(_residual() <= distance).select(*by, "mx", "my", "rx", "ry")
         fresh = _refit(live, by, kind, size).select(*by, F.struct(*MATRIX).alias("w"))
-        cur = materialize(cur.select(*by, F.struct(*MATRIX).alias("o")).join(fresh, by, "left").select(*by, F.coalesce("w", "o").alias("w")).select(*by, "w.*"))
+        cur = stored(cur.select(*by, F.struct(*MATRIX).alias("o")).join(fresh, by, "left").select(*by, F.coalesce("w", "o").alias("w")).select(*by, "w.*"))
     out = m.join(cur, by, "left").withColumn("residual", _residual()).withColumn("accepted", F.coalesce(F.col("residual") <= distance, F.lit(False)))
     return cur, out.drop("_rn", "_n", *MATRIX)
 
