@@ -340,23 +340,29 @@ def reduced_basis(jacobians: DataFrame, c, keep: float = 0.999, maximum: int = 6
 
 
 def mc_covariance(df: DataFrame, id_col: str, jacobian: list[list[str]], root: np.ndarray, n: int, seed: int) -> DataFrame:
-    """Population covariance of the image response over seeded draws, drawn and reduced inside each Arrow batch."""
+    """Population covariance of the image response over seeded draws, drawn and reduced inside each Arrow batch.
+
+    The response is linear in the draws, so only their own moments are taken row by row. Rows are dealt by id: the draws take far
+    longer than the scan, whose files may be few.
+    """
     cols = [c for row in jacobian for c in row]
     key = df.schema[id_col].dataType.simpleString()
     size = len(jacobian[0])
 
     def run(batches):
+        z, ones = np.empty((n, size)), np.ones(n)
         for pdf in batches:
-            j = pdf[cols].to_numpy(float).reshape(len(pdf), len(jacobian), size)
-            out = []
-            for i, rid in enumerate(pdf["_seed"]):
-                q = np.random.default_rng([seed, int(rid) & 0x7FFFFFFFFFFFFFFF]).standard_normal((n, size)) @ root.T
-                s = q @ j[i].T
-                out.append(np.cov(s.T, bias=True)[np.triu_indices(len(jacobian))])
-            o = np.array(out).reshape(len(pdf), -1)
+            j = pdf[cols].to_numpy(float).reshape(len(pdf), len(jacobian), size) @ root
+            moments = np.empty((len(pdf), size, size))
+            for i, rid in enumerate(pdf["_seed"].to_list()):
+                np.random.default_rng([seed, rid & 0x7FFFFFFFFFFFFFFF]).standard_normal(out=z)
+                total = ones @ z
+                moments[i] = z.T @ z - np.outer(total, total / n)
+            o = (j @ (moments / n) @ j.transpose(0, 2, 1))[:, *np.triu_indices(len(jacobian))]
             yield pd.DataFrame({id_col: pdf[id_col], "mc_rr": o[:, 0], "mc_rc": o[:, 1], "mc_cc": o[:, 2]})
 
-    return df.select(id_col, *cols, F.xxhash64(id_col).alias("_seed")).mapInPandas(run, f"{id_col} {key}, mc_rr double, mc_rc double, mc_cc double")
+    dealt = df.select(id_col, *cols, F.xxhash64(id_col).alias("_seed")).repartition(id_col)
+    return dealt.mapInPandas(run, f"{id_col} {key}, mc_rr double, mc_rc double, mc_cc double")
 
 
 def invert_projection(pixels: DataFrame, models: DataFrame, by: str = "model_id", id_col: str = "record_id", steps: int = 15, tolerance: float = 1e-7) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from raytable.operators import network
+from raytable.operators import models, network
 
 
 def _matches(spark):
@@ -27,3 +28,20 @@ def test_consensus_takes_medians_only_where_counts_do_not_settle(spark, monkeypa
     assert [r[0] for r in got[0]] == ["all", "half", "most", "none", "two"]
     monkeypatch.setattr(network, "_contenders", lambda tied, by: tied.withColumn("_settled", F.lit(False)))  # exact medians of all
     assert got == run()
+
+
+def test_monte_carlo_covariance_is_dealt_and_equals_the_plain_form(spark):
+    root = np.linalg.cholesky(np.array([[1.0, 0.25, 0.0], [0.25, 2.0, 0.5], [0.0, 0.5, 1.5]]))
+    df = spark.range(300).coalesce(1).select("id", *((F.col("id") % (5 + k) / 4.0 - 0.5).alias(f"j{k}") for k in range(6)))
+    out = models.mc_covariance(df, "id", [["j0", "j1", "j2"], ["j3", "j4", "j5"]], root, 50, 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # one file, several tasks
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seeds = {r.id: r.s for r in df.select("id", F.xxhash64("id").alias("s")).collect()}
+    rows = {r.id: np.array(r[1:]).reshape(2, 3) for r in df.collect()}
+    for r in out.collect():
+        q = np.random.default_rng([7, seeds[r.id] & 0x7FFFFFFFFFFFFFFF]).standard_normal((50, 3)) @ root.T @ rows[r.id].T
+        assert np.allclose(np.cov(q.T, bias=True)[np.triu_indices(2)], r[1:], rtol=1e-12, atol=1e-12)
+    assert out.count() == 300
