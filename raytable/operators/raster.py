@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raytable.runtime import materialize
+from raytable.runtime import materialize, stored
 
 from .grids import CORNERS, CROSS, stencil
 from .ordered import running_sum
@@ -121,14 +123,25 @@ def composite_anaglyph(layers: DataFrame, cell: list[str], order: str = "layer")
 
 
 def pyramid(pixels: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
-    """Every level reduced from the source by block averages (box filter) until both sides fit one tile."""
+    """Every level by block averages of the source (box filter) until both sides fit one tile.
+
+    Sums and counts of a level come from the level below, so a level costs a quarter of it. Pixels of a block stay together, so
+    sums combine before the next shuffle. Pixels beyond the stated size go to the last cell.
+    """
     need = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("height", "width") / tile))).cast("int")
-    lv = sizes.select("layer", "height", "width", F.explode(F.sequence(F.lit(0), need)).alias("level"))
-    p = pixels.join(lv, "layer")
-    f = F.pow(F.lit(2), F.col("level"))
-    lim = lambda n: F.greatest(F.lit(2), F.ceil(F.col(n) / f)) - 1
-    p = p.withColumn("pr", F.least(F.floor(F.col("r") / f), lim("height")).cast("bigint")).withColumn("pc", F.least(F.floor(F.col("c") / f), lim("width")).cast("bigint"))
-    return p.groupBy("layer", "level", "pr", "pc").agg(F.coalesce(F.avg(F.when(F.col("valid"), F.col("v"))), F.lit(0.0)).alias("v"), F.bool_or("valid").alias("valid"))
+    sizes = stored(sizes.select("layer", "height", "width", need.alias("_need")))
+    at = lambda c, f: F.floor(F.col(c) / f).cast("bigint")
+    sums = lambda s, n: (F.sum(s).alias("s"), n.alias("n"), F.bool_or("valid").alias("valid"))
+    base = pixels.select("layer", at("r", 1).alias("r"), at("c", 1).alias("c"), at("r", 64).alias("_i"), at("c", 64).alias("_j"), F.when(F.col("valid"), F.col("v")).alias("v"), "valid")
+    base = base.repartition("layer", "_i", "_j").groupBy("layer", "_i", "_j", "r", "c").agg(*sums("v", F.count("v"))).drop("_i", "_j")
+    levels = [stored(base)]
+    for _ in range(sizes.agg(F.max("_need")).first()[0] or 0):
+        levels.append(stored(levels[-1].groupBy("layer", at("r", 2).alias("r"), at("c", 2).alias("c")).agg(*sums("s", F.sum("n")))))
+    p = reduce(DataFrame.unionByName, [d.withColumn("level", F.lit(k)) for k, d in enumerate(levels)]).join(sizes, "layer").filter("level <= _need")
+    lim = lambda n: F.greatest(F.lit(2), F.ceil(F.col(n) / F.pow(F.lit(2), F.col("level")))) - 1
+    p = p.select("layer", "level", F.least("r", lim("height")).cast("bigint").alias("pr"), F.least("c", lim("width")).cast("bigint").alias("pc"), "s", "n", "valid")
+    cells = p.repartition("layer", "level", "pr", "pc").groupBy("layer", "level", "pr", "pc")
+    return cells.agg(F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0)).alias("v"), F.bool_or("valid").alias("valid"))
 
 
 def tile_index(sizes: DataFrame, tile: int) -> DataFrame:

@@ -45,3 +45,26 @@ def test_monte_carlo_covariance_is_dealt_and_equals_the_plain_form(spark):
         q = np.random.default_rng([7, seeds[r.id] & 0x7FFFFFFFFFFFFFFF]).standard_normal((50, 3)) @ root.T @ rows[r.id].T
         assert np.allclose(np.cov(q.T, bias=True)[np.triu_indices(2)], r[1:], rtol=1e-12, atol=1e-12)
     assert out.count() == 300
+
+
+def test_pyramid_levels_are_made_from_the_level_below(spark, monkeypatch):
+    from raytable.operators import raster
+
+    rng = random.Random(3)
+    rows = [(k, r, c, float(rng.randrange(256)), rng.random() < 0.8) for k, h, w in ((0, 150, 5), (1, 9, 40)) for r in range(h) for c in range(w)]
+    rows += [(0, 150 + 70, 3, 7.0, True), (0, 4, 2, 9.0, True), (2, 0, 0, 1.0, False)]  # beyond the stated size, twice, a single void
+    px = spark.createDataFrame(rows, "layer int, r int, c int, v double, valid boolean")
+    sizes = {0: (150, 5, 4), 1: (9, 40, 2), 2: (1, 1, 0)}  # height, width, deepest level for tiles of 16
+    want = {}
+    for k, r, c, v, ok in rows:
+        h, w, deepest = sizes[k]
+        for level in range(deepest + 1):
+            cell = (k, level, min(r >> level, max(2, -(-h // 2 ** level)) - 1), min(c >> level, max(2, -(-w // 2 ** level)) - 1))
+            want.setdefault(cell, []).append(v if ok else None)
+    read = []
+    monkeypatch.setattr(raster, "stored", lambda df, plain=raster.stored: (lambda out: read.append(out.count()) or out)(plain(df)))
+    out = raster.pyramid(px, spark.createDataFrame([(k, *v[:2]) for k, v in sizes.items()], "layer int, height bigint, width bigint"), 16)
+    got = {tuple(r[:4]): tuple(r[4:]) for r in out.select("layer", "level", "pr", "pc", "v", "valid").collect()}
+    full = {k: [v for v in vs if v is not None] for k, vs in want.items()}
+    assert got == {k: (sum(vs) / len(vs) if vs else 0.0, bool(vs)) for k, vs in full.items()}
+    assert len(read) == 6 and sum(read[1:]) < 1.6 * len(rows)  # sizes and five levels; all levels together are little more than the source
