@@ -68,3 +68,21 @@ def test_pyramid_levels_are_made_from_the_level_below(spark, monkeypatch):
     full = {k: [v for v in vs if v is not None] for k, vs in want.items()}
     assert got == {k: (sum(vs) / len(vs) if vs else 0.0, bool(vs)) for k, vs in full.items()}
     assert len(read) == 6 and sum(read[1:]) < 1.6 * len(rows)  # sizes and five levels; all levels together are little more than the source
+
+
+def test_splat_deals_points_of_one_file(spark):
+    from raytable.operators import voxels
+
+    points = spark.range(400).coalesce(1).select(
+        (F.col("id") % 40 * 1.0).alias("x"), (F.floor(F.col("id") / 40) * 1.0).alias("y"), F.lit(1.0).alias("z"), F.lit(0.25).alias("sigma"),
+        F.lit("m").alias("mode_id"), F.col("id").cast("string").alias("view_id"), F.lit("p").alias("pass_id"), F.lit(1).alias("pass_count"))
+    seen = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = voxels.splat(points, voxels.Box((0.0, 40.0), (0.0, 10.0), (0.0, 4.0)), [1.0])
+        seen = out._jdf.queryExecution().optimizedPlan().toString()
+        total = out.agg(F.sum("weight")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen.index("MapInPandas") < seen.index("RepartitionByExpression")  # dealt before the kernels
+    assert abs(total - 400) < 1e-9  # every kernel is normalised
