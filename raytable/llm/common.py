@@ -35,16 +35,23 @@ def prepare(spark: SparkSession) -> None:
 WORKER_MEMOS: list[dict] = []
 
 
-def release_memory() -> None:
-    """A reused Python worker gives back what tasks of earlier stages left: memos, and pages that allocators keep."""
+def release_memory(keep: dict | None = None) -> None:
+    """A reused Python worker gives back what tasks of earlier stages left: memos (but ``keep``), and pages that allocators keep."""
     for memo in WORKER_MEMOS:
-        memo.clear()
+        if memo is not keep:
+            memo.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def drop_memos() -> None:
+    """For functions that run once a batch: ``release_memory`` where an earlier stage left something."""
+    if any(WORKER_MEMOS):
+        release_memory()
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns every operator reads; other columns, whatever their names, take no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from raytable.operators.graph import components
 
-from .common import Numbering, id_text, mix64, prepare, text_chunks, utf8
+from .common import Numbering, id_text, mix64, prepare, release_memory, text_chunks, utf8
 
 SHINGLE = 3
 PER_CENT = 90
@@ -86,6 +86,7 @@ def _counts_pass(size: int, range_bits: int):
     """Names of the distinct tokens of a batch by range, as often as distinct sets have them (64 times at most)."""
 
     def run(batches):
+        release_memory()
         for batch in batches:
             distinct = {_class_of(tokens): tokens for _, tokens in token_sets(utf8(batch.column(1)), size) if len(tokens)}
             tokens, count = np.unique(np.concatenate(list(distinct.values())), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -174,10 +175,12 @@ def _rows_pass(size: int, per_cent: int, table):
     """A row per document; the first of a class in a batch carries the index entries of its shared prefix tokens."""
 
     def run(batches):
+        release_memory()
         shared = table.value
         for batch in batches:
             texts = utf8(batch.column(1))
-            n, cls, entries, found = np.zeros(len(texts), np.int32), [None] * len(texts), [None] * len(texts), set()
+            n, cls, found = np.zeros(len(texts), np.int32), [None] * len(texts), set()
+            held, borders, none = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], np.zeros(len(texts) + 1, np.int32), np.ones(len(texts), bool)
             for i, tokens in token_sets(texts, size):
                 n[i], cls[i] = len(tokens), _class_of(tokens)
                 if cls[i] is None or cls[i] in found:
@@ -186,15 +189,18 @@ def _rows_pass(size: int, per_cent: int, table):
                 level = shared.level(tokens)
                 order = np.lexsort((tokens, level))[: n[i] + (-int(n[i]) * per_cent) // 100 + 1]
                 pos = np.flatnonzero(level[order])
-                entries[i] = [{"pos": p, "token": t} for p, t in zip(pos.tolist(), _signed(tokens[order[pos]]).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), pa.array(entries, pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.int64())])))],
-                                             ["doc_id", "n", "cls", "entries"])
+                held.append((pos.astype(np.int32), _signed(tokens[order[pos]])))
+                borders[i + 1], none[i] = len(pos), False
+            entries = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["pos", "token"])
+            entries = pa.ListArray.from_arrays(pa.array(np.cumsum(borders, dtype=np.int32)), entries, mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls, pa.binary()), entries], ["doc_id", "n", "cls", "entries"])
 
     return run
 
 
 def _sets_pass(size: int, wanted):
     def run(batches):
+        release_memory()
         bits = wanted.value
         for batch in batches:
             found: dict[bytes, bytes] = {}
@@ -233,6 +239,7 @@ def _shared_tokens(slim: DataFrame, size: int) -> Shared:
 def _difference(batches):
     """Rows sorted by (hub, salt) with the hub first: for each other set its overlap with the hub and, where the run has a
     third set, the tokens of one but not of both."""
+    release_memory()
     hub, h = None, np.zeros(0, np.uint64)
     for batch in batches:
         col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, once, prepare, utf8
+from .common import id_text, once, prepare, release_memory, utf8
 
 MIN_WORDS = 50
 LINES = "d long, t long, i int, a long, b long, up int, down int"
@@ -60,6 +60,7 @@ def _windows(words: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _lines(least: int):
     def run(batches):
+        release_memory()
         for batch in batches:
             rows: list[tuple] = []
             for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):

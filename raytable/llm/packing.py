@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, prepare, release_memory
-from .tokens import encoder
+from .tokens import _workers, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        release_memory()
+        release_memory(keep=_workers)  # the next task of this stage takes the same tokenizer
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, numbered, once, pair_names, prepare, text_chunks, utf8
+from .common import drop_memos, id_text, numbered, once, pair_names, prepare, text_chunks, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -82,6 +82,7 @@ def count_statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _count(text: pa.Array) -> pa.Array:
+    drop_memos()
     counts = count_statistics(utf8(text))
     return pa.StructArray.from_arrays([pa.array(v) for v in counts.values()], list(counts))
 
@@ -219,6 +220,7 @@ def _keeper(forest: IsolationForest | None, threshold: float):
     """Column function: statistics, base rules and forest in one pass, so a task needs one Python worker."""
 
     def keep(text: pa.Array) -> pa.Array:
+        drop_memos()
         s = count_statistics(utf8(text))
         most, of = MAX_REPEATED
         ok = (s["n_words"] >= MIN_WORDS) & (of * s["n_repeat_words"] <= most * s["n_words"])

@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_chunks
+from .common import WORKER_MEMOS, text_chunks
 
-PIECES = 250_000  # that a worker remembers; memory stays bounded
+PIECES = 100_000  # that a worker remembers; memory stays bounded
 CUT = "\x01"
-PART_BYTES = 4 << 20  # text put together at once
+PART_BYTES = 2 << 20  # text put together at once
 _SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _ODD = f"^$|^{_SPACE}|{_SPACE} | {_SPACE}| $|{CUT}"
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
@@ -33,6 +33,7 @@ _CUTS = [(f"({_LETTER})({_MARK})", rf"\1{CUT}\2"), (f"({_MARK})\n({_LETTER})", f
 _WORD = {False: re.compile("[a-zß-öø-ÿ]+"), True: re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")}
 RUN = 512  # such pieces that make one text
 _workers: dict[tuple[str, bool], "Encoder"] = {}
+WORKER_MEMOS.append(_workers)
 
 
 class Memo(dict):
