@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raytable.functions.scalars import content_id
-from raytable.runtime import is_empty
+from raytable.runtime import is_empty, stored
 
 from .ordered import lag_rows, last_known, rank_rows
 from .quantiles import median
@@ -98,7 +98,8 @@ def build_catalog(points: DataFrame, voxels: DataFrame, uncertainty_limit: float
 
 
 def product_stats(catalog: DataFrame, limit: float) -> DataFrame:
-    """Counts, finite and filtered points and median uncertainty per product."""
+    """Counts, finite and filtered points and median uncertainty per product; the catalog is made once."""
+    catalog = stored(catalog.select("product", "uncertainty"))
     s = catalog.groupBy("product").agg(F.count(F.lit(1)).alias("points"), F.count("uncertainty").alias("finite_uncertainty"),
                                        F.count_if(F.col("uncertainty") <= limit).alias("filtered_points"))
     return s.join(median(catalog, ["product"], F.col("uncertainty"), "median_uncertainty").drop("_n"), "product", "left")
