@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raytable.runtime import stored
+
 from .ordered import rank_rows
 
 
@@ -28,6 +30,8 @@ def select_evidence(df: DataFrame, by: list[str], id_col: str, score: str, movin
     stats = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min(score).alias("_qlo"), F.max(score).alias("_qhi"),
         *(F.min(c).alias(f"_lo_{c}") for c in coords), *(F.max(c).alias(f"_hi_{c}") for c in coords))
+    # one row per pair, stored with its true size: few pairs are sent to all tasks instead of sorting their rows by pair
+    stats = stored(stats)
     z = df.select(*by, id_col, score, *coords).join(stats, by)
     z = _grid_cell(z, moving[0], moving[1], {}, grid, "m")
     z = _grid_cell(z, reference[0], reference[1], {}, grid, "r")
@@ -57,6 +61,7 @@ def select_evidence(df: DataFrame, by: list[str], id_col: str, score: str, movin
     pool = pool.filter(F.col("_keep") | F.col("_forced"))
     pool = pool.withColumn("_trim", F.row_number().over(order.orderBy(F.col("_forced").desc(), "_key")))
     chosen = pool.filter(F.col("_trim") <= F.col("_limit")).select(*by, F.col("_key.i").alias(id_col), F.lit(True).alias("_sel"))
+    chosen = stored(chosen)
     small = stats.filter(F.col("_n") <= cap).select(*by, F.lit(True).alias("_all"))
     return (df.join(small, by, "left").join(chosen, by + [id_col], "left")
             .withColumn("selected", F.coalesce("_all", "_sel", F.lit(False))).drop("_all", "_sel"))
