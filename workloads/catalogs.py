@@ -128,7 +128,7 @@ with e as (select obs_a as point_id, view_a||'|'||obs_a as node, view_a as view_
 select point_id, view_id, round(avg(row),6) as row, round(avg(col),6) as col from e group by point_id, view_id""")
 def _(r):
     ends = A.endpoints(r)
-    obs = A.consolidate_observations(ends)
+    obs = A.consolidate_observations(ends, keep=["node", "view_id", "row", "col"])
     links = C.observation_links(ends.select(F.col("obs").alias("point_id"), "node"), obs)
     return links.select("point_id", "view_id", r6(F.col("row")).alias("row"), r6(F.col("col")).alias("col"))
 
