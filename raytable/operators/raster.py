@@ -330,13 +330,14 @@ def candidate_scores(seeds: DataFrame, moving: DataFrame, reference: DataFrame,
     cand = cand.withColumn("_rr", F.col("r") - F.col("dy")).withColumn("_rc", F.col("c") - F.col("dx"))
     anchors = cand.select(F.col("_rr").alias("r"), F.col("_rc").alias("c")).distinct()
     rf = _patches(reference, anchors, [], radius, "r").withColumnRenamed("r", "_rr").withColumnRenamed("c", "_rc")
-    j = materialize(cand.join(rf, ["_rr", "_rc"]))
+    j = cand.join(rf, ["_rr", "_rc"])
     score = {"zncc": lambda: correlation(F.col("_pm"), F.col("_pr")), "censusRank": lambda: rank_agreement(F.col("_pm"), F.col("_pr")),
              "gradientCorrelation": lambda: gradient_agreement(F.col("_pm"), F.col("_pr"), 2 * radius + 1)}[method]()
     std = F.sqrt(F.aggregate(F.transform("_pm", lambda v: v * v), F.lit(0.0), lambda s, v: s + v) / F.size("_pm")
                  - F.pow(F.aggregate("_pm", F.lit(0.0), lambda s, v: s + v) / F.size("_pm"), 2.0))
     n = float((2 * radius + 1) ** 2)
-    return j.select("seed", "r", "c", "dx", "dy", score.alias("score"), (std * (n / (n - 1)) ** 0.5).alias("texture"))
+    # scores are stored, patches are not: a row of a candidate is two patches long
+    return stored(j.select("seed", "r", "c", "dx", "dy", score.alias("score"), (std * (n / (n - 1)) ** 0.5).alias("texture")))
 
 
 def _parabola(l: Column, m: Column, r: Column) -> Column:
@@ -347,7 +348,7 @@ def _parabola(l: Column, m: Column, r: Column) -> Column:
 def template_match(seeds: DataFrame, moving: DataFrame, reference: DataFrame, dx: tuple[int, int], dy: tuple[int, int], radius: int = 2, method: str = "zncc",
                    minimum_texture: float = 1.0, minimum_margin: float = 0.01, tolerance: float = 1.0) -> DataFrame:
     """Best disparity per seed with uniqueness, sub-pixel parabola and reverse consistency; first failing rule names the state."""
-    s = materialize(candidate_scores(seeds, moving, reference, dx, dy, radius, method))
+    s = candidate_scores(seeds, moving, reference, dx, dy, radius, method)
     two = best_two(s, ["seed"], "score", ["dx", "dy"])
     side = lambda k, n: s.select("seed", (F.col("dx") - k).alias("dx"), "dy", F.col("score").alias(n))
     b = two.join(side(-1, "_l"), ["seed", "dx", "dy"], "left").join(side(1, "_r"), ["seed", "dx", "dy"], "left")
