@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from raytable.runtime import materialize
 
-BLOCK = 1024
+BLOCK = 2048
 CHUNK = 65536  # rows whose exact distances are taken at a time
 
 
@@ -19,7 +19,7 @@ def _blocks(df: DataFrame, by: list[str], id_col: str, vector: str, tag: str) ->
     n = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_nb")) if by else df.agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_nb"))
     d = df.join(n, by) if by else df.crossJoin(F.broadcast(n))  # one-row count
     d = d.withColumn(f"_blk_{tag}", F.pmod(F.xxhash64(id_col), F.col("_nb")))
-    row = F.struct(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    row = F.struct(F.col(id_col).alias("i"), F.col(vector).alias("v"))  # as stored; distances are taken in double precision
     return d.groupBy(*by, f"_blk_{tag}").agg(F.array_sort(F.collect_list(row)).alias(f"_{tag}"), F.max("_nb").alias(f"_n{tag}"))
 
 
