@@ -199,10 +199,27 @@ def _lattice(keys: DataFrame, low, step, n) -> DataFrame:
 # --- fits ------------------------------------------------------------------------------------------------
 
 def _terms(pdf: pd.DataFrame, exps) -> np.ndarray:
-    x, y, z = (pdf[c].to_numpy(float) for c in "xyz")
+    x, y, z = (np.asarray(pdf[c], float) for c in "xyz")
     return np.stack([x ** i * y ** j * z ** k for i, j, k in exps], axis=1)
 
 
+def _packed(samples: DataFrame, by: str) -> DataFrame:
+    """Samples of a model in a batch as one row of arrays x, y, z and t, stored: a model's coefficients then meet a row per pack, not per sample."""
+    def run(batches):
+        for pdf in batches:
+            rows = [(m, *(g[c].to_numpy(float) for c in "xyzt")) for m, g in pdf.groupby(by, sort=False)]
+            yield pd.DataFrame(rows, columns=[by, *"xyzt"])
+
+    key = samples.schema[by].dataType.simpleString()
+    return stored(samples.mapInPandas(run, f"{by} {key}, " + ", ".join(f"{c} array<double>" for c in "xyzt")))
+
+
+def _added(part: DataFrame, by: str) -> DataFrame:
+    """Arrays ``v`` added up per model by position, so a model of any size stays distributed."""
+    flat = part.select(by, F.posexplode("v").alias("p", "s")).groupBy(by, "p").agg(F.sum("s").alias("s"))
+    return flat.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda e: e["s"]).alias("v"))
+
+
 def normal_sums(samples: DataFrame, by: str, design, rhs: list[str], extra: list[str], size: int) -> DataFrame:
     """Per model: packed normal matrix and right sides. Batches add up their rows in numpy; Spark adds the batches by
     position, so a model of any size stays distributed. ``design(pdf)`` returns (matrix, weights, right sides)."""
@@ -218,8 +235,7 @@ def normal_sums(samples: DataFrame, by: str, design, rhs: list[str], extra: list
                 yield pd.DataFrame({by: [m], "v": [np.concatenate([n[iu], b.ravel(), [len(g)]])]})
 
     part = samples.select(by, "x", "y", "z", *rhs, *extra).mapInPandas(run, f"{by} {key}, v array<double>")
-    flat = part.select(by, F.posexplode("v").alias("p", "s")).groupBy(by, "p").agg(F.sum("s").alias("s"))
-    return flat.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda e: e["s"]).alias("v"))
+    return _added(part, by)
 
 
 def _solve_packed(v, size: int, k: int, ridge: float) -> np.ndarray:
@@ -235,39 +251,46 @@ def fit_rational(samples: DataFrame, by: str, target: str, robust_passes: int =
     """Cubic ratio per model: numerator a(20), denominator b(20, b0 = 1), rms and max error, smallest |denominator|."""
     exps = EXCHANGE_ORDER
     key = samples.schema[by].dataType.simpleString()
-    data = materialize(samples.select(by, "x", "y", "z", target))
+    data = _packed(samples.select(by, "x", "y", "z", F.col(target).cast("double").alias("t")), by)
+    iu = np.triu_indices(39)
     coef, stats = None, None
-    for _ in range(robust_passes + 1):
+    for k in range(robust_passes + 1):
         cur = data if coef is None else data.join(coef, by).join(stats, by)
-        extra = [] if coef is None else ["a", "b", "mad"]
 
-        def design(g):
-            t, y = _terms(g, exps), g[target].to_numpy(float)
-            w = np.ones(len(g))
-            if "a" in g:
-                a, b = np.asarray(g["a"].iloc[0], float), np.asarray(g["b"].iloc[0], float)
-                zc = np.abs((t @ a) / (t @ b) - y) / (huber * (1.4826 * g["mad"].iloc[0] + 2.220446049250313e-16))
-                w = np.where(zc > 1, 1 / np.maximum(zc, 1e-300), 1.0)
-            return np.hstack([t, -y[:, None] * t[:, 1:]]), w, y[:, None]
-
-        sums = normal_sums(cur, by, design, [target], extra, 39)
+        def add_up(batches):
+            for pdf in batches:
+                sums: dict = {}
+                for row in pdf.itertuples(index=False):
+                    t, y = _terms(row._asdict(), exps), np.asarray(row.t, float)
+                    w = np.ones(len(y))
+                    if "a" in pdf:
+                        zc = np.abs((t @ np.asarray(row.a, float)) / (t @ np.asarray(row.b, float)) - y) / (huber * (1.4826 * row.mad + 2.220446049250313e-16))
+                        w = np.where(zc > 1, 1 / np.maximum(zc, 1e-300), 1.0)
+                    a = np.hstack([t, -y[:, None] * t[:, 1:]])
+                    aw = (a * w[:, None]).T
+                    v = np.concatenate([(aw @ a)[iu], aw @ y, [len(y)]])
+                    sums[row[0]] = sums[row[0]] + v if row[0] in sums else v
+                yield pd.DataFrame({by: list(sums), "v": list(sums.values())})
+
+        sums = _added(cur.mapInPandas(add_up, f"{by} {key}, v array<double>"), by)
 
         def solve(batches):
             for pdf in batches:
                 z = [_solve_packed(v, 39, 1, ridge)[:, 0] for v in pdf["v"]]
                 yield pd.DataFrame({by: pdf[by], "a": [q[:20].tolist() for q in z], "b": [[1.0, *q[20:].tolist()] for q in z]})
 
-        coef = materialize(sums.mapInPandas(solve, f"{by} {key}, a array<double>, b array<double>"))
+        coef = stored(sums.mapInPandas(solve, f"{by} {key}, a array<double>, b array<double>"))
 
         def errors(batches):
             for pdf in batches:
-                t = _terms(pdf, exps)
-                a, b = np.stack(pdf["a"].to_list()), np.stack(pdf["b"].to_list())
-                den = (t * b).sum(1)
-                yield pd.DataFrame({by: pdf[by], "e": (t * a).sum(1) / den - pdf[target].to_numpy(float), "den": np.abs(den)})
-
-        res = materialize(data.join(coef, by).mapInPandas(errors, f"{by} {key}, e double, den double"))
-        stats = median_mad(res, [by], F.col("e")).select(by, "mad")
+                for row in pdf.itertuples(index=False):
+                    t = _terms(row._asdict(), exps)
+                    den = t @ np.asarray(row.b, float)
+                    yield pd.DataFrame({by: [row[0]] * len(den), "e": t @ np.asarray(row.a, float) / den - np.asarray(row.t, float), "den": np.abs(den)})
+
+        res = stored(data.join(coef, by).mapInPandas(errors, f"{by} {key}, e double, den double"))
+        if k < robust_passes:  # the last residuals weigh nothing
+            stats = stored(median_mad(res, [by], F.col("e")).select(by, "mad"))
     report = res.groupBy(by).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rms"), F.max(F.abs("e")).alias("max_error"), F.min("den").alias("min_denominator"))
     return coef.join(report, by)
 
