@@ -92,10 +92,10 @@ def _refit(live: DataFrame, by: list[str], kind: str, minimum: int) -> DataFrame
 
 
 def _contenders(tied: DataFrame, by: list[str]) -> DataFrame:
-    """Hypotheses of the highest count that may still win, and whether counts alone settle their pair (``_settled``).
+    """Hypotheses of the highest count that may still win, and whether counts alone settle them (``_settled``).
 
     A median is zero on the score grid if more than half of the rows are, and is not if fewer than half are: no score is below
-    zero, so exact medians are left for pairs where no median is known to be zero or where just half of the rows are.
+    zero, so exact medians are left for hypotheses of which no median is known to be zero or just half of the rows are.
     """
     zero = lambda z, n: F.col(z) >= F.floor(F.col(n) / 2) + 1
     above = lambda z, n: ((F.col(n) % 2 == 1) & ~zero(z, n)) | (2 * F.col(z) < F.col(n))
@@ -103,16 +103,75 @@ def _contenders(tied: DataFrame, by: list[str]) -> DataFrame:
     t = tied.filter("_w > 0").withColumn("_i0", zero("_cz", "_c")).withColumn("_m0", zero("_wz", "_w"))
     t = t.withColumn("_best_i", F.bool_or("_i0").over(every)).filter(~(F.col("_best_i") & above("_cz", "_c")))
     t = t.withColumn("_best", F.bool_or(F.col("_i0") & F.col("_m0")).over(every)).filter(~(F.col("_best") & above("_wz", "_w")))
-    known = F.bool_and(F.col("_i0") & F.col("_m0")).over(every) | (F.count(F.lit(1)).over(every) == 1)
+    known = (F.col("_i0") & F.col("_m0")) | (F.count(F.lit(1)).over(every) == 1)
     return materialize(t.withColumn("_settled", known).select(*by, "_h", *MATRIX, "_settled"))
 
 
+FEW = 1 << 18  # rows of a table that is sent to all tasks
+ROWS_AT_ONCE = 1024  # rows of a pack that meet all hypotheses of their pair in one step
+
+
+def _few(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df``, marked as one for all tasks if ``rows`` are few."""
+    return F.broadcast(df) if rows.count() <= FEW else df
+
+
+def _packs(by: list[str]):
+    """Rows of one pair in a batch as one row of arrays: nothing is shuffled, and a pair may have many packs."""
+    def run(batches):
+        for pdf in batches:
+            at = pdf.groupby(by, sort=False, dropna=False).indices if by else {(): np.arange(len(pdf))}
+            cols = {c: pdf[c].to_numpy(float) for c in ("mx", "my", "rx", "ry")}
+            out = pdf.iloc[[i[0] for i in at.values()]][by].reset_index(drop=True)
+            for c, v in cols.items():
+                out["_" + c] = [v[i] for i in at.values()]
+            yield out
+
+    return run
+
+
+def _counted(by: list[str], distance: float):
+    """Per pack and hypothesis: rows within the distance, those of them that vanish, rows with a residual, and vanishing rows."""
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for k in range(len(pdf)):
+                x, y, u, v = (np.asarray(pdf[c].iloc[k], float)[:, None] for c in ("_mx", "_my", "_rx", "_ry"))
+                a, b, tx, c, d, ty = (np.asarray(pdf["_" + n].iloc[k], float) for n in MATRIX)
+                sums = np.zeros((4, len(a)), np.int64)
+                for i in range(0, len(x), ROWS_AT_ONCE):
+                    one = slice(i, i + ROWS_AT_ONCE)
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        e = a * x[one] + b * y[one] + tx - u[one]
+                        f = c * x[one] + d * y[one] + ty - v[one]
+                        # squares decide but for a narrow band around the limits, where the rounding of the root counts
+                        s = e * e + f * f
+                        near, small = s <= distance * distance, s < (0.5 * SCORE_GRID) ** 2
+                        close = np.abs(s - distance * distance) <= 1e-12 * distance * distance
+                        close |= np.abs(s - (0.5 * SCORE_GRID) ** 2) <= 1e-12 * (0.5 * SCORE_GRID) ** 2
+                        if close.any():
+                            r = np.hypot(e[close], f[close])
+                            near[close], small[close] = r <= distance, r / SCORE_GRID < 0.5
+                    sums += [near.sum(0), (near & small).sum(0), (~np.isnan(s)).sum(0), small.sum(0)]
+                part = pdf[by].iloc[[k] * len(a)].reset_index(drop=True)
+                part["_h"] = np.asarray(pdf["_hs"].iloc[k], np.int32)
+                part["_c"], part["_cz"], part["_w"], part["_wz"] = sums
+                parts.append(part)
+                if sum(map(len, parts)) >= FEW:
+                    yield pd.concat(parts)
+                    parts = []
+            if parts:
+                yield pd.concat(parts)
+
+    return run
+
+
 def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: str = "similarity", distance: float = 3.0, maximum: int = 512,
                     refits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Deterministic consensus per pair: (models, matches with residual and accepted).
 
     matches: by…, mx, my, rx, ry and the order columns. Hypotheses are fixed by the pair's row count; only the sampled
-    rows are gathered. Inliers are counted by a combining aggregate; exact medians are taken only for the
+    rows are gathered. Inliers are counted for packs of rows, all hypotheses of their pair at once; exact medians are taken only for the
     hypotheses that share the highest count and that counts of vanishing residuals do not tell apart.
     Scores within 1e-12 keep the earlier hypothesis.
     """
@@ -128,8 +187,8 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
                     rows += [{**{c: rec[c] for c in by}, "_h": h, "_j": j, "_rn": i} for j, i in enumerate(s)]
             yield pd.DataFrame(rows, columns=[*by, "_h", "_j", "_rn"])
 
-    picks = m.select(*by, "_n").distinct().mapInPandas(samples, f"{keys}, _h int, _j int, _rn bigint")
-    packed = picks.join(m.select(*by, "_rn", "mx", "my", "rx", "ry"), by + ["_rn"]).groupBy(*by, "_h").agg(
+    picks = stored(m.select(*by, "_n").distinct().mapInPandas(samples, f"{keys}, _h int, _j int, _rn bigint"))
+    packed = m.select(*by, "_rn", "mx", "my", "rx", "ry").join(_few(picks, picks), by + ["_rn"]).groupBy(*by, "_h").agg(
         F.array_sort(F.collect_list(F.struct("_j", "mx", "my", "rx", "ry"))).alias("_s"))  # two or three rows each
 
     def fits(batches):
@@ -143,24 +202,26 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
             yield pd.DataFrame(out, columns=[*by, "_h", *MATRIX])
 
     hyp = materialize(packed.mapInPandas(fits, f"{keys}, _h int, " + ", ".join(f"{c} double" for c in MATRIX)))
-    # every row meets its pair's few hypotheses; counts combine before the shuffle
-    near, small = F.col("_e") <= distance, F.col("_e") / SCORE_GRID < 0.5
-    counts = m.select(*by, "mx", "my", "rx", "ry").join(hyp, by).select(*by, "_h", _residual().alias("_e")).groupBy(*by, "_h").agg(
-        F.count_if(near).alias("_c"), F.count_if(near & small).alias("_cz"), F.count_if(F.col("_e").isNotNull() & ~F.isnan("_e")).alias("_w"), F.count_if(small).alias("_wz"))
-    counts = materialize(counts)
+    lists = hyp.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_h", *MATRIX))).alias("_l")).select(
+        *by, F.col("_l._h").alias("_hs"), *(F.col(f"_l.{c}").alias("_" + c) for c in MATRIX))  # `maximum` hypotheses a pair at most
+    packs = m.select(*by, "mx", "my", "rx", "ry").mapInPandas(_packs(by), f"{keys}, " + ", ".join(f"_{c} array<double>" for c in ("mx", "my", "rx", "ry")))
+    counts = packs.join(_few(stored(lists), hyp), by).mapInPandas(_counted(by, distance), f"{keys}, _h int, _c bigint, _cz bigint, _w bigint, _wz bigint")
+    counts = materialize(counts.groupBy(*by, "_h").agg(*(F.sum(c).alias(c) for c in ("_c", "_cz", "_w", "_wz"))))
+    near = F.col("_e") <= distance
     top = counts.groupBy(*by).agg(F.max("_c").alias("_c"))
     tied = _contenders(materialize(counts.join(top, by + ["_c"]).join(hyp, by + ["_h"])), by)
     penalty = F.sqrt(F.pow(F.col("a") - 1, 2) + F.col("b") * F.col("b") + F.col("c") * F.col("c") + F.pow(F.col("d") - 1, 2))
     grid = lambda c: F.round(F.coalesce(c, F.lit(1e300)) / SCORE_GRID) * SCORE_GRID
-    best = lambda t, *first: t.groupBy(*by).agg(F.min_by(F.struct(*MATRIX), F.struct(*first, grid(penalty).alias("p"), "_h")).alias("w")).select(*by, "w.*")
-    cur, rest = best(tied.filter("_settled")), tied.filter("not _settled")
+    rest = tied.filter("not _settled")
+    scored = tied.filter("_settled").select(*by, "_h", *MATRIX, F.lit(0.0).alias("i"), F.lit(0.0).alias("m"))
     if not is_empty(rest):
         res = materialize(m.select(*by, "mx", "my", "rx", "ry").join(rest, by).withColumn("_e", _residual()).select(*by, "_h", "_e"))
         whole = median(res, by + ["_h"], F.col("_e"), "_med").drop("_n")
         inl = median(res.filter(near), by + ["_h"], F.col("_e"), "_inl").drop("_n")
-        scored = rest.join(whole, by + ["_h"]).join(inl, by + ["_h"], "left")
-        cur = cur.unionByName(best(scored, grid(F.col("_inl")).alias("i"), grid(F.col("_med")).alias("m")))
-    cur = stored(cur)
+        exact = rest.join(whole, by + ["_h"]).join(inl, by + ["_h"], "left")
+        scored = scored.unionByName(exact.select(*by, "_h", *MATRIX, grid(F.col("_inl")).alias("i"), grid(F.col("_med")).alias("m")))
+    rank = F.struct("i", "m", grid(penalty).alias("p"), "_h")
+    cur = stored(scored.groupBy(*by).agg(F.min_by(F.struct(*MATRIX), rank).alias("w")).select(*by, "w.*"))
     for _ in range(refits):
         live = m.join(cur, by).filter(_residual() <= distance).select(*by, "mx", "my", "rx", "ry")
         fresh = _refit(live, by, kind, size).select(*by, F.struct(*MATRIX).alias("w"))

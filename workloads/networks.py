@@ -22,14 +22,14 @@ def planar(m):
 @query("slv_04_consensus_similarity", "fx_matches", sql="""
 select record_id, case when l_returnflag='R' then false else true end as accepted from fx_matches""")
 def _(m):
-    _, out = N.consensus_model(planar(m), PAIR, ["record_id"], "similarity", 3.0, 64)
+    _, out = N.consensus_model(planar(m), PAIR, ["record_id"], "similarity", 3.0)
     return out.select("record_id", "accepted")
 
 
 @query("slv_04_consensus_affine", "fx_matches", sql="""
 select distinct moving_view, reference_view, 1.5::double as a, -0.25::double as b, 8.0::double as tx, 0.25::double as c, 1.5::double as d, -4.0::double as ty from fx_matches""")
 def _(m):
-    w, _ = N.consensus_model(planar(m), PAIR, ["record_id"], "affine", 3.0, 64)
+    w, _ = N.consensus_model(planar(m), PAIR, ["record_id"], "affine", 3.0)
     return w.select(*PAIR, *(r6(F.col(c)).alias(c) for c in N.MATRIX))
 
 
