@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raytable.functions.scalars import bspline_basis
-from raytable.runtime import is_empty, materialize, stored
+from raytable.runtime import FEW, few, is_empty, materialize, stored
 
 from .ordered import rank_rows
 from .quantiles import median
@@ -107,15 +107,9 @@ def _contenders(tied: DataFrame, by: list[str]) -> DataFrame:
     return materialize(t.withColumn("_settled", known).select(*by, "_h", *MATRIX, "_settled"))
 
 
-FEW = 1 << 18  # rows of a table that is sent to all tasks
 ROWS_AT_ONCE = 1024  # rows of a pack that meet all hypotheses of their pair in one step
 
 
-def _few(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """``df``, marked as one for all tasks if ``rows`` are few."""
-    return F.broadcast(df) if rows.count() <= FEW else df
-
-
 def _packs(by: list[str]):
     """Rows of one pair in a batch as one row of arrays: nothing is shuffled, and a pair may have many packs."""
     def run(batches):
@@ -188,7 +182,7 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
             yield pd.DataFrame(rows, columns=[*by, "_h", "_j", "_rn"])
 
     picks = stored(m.select(*by, "_n").distinct().mapInPandas(samples, f"{keys}, _h int, _j int, _rn bigint"))
-    packed = m.select(*by, "_rn", "mx", "my", "rx", "ry").join(_few(picks, picks), by + ["_rn"]).groupBy(*by, "_h").agg(
+    packed = m.select(*by, "_rn", "mx", "my", "rx", "ry").join(few(picks, picks), by + ["_rn"]).groupBy(*by, "_h").agg(
         F.array_sort(F.collect_list(F.struct("_j", "mx", "my", "rx", "ry"))).alias("_s"))  # two or three rows each
 
     def fits(batches):
@@ -205,7 +199,7 @@ def consensus_model(matches: DataFrame, by: list[str], order: list[str], kind: s
     lists = hyp.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_h", *MATRIX))).alias("_l")).select(
         *by, F.col("_l._h").alias("_hs"), *(F.col(f"_l.{c}").alias("_" + c) for c in MATRIX))  # `maximum` hypotheses a pair at most
     packs = m.select(*by, "mx", "my", "rx", "ry").mapInPandas(_packs(by), f"{keys}, " + ", ".join(f"_{c} array<double>" for c in ("mx", "my", "rx", "ry")))
-    counts = packs.join(_few(stored(lists), hyp), by).mapInPandas(_counted(by, distance), f"{keys}, _h int, _c bigint, _cz bigint, _w bigint, _wz bigint")
+    counts = packs.join(few(stored(lists), hyp), by).mapInPandas(_counted(by, distance), f"{keys}, _h int, _c bigint, _cz bigint, _w bigint, _wz bigint")
     counts = materialize(counts.groupBy(*by, "_h").agg(*(F.sum(c).alias(c) for c in ("_c", "_cz", "_w", "_wz"))))
     near = F.col("_e") <= distance
     top = counts.groupBy(*by).agg(F.max("_c").alias("_c"))
