@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import workloads
+from raytable import runtime
 from raytable.operators import points as P
 
 
@@ -36,7 +37,7 @@ def test_points_do_not_depend_on_diagnostics_or_steps(spark, sf_dir, monkeypatch
 
 
 def test_only_large_keys_are_counted_one_by_one(spark, monkeypatch):
-    monkeypatch.setattr(P, "BUCKETS", 4)  # full buckets hold small keys too
+    monkeypatch.setattr(runtime, "BUCKETS", 4)  # full buckets hold small keys too
     df = spark.range(1000).select((F.col("id") % 100).alias("k")).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("k")))
-    assert [x.k for x in P._large_keys(df, ["k"], 100).collect()] == [7]
-    assert P._large_keys(df, ["k"], 10_000).count() == 0
+    assert [x.k for x in runtime.large_keys(df, ["k"], 100).collect()] == [7]
+    assert runtime.large_keys(df, ["k"], 10_000).count() == 0
