@@ -37,3 +37,14 @@ def test_rounds_and_rows_agree(spark, monkeypatch):
     monkeypatch.setattr(G, "SCOPE_EDGES", 0)
     assert local == mixed == run() and len(local) == len(rows)
     assert any(not ok for ok, _ in local.values()) and all((root is None) == (not ok) for ok, root in local.values())
+
+
+def test_trees_of_ordinary_tracks_take_no_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(edges(random.Random(6)) + [("own", "z", "n99", "n99", "v0", "v0", 0)], COLS).selectExpr("scope as track_id", "record_id as edge_id", "u", "v", "q as metric")
+    tables, store = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda d: tables.append(1) or store(d))
+    rows = lambda: sorted(map(tuple, G.track_spanning_tree(df, [F.col("metric")]).collect()))
+    local = rows()
+    assert local and not tables
+    monkeypatch.setattr(G, "SCOPE_EDGES", 0)
+    assert rows() == local
